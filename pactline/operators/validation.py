@@ -25,12 +25,13 @@ _TEXT_FIELDS = ("topic", "contract_id", "contract_version", "producer_id", "key"
 def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     """Decode produce envelopes; ``envelope_error`` is set for malformed bodies.
 
-    The payload keeps its original text, except that a JSON string stays quoted so that it is not
-    mistaken for a document.
+    One parse per message. The payload comes out as canonical JSON text: same values and full
+    precision, without blanks and with sorted keys. A payload that is a JSON string stays quoted, so
+    it is not mistaken for a document; a missing payload is NULL. As with any stream decoder,
+    whatever follows the first JSON value of the body is ignored.
     """
     text = F.col(value).cast("string")
-    body = df.withColumn("__text", text).withColumn("__body", F.try_parse_json("__text"))
-    raw = F.from_json("__text", "payload string", {"mode": "PERMISSIVE"})["payload"]
+    body = bind(df.withColumn("__text", text), {"__body": F.try_parse_json("__text")})
     field = lambda name: F.try_variant_get("__body", f"$.{name}", "variant")
     is_text = lambda name: field(name).isNull() | json_kind(field(name)).isin("string", "null")
     well_formed = F.coalesce(
@@ -40,11 +41,7 @@ def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     )
     for name in _TEXT_FIELDS:
         well_formed = well_formed & is_text(name)
-    payload = (
-        F.when(json_kind(field("payload")) == "string", F.to_json(field("payload")))
-        .when(F.is_variant_null(field("payload")), F.lit("null"))
-        .otherwise(raw)
-    )
+    payload = F.to_json(field("payload"))
     texts = [
         F.coalesce(F.try_variant_get("__body", f"$.{n}", "string"), F.lit("")).alias(n)
         for n in _TEXT_FIELDS

@@ -131,8 +131,10 @@ def freshness(spark, sf):
 @query
 def parse_envelope(spark, sf):
     e = validation.require_envelope_fields(validation.parse_envelope(d.envelopes(spark, sf)))
-    return e.select("event_id", "topic", "producer_id", "key", "envelope_error",
-                    F.length("payload").cast("bigint").alias("payload_length"))
+    p = documents.with_document(e, "payload", "doc")
+    return p.select("event_id", "topic", "producer_id", "key", "envelope_error",
+                    F.try_variant_get("doc", "$.event_id", "bigint").alias("inner_id"),
+                    F.try_variant_get("doc", "$.amount", "double").alias("amount"))
 
 
 @query
