@@ -85,18 +85,35 @@ def _walk(doc: Column, path: Column) -> Column:
     )
 
 
-def path_get(doc: Column, path: Column, compiled: Column | None = None) -> Column:
+def literal_path(path: str) -> str | None:
+    """:func:`variant_path` of a path known when the query is written."""
+    steps = []
+    for segment in path.split("."):
+        if "'" in segment and '"' in segment:
+            return None
+        quote = '"' if "'" in segment else "'"
+        steps.append(f"[{quote}{segment}{quote}]")
+    return "$" + "".join(steps)
+
+
+def path_get(doc: Column, path: Column | str, compiled: Column | None = None) -> Column:
     """The VARIANT at a dotted path: SQL NULL when absent, variant null for JSON null.
 
-    ``compiled`` is :func:`variant_path` of ``path`` when the caller has it as a column already.
+    A ``str`` is the path itself. For a path column, ``compiled`` is its :func:`variant_path` when
+    the caller has that as a column already.
     """
+    if isinstance(path, str):
+        fixed = literal_path(path)
+        if fixed is not None:
+            return F.try_variant_get(doc, fixed, "variant")
+        return _walk(doc, F.lit(path))
     target = compiled if compiled is not None else variant_path(path)
     return F.when(target.isNotNull(), F.try_variant_get(doc, target, "variant")).otherwise(
         _walk(doc, path)
     )
 
 
-def path_present(doc: Column, path: Column) -> Column:
+def path_present(doc: Column, path: Column | str) -> Column:
     return path_get(doc, path).isNotNull()
 
 
@@ -124,23 +141,43 @@ def path_set(doc: Column, path: Column, value: Column) -> Column:
     return let(path_segments(path), rebuild)
 
 
+_UNROLLED_SEGMENTS = 3
+
+
+def path_replace(doc: Column, path: Column, value: Column) -> Column:
+    """:func:`path_set` for a path that is present: one pass over the members of each level.
+
+    The usual short paths are written out; longer ones take the general way.
+    """
+
+    def inside(node: Column, segments: Column, at: int, depth: int) -> Column:
+        wanted = F.get(segments, F.lit(at))
+        new = lambda child: value if at == depth - 1 else inside(child, segments, at + 1, depth)
+        members = F.transform_values(
+            as_object(node), lambda k, child: F.when(k == wanted, new(child)).otherwise(child)
+        )
+        return F.to_variant_object(members)
+
+    def choose(segments: Column) -> Column:
+        chain = F.when(F.size(segments) == 1, inside(doc, segments, 0, 1))
+        for depth in range(2, _UNROLLED_SEGMENTS + 1):
+            chain = chain.when(F.size(segments) == depth, inside(doc, segments, 0, depth))
+        return chain.otherwise(path_set(doc, path, value))
+
+    return let(path_segments(path), choose)
+
+
 # ---------------------------------------------------------------------------------------------
 # kinds and listings
 
-_KIND_BY_FIRST_CHARACTER = {
-    "{": "object",
-    "[": "array",
-    '"': "string",
-    "t": "boolean",
-    "f": "boolean",
-    "n": "null",
-}
+# First two letters of the VARIANT schema text; all other schemas are numbers.
+_KINDS = {"OB": "object", "AR": "array", "ST": "string", "BO": "boolean", "VO": "null"}
 
 
 def json_kind(node: Column) -> Column:
     """string, number, boolean, object, array or null; SQL NULL for an absent value."""
-    kinds = F.create_map(*[F.lit(x) for pair in _KIND_BY_FIRST_CHARACTER.items() for x in pair])
-    first = F.left(F.to_json(node), F.lit(1))
+    kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    first = F.left(F.schema_of_variant(node), F.lit(2))
     return F.when(node.isNotNull(), F.coalesce(F.try_element_at(kinds, first), F.lit("number")))
 
 
@@ -203,7 +240,7 @@ def object_entries(doc: Column, text: Column, max_segments: int | None = None) -
 
 def object_paths(doc: Column, text: Column, max_segments: int | None = None) -> Column:
     """Every object path of the document, sorted."""
-    return F.array_sort(
+    return F.sort_array(
         F.transform(object_entries(doc, text, max_segments), lambda e: e["path"])
     )
 
@@ -219,4 +256,4 @@ def extract_fields(doc: Column, text: Column, max_segments: int = 5) -> Column:
             F.lit(True).alias("present"),
         ),
     )
-    return F.array_sort(described)
+    return F.sort_array(described)

@@ -93,6 +93,14 @@ def tokenize(
     return F.concat(F.lit(prefix), F.left(digest, F.lit(TOKEN_HEX_DIGITS)))
 
 
+_ANY_KEYWORD = "|".join(word for _, words in PII_KEYWORDS for word in words)
+
+
+def looks_sensitive(path: Column) -> Column:
+    """Does any keyword occur? A cheap first test where most names are harmless."""
+    return F.lower(path).rlike(_ANY_KEYWORD)
+
+
 def detect_pii(path: Column) -> Column:
     """Sensitivity class suggested by a field name, NULL when nothing matches."""
     lowered = F.lower(path)

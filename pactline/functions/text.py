@@ -53,7 +53,7 @@ def classify_dataset(name: Column) -> Column:
 
 def fields_overlap(used: Column, changed: Column) -> Column:
     """Sorted intersection of two field sets."""
-    return F.array_sort(F.array_intersect(used, changed))
+    return F.sort_array(F.array_intersect(used, changed))
 
 
 def rank_of(value: Column, ranks: dict[str, int]) -> Column:

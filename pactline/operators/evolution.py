@@ -35,7 +35,7 @@ _STRINGS = "array<string>"
 
 def _last_of_each_name(fields: Column) -> Column:
     """Sorted by name with the last duplicate kept; sorting keeps this below quadratic time."""
-    placed = F.array_sort(
+    placed = F.sort_array(
         F.transform(
             fields,
             lambda f, i: F.struct(f["name"].alias("name"), i.alias("at"), f.alias("field")),
@@ -113,7 +113,7 @@ def json_fields(schema: Column) -> Column:
             F.array_contains(required, p["key"]).alias("required"),
         ),
     )
-    return F.coalesce(F.array_sort(described), F.array().cast(_FIELDS))
+    return F.coalesce(F.sort_array(described), F.array().cast(_FIELDS))
 
 
 def json_schema_ok(schema: Column) -> Column:
@@ -135,9 +135,7 @@ def json_schema_ok(schema: Column) -> Column:
 
 
 def _by_name(fields: Column) -> Column:
-    """Field lookup by name: a VARIANT object, searched by binary search."""
-    entries = F.transform(fields, lambda f: F.struct(f["name"], F.to_variant_object(f)))
-    return F.to_variant_object(F.map_from_entries(entries))
+    return F.map_from_entries(F.transform(fields, lambda f: F.struct(f["name"], f)))
 
 
 def _names(fields: Column) -> Column:
@@ -170,31 +168,31 @@ def _breaking_if(condition: Column) -> Column:
     return F.when(condition, t.BREAKING).otherwise(t.COMPATIBLE)
 
 
+def _retyped(kind: str, name: Column, old: Column, new: Column) -> Column:
+    return F.concat(
+        F.lit(f"{kind} "), quoted(name), F.lit(" type changed from "), old["type"],
+        F.lit(" to "), new["type"],
+    )
+
+
 def _avro_rules(name: Column, old: Column, new: Column, mode: Column) -> list[Column]:
-    old_default = F.try_variant_get(old, "$.has_default", "boolean")
-    new_default = F.try_variant_get(new, "$.has_default", "boolean")
-    old_type = F.try_variant_get(old, "$.type", "string")
-    new_type = F.try_variant_get(new, "$.type", "string")
     both = old.isNotNull() & new.isNotNull()
-    retyped = F.concat(
-        F.lit("field "), quoted(name), F.lit(" type changed from "), old_type,
-        F.lit(" to "), new_type,
-    )
+    strict_addition = ~new["has_default"] & F.coalesce(mode == t.BACKWARD, F.lit(False))
     return [
         F.when(
             new.isNull(),
             _change(name, t.FIELD_REMOVED, _text("field ", name, " removed from schema"),
-                    _breaking_if(~old_default)),
+                    _breaking_if(~old["has_default"])),
         ),
         F.when(
             old.isNull(),
             _change(name, t.FIELD_ADDED, _text("field ", name, " added to schema"),
-                    _breaking_if(~new_default & F.coalesce(mode == t.BACKWARD, F.lit(False)))),
+                    _breaking_if(strict_addition)),
         ),
-        F.when(both & (old_type != new_type),
-               _change(name, t.TYPE_CHANGED, retyped, t.BREAKING)),
+        F.when(both & (old["type"] != new["type"]),
+               _change(name, t.TYPE_CHANGED, _retyped("field", name, old, new), t.BREAKING)),
         F.when(
-            both & old_default & ~new_default,
+            both & old["has_default"] & ~new["has_default"],
             _change(name, t.DEFAULT_REMOVED, _text("field ", name, " default value removed"),
                     t.COMPATIBLE),
         ),
@@ -202,34 +200,28 @@ def _avro_rules(name: Column, old: Column, new: Column, mode: Column) -> list[Co
 
 
 def _json_rules(name: Column, old: Column, new: Column, strict_types: bool) -> list[Column]:
-    was = F.try_variant_get(old, "$.required", "boolean")
-    now = F.try_variant_get(new, "$.required", "boolean")
     both = old.isNotNull() & new.isNotNull()
     rules = [
         F.when(
             new.isNull(),
             _change(name, t.FIELD_REMOVED, _text("property ", name, " removed"),
-                    _breaking_if(was)),
+                    _breaking_if(old["required"])),
         ),
         F.when(
             old.isNull(),
-            _change(name, t.FIELD_ADDED, _text("property ", name, " added"), _breaking_if(now)),
+            _change(name, t.FIELD_ADDED, _text("property ", name, " added"),
+                    _breaking_if(new["required"])),
         ),
     ]
     if strict_types:
-        old_type = F.try_variant_get(old, "$.type", "string")
-        new_type = F.try_variant_get(new, "$.type", "string")
-        retyped = F.concat(
-            F.lit("property "), quoted(name), F.lit(" type changed from "), old_type,
-            F.lit(" to "), new_type,
-        )
         rules.append(
-            F.when(both & (old_type != new_type),
-                   _change(name, t.TYPE_CHANGED, retyped, t.BREAKING))
+            F.when(both & (old["type"] != new["type"]),
+                   _change(name, t.TYPE_CHANGED, _retyped("property", name, old, new),
+                           t.BREAKING))
         )
     rules.append(
         F.when(
-            both & ~was & now,
+            both & ~old["required"] & new["required"],
             _change(name, t.REQUIRED_ADDED,
                     _text("property ", name, " is now required (was optional)"), t.BREAKING),
         )
@@ -240,30 +232,23 @@ def _json_rules(name: Column, old: Column, new: Column, strict_types: bool) -> l
 def diff_fields(current: Column, proposed: Column, rules) -> Column:
     """Changes between two field lists, ordered by field name.
 
-    ``rules(name, old, new)`` gives candidate changes; ``old`` and ``new`` are VARIANT objects or
-    NULL where the field is missing on that side.
+    ``rules(name, old, new)`` gives candidate changes; ``old`` and ``new`` are field structs, NULL
+    where the field is missing on that side.
     """
-    names = F.array_sort(F.array_union(_names(current), _names(proposed)))
+    names = F.sort_array(F.array_union(_names(current), _names(proposed)))
 
-    def compare(old_fields: Column, new_fields: Column) -> Column:
-        per_name = F.transform(
-            names,
-            lambda n: F.array_compact(
-                F.array(*rules(n, path_get_name(old_fields, n), path_get_name(new_fields, n)))
-            ),
-        )
-        return F.flatten(per_name)
+    def compare(both: Column) -> Column:
+        def one(name: Column) -> Column:
+            pair = F.struct(
+                F.try_element_at(both["old"], name).alias("old"),
+                F.try_element_at(both["new"], name).alias("new"),
+            )
+            return let(pair, lambda p: F.array_compact(F.array(*rules(name, p["old"], p["new"]))))
 
-    return let(
-        _by_name(current), lambda old: let(_by_name(proposed), lambda new: compare(old, new))
-    ).cast(CHANGES)
+        return F.flatten(F.transform(names, one))
 
-
-def path_get_name(fields: Column, name: Column) -> Column:
-    """A member by its literal name (dots in the name are not steps)."""
-    plain = ~name.contains("'")
-    direct = F.try_variant_get(fields, F.concat(F.lit("$['"), name, F.lit("']")), "variant")
-    return F.when(plain, direct).otherwise(F.try_element_at(as_object(fields), name))
+    sides = F.struct(_by_name(current).alias("old"), _by_name(proposed).alias("new"))
+    return let(sides, compare).cast(CHANGES)
 
 
 def worst_classification(changes: Column) -> Column:
@@ -274,7 +259,22 @@ def worst_classification(changes: Column) -> Column:
     )
 
 
-def with_schema_changes(
+def with_schema_fields(df: DataFrame, text: str, schema_format: str, out: str) -> DataFrame:
+    """Add ``out``: the field list of a schema text, NULL when it is malformed for its format.
+
+    PROTOBUF is not interpreted and has an empty list; an unknown format has none.
+    """
+    node, kind = F.col("__schema"), F.col(schema_format)
+    fields = (
+        F.when((kind == t.AVRO) & avro_schema_ok(node), avro_fields(node))
+        .when((kind == t.JSON_SCHEMA) & json_schema_ok(node), json_fields(node))
+        .when(kind == t.PROTOBUF, F.array().cast(_FIELDS))
+    )
+    parsed = with_document(df, text, "__schema")
+    return bind(parsed, {out: fields.cast(_FIELDS)}).drop("__schema")
+
+
+def with_field_changes(
     df: DataFrame,
     current: str,
     proposed: str,
@@ -282,47 +282,50 @@ def with_schema_changes(
     compatibility: str,
     strict_types: bool = False,
 ) -> DataFrame:
-    """Add ``changes``, ``classification`` and ``schema_error`` for two schema texts per row.
+    """Add ``changes``, ``classification`` and ``schema_error`` for two field lists per row.
 
     PROTOBUF is always SAFE; an unknown format or a malformed schema is an error and no class.
     """
-    parsed = with_document(with_document(df, current, "__cur"), proposed, "__new")
-    kind, cur, new = F.col(schema_format), F.col("__cur"), F.col("__new")
-    avro, json_schema = kind == t.AVRO, kind == t.JSON_SCHEMA
-
-    def broken(side: Column, label: str) -> Column:
-        bad = (avro & ~avro_schema_ok(side)) | (json_schema & ~json_schema_ok(side))
-        shown = F.when(avro, F.lit("avro")).otherwise(F.lit("json"))
-        return F.when(bad, F.concat(F.lit(f"parsing {label} "), shown, F.lit(" schema")))
-
+    kind, old, new, mode = (F.col(c) for c in (schema_format, current, proposed, compatibility))
+    shown = F.when(kind == t.AVRO, F.lit("avro")).otherwise(F.lit("json"))
+    broken = lambda side, label: F.when(
+        side.isNull(), F.concat(F.lit(f"parsing {label} "), shown, F.lit(" schema"))
+    )
     unknown = F.when(
         ~F.coalesce(kind.isin(t.AVRO, t.JSON_SCHEMA, t.PROTOBUF), F.lit(False)),
         F.concat(F.lit("unsupported schema format: "), F.coalesce(kind, F.lit(""))),
     )
-    reason = F.coalesce(unknown, broken(cur, "current"), broken(new, "proposed"))
-    mode = F.col(compatibility)
-    fields = lambda side: F.when(avro, avro_fields(side)).when(json_schema, json_fields(side))
-    avro_diff = diff_fields(
-        F.col("__old_fields"), F.col("__new_fields"), lambda n, o, p: _avro_rules(n, o, p, mode)
-    )
-    json_diff = diff_fields(
-        F.col("__old_fields"), F.col("__new_fields"),
-        lambda n, o, p: _json_rules(n, o, p, strict_types),
+    error = F.when(
+        F.coalesce(kind != t.PROTOBUF, F.lit(True)),
+        F.coalesce(unknown, broken(old, "current"), broken(new, "proposed")),
     )
-    nothing = F.array().cast(CHANGES)
     usable = F.col("schema_error").isNull()
-    both_sides = {
-        "__old_fields": F.when(usable, fields(cur)),
-        "__new_fields": F.when(usable, fields(new)),
-    }
+    avro_diff = diff_fields(old, new, lambda n, o, p: _avro_rules(n, o, p, mode))
+    json_diff = diff_fields(old, new, lambda n, o, p: _json_rules(n, o, p, strict_types))
     changes = (
-        F.when(usable & avro, avro_diff).when(usable & json_schema, json_diff).otherwise(nothing)
+        F.when(usable & (kind == t.AVRO), avro_diff)
+        .when(usable & (kind == t.JSON_SCHEMA), json_diff)
+        .otherwise(F.array().cast(CHANGES))
     )
-    compared = bind(bind(bind(parsed, {"schema_error": reason}), both_sides), {"changes": changes})
+    compared = bind(df.withColumn("schema_error", error), {"changes": changes})
     worst = F.when(usable, worst_classification(F.col("changes")))
-    return compared.withColumn("classification", worst).drop(
-        "__cur", "__new", "__old_fields", "__new_fields"
-    )
+    return compared.withColumn("classification", worst)
+
+
+def with_schema_changes(
+    df: DataFrame,
+    current: str,
+    proposed: str,
+    schema_format: str,
+    compatibility: str,
+    strict_types: bool = False,
+) -> DataFrame:
+    """:func:`with_field_changes` for two schema texts per row, both read in the same format."""
+    listed = with_schema_fields(df, current, schema_format, "__old_fields")
+    listed = with_schema_fields(listed, proposed, schema_format, "__new_fields")
+    return with_field_changes(
+        listed, "__old_fields", "__new_fields", schema_format, compatibility, strict_types
+    ).drop("__old_fields", "__new_fields")
 
 
 def change_rows(df: DataFrame, *keys: str) -> DataFrame:
@@ -335,39 +338,44 @@ def change_rows(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def evolution_history(versions: DataFrame, strict_types: bool = False) -> DataFrame:
-    """Every version against its predecessor: changes, class and size of the version step."""
+    """Every version against its predecessor: changes, class and size of the version step.
+
+    Each schema is parsed once, where it is read; only its field list travels to the window. The
+    first version of a contract has no class. A step between two formats is an error.
+    """
+    listed = with_schema_fields(versions, "schema_body", "schema_format", "__fields")
+    listed = listed.drop("schema_body")
     order = Window.partitionBy("contract_id").orderBy("created_at", "id")
-    before = F.lag(F.struct("version", "schema_body", "compatibility")).over(order)
-    paired = versions.withColumn("__prev", before)
-    paired = paired.withColumns(
+    before = F.lag(F.struct("version", "schema_format", "compatibility", "__fields")).over(order)
+    paired = bind(
+        listed.withColumn("__prev", before),
         {
             "previous_version": F.col("__prev.version"),
-            "__old_body": F.col("__prev.schema_body"),
+            "__old_fields": F.col("__prev.__fields"),
             "__old_mode": F.col("__prev.compatibility"),
-        }
-    ).drop("__prev")
-    has_previous = F.col("previous_version").isNotNull()
-    compared = with_schema_changes(
-        paired.withColumn(
-            "__body", F.coalesce(F.col("__old_body"), F.col("schema_body"))
-        ),
-        "__body", "schema_body", "schema_format", "__old_mode", strict_types,
+            "__format": F.when(
+                F.col("__prev.schema_format") == F.col("schema_format"), F.col("schema_format")
+            ).otherwise(F.concat_ws(" to ", "__prev.schema_format", "schema_format")),
+            "__now": parse_semver(F.col("version")),
+            "__then": parse_semver(F.col("__prev.version")),
+        },
     )
-    now, then = parse_semver(F.col("version")), parse_semver(F.col("previous_version"))
-    stepped = compared.withColumns({"__now": now, "__then": then})
+    compared = with_field_changes(
+        paired, "__old_fields", "__fields", "__format", "__old_mode", strict_types
+    )
+    first = F.col("previous_version").isNull()
     malformed = F.when(
         F.col("__now").isNull() | F.col("__then").isNull(),
         F.lit("version must be MAJOR.MINOR.PATCH"),
     )
-    return stepped.withColumns(
+    step_error = F.coalesce(malformed, bump_error(F.col("__then"), F.col("__now")))
+    return compared.withColumns(
         {
+            "schema_error": F.when(~first, F.col("schema_error")),
             "bump": bump_level(F.col("__then"), F.col("__now")),
-            "bump_error": F.when(
-                has_previous,
-                F.coalesce(malformed, bump_error(F.col("__then"), F.col("__now"))),
-            ),
+            "bump_error": F.when(~first, step_error),
         }
-    ).drop("__now", "__then", "__body", "__old_body", "__old_mode")
+    ).drop("__prev", "__now", "__then", "__fields", "__old_fields", "__old_mode", "__format")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -419,7 +427,7 @@ def consumers_per_topic(edges: DataFrame) -> DataFrame:
     team = F.when(F.col("consumer_team") != "", F.col("consumer_team"))
     return per_team.groupBy(F.col("source_topic").alias("topic")).agg(
         F.sum("__n").alias("n_consumers"),
-        F.array_sort(F.collect_list(team)).alias("teams"),
+        F.sort_array(F.collect_list(team)).alias("teams"),
     )
 
 
@@ -453,7 +461,7 @@ def affected_consumers(compared: DataFrame, edges: DataFrame) -> DataFrame:
     )
     joined = breaking.join(edges, "source_topic", "inner")
     impacted = (
-        F.array_sort(F.array_intersect("__changed", "fields_used"))
+        F.sort_array(F.array_intersect("__changed", "fields_used"))
         if "fields_used" in edges.columns
         else F.array().cast(_STRINGS)
     )

@@ -12,15 +12,16 @@ from pactline.functions.documents import (
     let,
     object_paths,
     path_get,
-    path_set,
+    path_replace,
+    variant_path,
     with_document,
 )
-from pactline.functions.masks import detect_pii, mask, redact, tokenize
+from pactline.functions.masks import detect_pii, looks_sensitive, mask, redact, tokenize
 from pactline.functions.rows import bind
 
 DEFAULT_KEY = "default"
 PARSE_ERROR = "parsing payload for masking: not a JSON object"
-_POLICIES = "array<struct<path:string,masking_op:string,pii_class:string>>"
+_POLICIES = "array<struct<path:string,masking_op:string,pii_class:string,compiled:string>>"
 _DETECTIONS = "array<struct<path:string,pii_class:string,from_pattern:boolean>>"
 
 
@@ -41,7 +42,7 @@ def _apply_policy(state: Column, policy: Column, pads: tuple[Column, Column], op
         return F.struct(doc.alias("doc"), done.alias("done"), state["error"].alias("error"))
 
     def put(text: Column) -> Column:
-        return succeed(path_set(state["doc"], path, text.cast("variant")))
+        return succeed(path_replace(state["doc"], path, text.cast("variant")))
 
     def step(current: Column) -> Column:
         text = F.try_variant_get(current, "$", "string")
@@ -64,17 +65,21 @@ def _apply_policy(state: Column, policy: Column, pads: tuple[Column, Column], op
         )
 
     return F.when(state["error"].isNotNull(), state).otherwise(
-        let(path_get(state["doc"], path), step)
+        let(path_get(state["doc"], path, policy["compiled"]), step)
     )
 
 
 def masking_rules(policies: Column) -> Column:
-    """The rules that name an operation, in order; empty for NULL."""
+    """The rules that name an operation, in order, with their compiled path; empty for NULL."""
+    named = F.filter(policies, lambda p: F.coalesce(p["masking_op"], F.lit("")) != "")
     plain = F.transform(
-        policies, lambda p: F.struct(*[p[n].alias(n) for n in ("path", "masking_op", "pii_class")])
+        named,
+        lambda p: F.struct(
+            *[p[n].alias(n) for n in ("path", "masking_op", "pii_class")],
+            variant_path(p["path"]).alias("compiled"),
+        ),
     )
-    named = F.filter(plain, lambda p: F.coalesce(p["masking_op"], F.lit("")) != "")
-    return F.coalesce(named, F.array().cast(_POLICIES))
+    return F.coalesce(plain, F.array().cast(_POLICIES))
 
 
 def apply_policies(
@@ -84,6 +89,7 @@ def apply_policies(
     *,
     document: str = "document",
     payload: str = "payload",
+    only: Column | None = None,
     mask_char: str = "*",
     keep: int = 4,
     prefix: str = "tok_",
@@ -92,7 +98,8 @@ def apply_policies(
 
     Policies apply in order. A failing policy blocks the whole message: both masked columns are then
     NULL, so a half-masked text cannot leave the operator. Absent fields are skipped, JSON null
-    counts as transformed.
+    counts as transformed. ``policies`` are rows of :func:`masking_rules`. Rows outside ``only`` are
+    left alone: all four columns are NULL.
     """
     opts = {"mask_char": mask_char, "keep": keep, "prefix": prefix}
     start = F.struct(
@@ -100,10 +107,11 @@ def apply_policies(
         F.array().cast("array<string>").alias("done"),
         F.lit(None).cast("string").alias("error"),
     )
-    folded = F.aggregate(
-        masking_rules(policies), start, lambda s, p: _apply_policy(s, p, pads, opts)
+    chosen = F.lit(True) if only is None else only
+    folded = F.when(
+        chosen, F.aggregate(policies, start, lambda s, p: _apply_policy(s, p, pads, opts))
     )
-    unparsed = F.when(F.col(document).isNull(), F.lit(PARSE_ERROR))
+    unparsed = F.when(chosen & F.col(document).isNull(), F.lit(PARSE_ERROR))
     error = F.coalesce(unparsed, F.col("__mask.error"))
     ok = F.col("masking_error").isNull()
     text = F.when(F.size("__mask.done") == 0, F.col(payload)).otherwise(F.to_json("__mask.doc"))
@@ -123,45 +131,50 @@ def apply_policies(
 
 def scan_pii(doc: Column, text: Column, covered: Column) -> Column:
     """(path, pii_class, from_pattern) for suspicious field names no policy covers exactly."""
-    open_paths = F.filter(
-        object_paths(doc, text), lambda p: ~F.array_contains(covered, p)
+    suspicious = F.filter(
+        object_paths(doc, text), lambda p: looks_sensitive(p) & ~F.array_contains(covered, p)
     )
-    hits = F.transform(
-        open_paths,
+    return F.transform(
+        suspicious,
         lambda p: F.struct(
             p.alias("path"), detect_pii(p).alias("pii_class"), F.lit(True).alias("from_pattern")
         ),
-    )
-    return F.filter(hits, lambda h: h["pii_class"].isNotNull()).cast(_DETECTIONS)
+    ).cast(_DETECTIONS)
 
 
 def with_keys(enforcement: DataFrame, keys: DataFrame) -> DataFrame:
-    """Attach the key pads of each contract, so that they travel as data and not as literals."""
+    """Attach key pads and compiled masking rules to each contract.
+
+    The pads travel as data and not as literals; the rules are prepared once per contract, not once
+    per message.
+    """
     if "key_id" in enforcement.columns:
         named = enforcement
     else:
         named = enforcement.withColumn(
             "key_id", F.when(F.col("topic").isNotNull(), F.lit(DEFAULT_KEY))
         )
-    return named.join(keys, "key_id", "left").drop("key_id")
+    return named.join(keys, "key_id", "left").drop("key_id").withColumn(
+        "masking", masking_rules(F.col("fields"))
+    )
 
 
 def mask_messages(
-    messages: DataFrame, *, rules: str = "contract.fields", **options
+    messages: DataFrame, *, rules: str = "contract.masking", only: Column | None = None, **options
 ) -> DataFrame:
     """Masking and advisory scan of messages that carry their contract (with key pads).
 
     Expects the columns ``payload``, ``contract`` and, when already parsed, ``document``. Adds the
     columns of :func:`apply_policies` and ``pattern_detections``. The scan sees the masked document
-    and runs also when there are no policies.
+    and runs also when there are no policies. ``rules`` names a column of :func:`masking_rules`.
     """
     if "document" not in messages.columns:
         messages = with_document(messages, "payload", "document")
     pads = (F.col("contract.ipad"), F.col("contract.opad"))
-    masked = apply_policies(messages, F.col(rules), pads, **options)
-    covered = F.transform(masking_rules(F.col(rules)), lambda p: p["path"])
+    masked = apply_policies(messages, F.col(rules), pads, only=only, **options)
+    covered = F.transform(F.col(rules), lambda p: p["path"])
     found = F.when(
-        F.col("masking_error").isNull(),
+        F.col("masked_document").isNotNull(),
         scan_pii(F.col("masked_document"), F.col("masked_payload"), covered),
     )
     return bind(masked, {"pattern_detections": found})

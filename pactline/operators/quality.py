@@ -79,7 +79,7 @@ def declared_consumers(contracts: DataFrame, namespace: str) -> tuple[DataFrame,
         .groupBy("id", "node_type", "name")
         .agg(
             F.max("team").alias("owner_team"),
-            F.array_sort(F.collect_list("field")).alias("fields"),
+            F.sort_array(F.collect_list("field")).alias("fields"),
         )
         .select(
             "id", "node_type", "name",
@@ -141,7 +141,7 @@ def schema_drift(
         F.count(F.lit(1)).alias("__n"), F.count_if("nullable").alias("__nulls")
     )
     observed = per_kind.groupBy("topic", "path").agg(
-        F.array_sort(F.collect_list("value_type")).alias("kinds"),
+        F.sort_array(F.collect_list("value_type")).alias("kinds"),
         F.sum("__n").alias("n"),
         (F.sum("__nulls") / F.sum("__n")).alias("null_rate"),
     )
@@ -162,7 +162,7 @@ def audit_log(validated: DataFrame, policies: DataFrame, contracts: DataFrame) -
         policies.filter(F.col("policy_type") == t.AUDIT_LOG)
         .join(contracts.select(F.col("id").alias("contract_id"), "topic"), "contract_id")
         .groupBy("topic")
-        .agg(F.array_sort(F.collect_set("field_path")).alias("audited_fields"))
+        .agg(F.sort_array(F.collect_set("field_path")).alias("audited_fields"))
     )
     accepted = validated.filter(F.col("status") == t.ACCEPTED)
     return lookup_join(accepted, audited, "topic", "inner", spread_by=["key", "payload"]).select(

@@ -102,7 +102,7 @@ def enforcement_contracts(
         F.coalesce(operation, F.lit("")).alias("masking_op"),
     )
     per_contract = config.groupBy("contract_id").agg(
-        F.array_sort(F.collect_list(rule)).alias("__policies")
+        F.sort_array(F.collect_list(rule)).alias("__policies")
     )
 
     joined = head.join(per_contract, "contract_id", "left")

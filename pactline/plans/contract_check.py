@@ -17,13 +17,10 @@ def check_and_mask(
     """Validated messages; those accepted are masked by their contract's policies.
 
     One scan and one narrow stage: contracts and keys are broadcast after their size is checked.
-    Rejected messages get no policies, so nothing is computed for them.
+    Nothing is computed for messages that are not accepted; their masking columns are NULL.
     """
     validated = validate(messages, with_keys(enforcement, keys))
-    rules = F.when(F.col("status") == t.ACCEPTED, F.col("contract.fields"))
-    return mask_messages(
-        validated.withColumn("__rules", rules), rules="__rules", **masking
-    ).drop("__rules")
+    return mask_messages(validated, only=F.col("status") == t.ACCEPTED, **masking)
 
 
 def contract_outcomes(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from pactline.operators.partitions import spread
 from pactline.plans.contract_check import contract_outcomes
 from pactline.sources.sinks import write_outcomes
 
@@ -30,7 +31,7 @@ def contract_stream(
     root = path.rstrip("/")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rows = contract_outcomes(batch, load_enforcement(), load_keys(), *extra)
+        rows = contract_outcomes(spread(batch), load_enforcement(), load_keys(), *extra)
         write_outcomes(rows, f"{root}/batch_id={batch_id}")
 
     return (

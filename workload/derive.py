@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pactline import types as t
 from pactline.functions.masks import token_keys
+from pactline.operators.partitions import spread
 from pactline.operators.registry import enforcement_contracts
 from pactline.session import configure, scratch_path
 
@@ -70,7 +71,7 @@ def as_messages(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_messages(table(spark, sf_dir, "events"))
+    return as_messages(spread(table(spark, sf_dir, "events")))
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +201,7 @@ def as_consumed(events: DataFrame) -> DataFrame:
 
 
 def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_consumed(table(spark, sf_dir, "events"))
+    return as_consumed(spread(table(spark, sf_dir, "events")))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -219,7 +220,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")
     level = F.left("o_orderpriority", F.lit(1)).cast("int")
     total_type = F.when(price < 300000, '"double"').otherwise('["null", "double"]')
@@ -266,7 +267,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     balance, nation, segment = F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_mktsegment")
     unknown = (segment == "HOUSEHOLD") & (balance >= 9000)
     form = (
@@ -336,6 +337,10 @@ def edge_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (topic, consumer) pairs of the observations, with type and team by supplier."""
+    return stored(spark, "lineage_edges", sf_dir, lambda: _build_lineage_edges(spark, sf_dir))
+
+
+def _build_lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = edge_observations(spark, sf_dir)
     return seen.groupBy("source_topic", "consumer_name").agg(
         F.min("consumer_type").alias("consumer_type"),

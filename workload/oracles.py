@@ -476,8 +476,7 @@ o AS (
 oracle("contract_outcomes_rows", VALIDATED, MASKED, f"""
 SELECT event_id, outcome, coalesce(error, masking_error) AS error,
   CASE WHEN status = 'REJECTED' THEN {DETAIL} END AS detail,
-  CASE WHEN masking_error IS NOT NULL OR (malformed AND NOT (status = 'ACCEPTED')) THEN NULL
-       WHEN status = 'ACCEPTED' AND event_type = 'signup' THEN 'user.email,user.id'
+  CASE WHEN outcome <> 'ACCEPTED' THEN NULL WHEN event_type = 'signup' THEN 'user.email,user.id'
        ELSE '' END AS transformed,
   CASE WHEN outcome <> 'ACCEPTED' THEN NULL
        WHEN event_type = 'signup' THEN repeat('*', email_size - 4) || '.com'
@@ -495,14 +494,12 @@ oracle("masking_totals", VALIDATED, MASKED, """
 SELECT topic,
   coalesce(sum(CASE WHEN status = 'ACCEPTED' AND event_type = 'signup' THEN 2 END), 0)
     AS fields_transformed,
-  count(*) FILTER (masking_error IS NOT NULL OR malformed) AS failures,
-  coalesce(sum(CASE WHEN masking_error IS NOT NULL OR malformed THEN 0
-    WHEN status = 'ACCEPTED' AND event_type = 'signup' THEN 0 ELSE 1 END), 0) AS pattern_warnings
+  count(*) FILTER (masking_error IS NOT NULL) AS failures,
+  count(*) FILTER (outcome = 'ACCEPTED' AND event_type <> 'signup') AS pattern_warnings
 FROM o GROUP BY topic""")
 oracle("scan_pii", VALIDATED, MASKED, """
 SELECT event_id, 'user.email' AS path, 'PERSONAL' AS pii_class, true AS from_pattern
-FROM o WHERE masking_error IS NULL AND NOT malformed
-  AND NOT (status = 'ACCEPTED' AND event_type = 'signup')""")
+FROM o WHERE outcome = 'ACCEPTED' AND event_type <> 'signup'""")
 oracle("detect_pii", f"SELECT doc_id, {pii('text')} AS pii_class FROM documents")
 
 # --- registry ---------------------------------------------------------------------------------
@@ -803,8 +800,7 @@ FROM w WHERE status = 'ACCEPTED' AND event_type IN ('view', 'purchase')""")
 oracle("stream_validate", VALIDATED, MASKED, f"""
 SELECT event_id, outcome, coalesce(error, masking_error) AS error,
   CASE WHEN status = 'REJECTED' THEN {DETAIL} END AS detail,
-  CASE WHEN masking_error IS NOT NULL OR (malformed AND NOT (status = 'ACCEPTED')) THEN NULL
-       WHEN status = 'ACCEPTED' AND event_type = 'signup' THEN 'user.email,user.id'
+  CASE WHEN outcome <> 'ACCEPTED' THEN NULL WHEN event_type = 'signup' THEN 'user.email,user.id'
        ELSE '' END AS transformed
 FROM o""")
 oracle("stream_lineage", MESSAGES, AUDIT, """

@@ -196,7 +196,7 @@ def extract_fields(spark, sf):
 
 @query
 def top_level_keys(spark, sf):
-    keys = F.array_sort(documents.top_level_keys(F.col("payload")))
+    keys = F.sort_array(documents.top_level_keys(F.col("payload")))
     return _documents(spark, sf).select(
         "event_id", joined(F.when(F.col("doc").isNotNull(), keys)).alias("keys"))
 
