@@ -132,8 +132,14 @@ def path_set(doc: Column, path: Column, value: Column) -> Column:
                 F.aggregate(above, doc, lambda node, s: F.try_element_at(as_object(node), s))
             )
             name = F.get(segments, i - 1)
-            others = F.map_filter(parent, lambda k, _: k != name)
-            return F.to_variant_object(F.map_concat(others, F.create_map(name, child)))
+
+            def merge(members: Column) -> Column:
+                others = F.map_filter(members, lambda k, _: k != name)
+                merged = F.map_concat(others, F.create_map(name, child))
+                usable = members.isNotNull() & child.isNotNull()
+                return F.when(usable, F.to_variant_object(merged))
+
+            return let(parent, merge)
 
         inside_out = F.reverse(F.sequence(F.lit(1), depth))
         return F.aggregate(inside_out, value, step)
