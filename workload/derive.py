@@ -150,7 +150,9 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        build().write.parquet(path)
+        built = build()
+        parts = max(spark.sparkContext.defaultParallelism, built.rdd.getNumPartitions())
+        built.repartition(parts).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
