@@ -337,7 +337,42 @@ def change_rows(df: DataFrame, *keys: str) -> DataFrame:
 # version history
 
 
-def evolution_history(versions: DataFrame, strict_types: bool = False) -> DataFrame:
+HOT_VERSIONS = 100_000
+
+
+def largest_history(versions: DataFrame) -> int:
+    """Versions of the contract that has most, from one narrow aggregation."""
+    return versions.groupBy("contract_id").count().agg(F.max("count")).first()[0] or 0
+
+
+def with_previous(
+    versions: DataFrame, value: Column, out: str, hot: bool = False, bucket: str = "hour"
+) -> DataFrame:
+    """Add ``value`` of the version before (same contract, by created_at and id).
+
+    Normally one window per contract. With a ``hot`` contract no task may sort a whole history:
+    rows are then ordered within time buckets, and the first row of a bucket takes the last row of
+    the bucket before, from a table with one row per contract and bucket.
+    """
+    order = ["created_at", "id"]
+    if not hot:
+        window = Window.partitionBy("contract_id").orderBy(*order)
+        return versions.withColumn(out, F.lag(value).over(window))
+    keys = ["contract_id", "__bucket"]
+    split = versions.withColumn("__bucket", F.date_trunc(bucket, "created_at"))
+    last = split.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    across = Window.partitionBy("contract_id").orderBy("__bucket")
+    carried = last.select(*keys, F.lag("__last").over(across).alias("__carried"))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    joined = split.withColumn("__near", F.lag(value).over(inside)).join(carried, keys, "left")
+    return joined.withColumn(out, F.coalesce("__near", "__carried")).drop(
+        "__bucket", "__near", "__carried"
+    )
+
+
+def evolution_history(
+    versions: DataFrame, strict_types: bool = False, hot_versions: int = HOT_VERSIONS
+) -> DataFrame:
     """Every version against its predecessor: changes, class and size of the version step.
 
     Each schema is parsed once, where it is read; only its field list travels to the window. The
@@ -345,10 +380,9 @@ def evolution_history(versions: DataFrame, strict_types: bool = False) -> DataFr
     """
     listed = with_schema_fields(versions, "schema_body", "schema_format", "__fields")
     listed = listed.drop("schema_body")
-    order = Window.partitionBy("contract_id").orderBy("created_at", "id")
-    before = F.lag(F.struct("version", "schema_format", "compatibility", "__fields")).over(order)
+    kept = F.struct("version", "schema_format", "compatibility", "__fields")
     paired = bind(
-        listed.withColumn("__prev", before),
+        with_previous(listed, kept, "__prev", hot=largest_history(versions) > hot_versions),
         {
             "previous_version": F.col("__prev.version"),
             "__old_fields": F.col("__prev.__fields"),

@@ -156,6 +156,20 @@ def test_history(spark):
     assert rows["e"].bump_error == "version must be MAJOR.MINOR.PATCH"
 
 
+def test_hot_contract_gives_the_same_history(spark):
+    fields = [ID, AMOUNT, CURRENCY, with_default(CURRENCY, "")]
+    v = versions_frame(spark, [
+        version(f"{i:02d}", f"c{i % 3 // 2}", f"1.{i}.0", avro(*fields[:1 + i % 4]), day=1 + i // 4)
+        for i in range(40)])
+    v = v.withColumn("created_at", F.col("created_at") + F.expr("interval 50 minutes") *
+                     F.col("id").cast("int"))
+    shown = lambda df: sorted(map(str, df.select(
+        "id", "previous_version", "bump", "classification", "changes", "schema_error").collect()))
+    plain = shown(evolution.evolution_history(v))
+    assert len(plain) == 40
+    assert shown(evolution.evolution_history(v, hot_versions=5)) == plain
+
+
 def test_gate(spark):
     contracts = spark.createDataFrame(
         [("c", "payments", "topic.p"), ("n", "new", "topic.n")],
