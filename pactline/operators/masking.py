@@ -61,6 +61,9 @@ def _apply_policy(state: Column, policy: Column, pads: tuple[Column, Column], op
                 (operation != t.REDACT) & ~textual,
                 fail(F.concat(operation, F.lit(" needs a string, got "), json_kind(current))),
             )
+            .when(
+                (operation == t.TOKENIZE) & pads[0].isNull(), fail(F.lit("TOKENIZE has no key"))
+            )
             .otherwise(put(hidden))
         )
 

@@ -14,13 +14,22 @@ RESULT_SETTINGS = {
 }
 
 # Hides hex literals of 64 bytes (derived key pads) in plan strings.
-PLAN_REDACTION = {"spark.sql.redaction.string.regex": "(?i)(0x|x')[0-9a-f]{128}'?"}
+REDACTION = "spark.sql.redaction.string.regex"
+KEY_PADS = "(?i:(0x|x')[0-9a-f]{128}'?)"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators need to a session the caller already owns."""
-    for key, value in {**RESULT_SETTINGS, **PLAN_REDACTION}.items():
+    """Apply the settings the operators need to a session the caller already owns.
+
+    A redaction pattern of the caller is kept and extended.
+    """
+    for key, value in RESULT_SETTINGS.items():
         spark.conf.set(key, value)
+    own = spark.conf.get(REDACTION, None)
+    if not own:
+        spark.conf.set(REDACTION, KEY_PADS)
+    elif KEY_PADS not in own:
+        spark.conf.set(REDACTION, f"(?:{own})|{KEY_PADS}")
     return spark
 
 

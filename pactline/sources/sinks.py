@@ -74,6 +74,11 @@ def write_rejected(rows: DataFrame, path: str) -> None:
     rejected_rows(rows).write.mode("append").parquet(path)
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append violation or audit log rows; both logs only ever grow."""
+    rows.write.mode("append").parquet(path)
+
+
 def write_run_events(events: DataFrame, path: str, fallback: str | None = None) -> bool:
     """Write run events (JSON text in ``value``) as lines; True when they arrived at ``path``.
 

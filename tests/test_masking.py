@@ -13,6 +13,7 @@ from pactline import types as t
 from pactline.functions import masks
 from pactline.operators import masking, validation
 from pactline.plans.contract_check import check_and_mask, contract_outcomes
+from pactline.session import KEY_PADS, REDACTION, configure
 
 
 def expected_token(key: str, namespace: str, value: str, prefix="tok_") -> str:
@@ -113,6 +114,28 @@ def test_failures_block_the_message(spark, payload, operation):
     assert row.fields_transformed is None
 
 
+def test_a_missing_key_blocks_the_message(spark):
+    contract = spark.createDataFrame(
+        [("c", "n", "t", "1", [("a", False, "", "TOKENIZE")], False)], t.ENFORCEMENT)
+    messages = spark.createDataFrame([("t", "c", "1", "p", "k", '{"a":"x"}')], t.MESSAGES)
+    row = check_and_mask(messages, contract, masks.token_keys(spark, {"other": "k"})).first()
+    assert row.masked_payload is None and "no key" in row.masking_error
+
+
+def test_redaction_pattern_of_the_caller_stays(spark):
+    before = spark.conf.get(REDACTION)
+    try:
+        spark.conf.set(REDACTION, "secret[0-9]+")
+        configure(configure(spark))
+        assert spark.conf.get(REDACTION) == f"(?:secret[0-9]+)|{KEY_PADS}"
+        key = masks.TokenKey.from_secret("k")
+        df = spark.range(1).select(masks.tokenize(F.lit("secret7"), F.lit("n"), key))
+        assert key.ipad.hex() not in df._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended")).lower()
+    finally:
+        spark.conf.set(REDACTION, before)
+
+
 def test_redact_takes_any_type(spark):
     row = masked(spark, '{"a":{"x":[1]},"b":5}', [("a", "REDACT", ""), ("b", "REDACT", "")])
     assert json.loads(row.masked_payload) == {"a": "[REDACTED]", "b": "[REDACTED]"}

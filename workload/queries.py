@@ -11,6 +11,7 @@ from pactline import types as t
 from pactline.functions import documents, masks, semver, text
 from pactline.operators import evolution, impact, lineage, masking, metrics, quality, registry
 from pactline.operators import validation
+from pactline.operators.partitions import spread
 from pactline.plans import blast_radius as blast
 from pactline.plans import change_gate
 from pactline.plans.contract_check import check_and_mask, contract_outcomes
@@ -256,7 +257,7 @@ def scan_pii(spark, sf):
 @query
 def detect_pii(spark, sf):
     """The name detector on free text: the first keyword group found in each document."""
-    docs = d.table(spark, sf, "documents")
+    docs = spread(d.table(spark, sf, "documents"))
     return docs.select("doc_id", masks.detect_pii(F.col("text")).alias("pii_class"))
 
 
@@ -652,7 +653,7 @@ def _quality_rules() -> dict[str, Column]:
 
 
 def _traced_lines(spark, sf):
-    lines = d.table(spark, sf, "lineitem")
+    lines = spread(d.table(spark, sf, "lineitem"))
     digest = F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"),
                                F.col("l_linenumber").cast("string")))
     shaped = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
