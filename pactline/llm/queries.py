@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm import bpe, chat, exact_dedup, sharding, token_files
+from pactline.llm import (bpe, chat, exact_dedup, near_dedup, repetition, sharding, substring_dedup,
+                          token_files)
 from pactline.llm.common import stored
 from pactline.session import scratch_path
 
@@ -56,6 +57,11 @@ def op3_chat_format(spark, sf):
         F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query
+def op4_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(documents(spark, sf))
+
+
 @query
 def op5_exact_dedup(spark, sf):
     name = uuid.uuid4().hex
@@ -65,6 +71,16 @@ def op5_exact_dedup(spark, sf):
     return rows
 
 
+@query
+def op8_substring_dedup(spark, sf):
+    return substring_dedup.substring_duplicates(documents(spark, sf)).drop("starts", "stops")
+
+
+@query
+def op9_quality_rules(spark, sf):
+    return repetition.quality_measures(documents(spark, sf))
+
+
 @query
 def op10_byte_bpe(spark, sf):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
