@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pactline.session import scratch_path
 
@@ -131,6 +132,18 @@ def rolling(values: np.ndarray, length: int) -> np.ndarray:
         width *= 2
 
 
-def id_bytes(ids) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return np.asarray(ids, "<u4").tobytes()
+def gapless(rows: DataFrame, key: str, order: list[str], name: str, bins: int = 256) -> DataFrame:
+    """Number the rows of each key from 0 without gaps.
+
+    A key's rows are numbered in `bins` parts by a hash of the order columns, and the counts of the
+    parts (at most `bins` for each key) tell where each starts, so a frequent key is not one task.
+    `rows` must give the same rows again, so it should be stored.
+    """
+    placed = rows.withColumn("_bin", F.pmod(F.xxhash64(*order), F.lit(bins)))
+    counts = placed.groupBy(key, "_bin").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(key, "_bin").orderBy(*order)
+    return (placed.withColumn("_place", F.row_number().over(within) - 1).join(starts, [key, "_bin"])
+            .withColumn(name, (F.col("_start") + F.col("_place")).cast("long"))
+            .select(*rows.columns, name))

@@ -11,6 +11,18 @@ import numpy as np
 
 _LOADED: dict[tuple, TextEncoder] = {}
 _WHITE = re.compile(r"\s\s")
+_BLANKS = " \t\n\r"
+
+
+class _Memo(dict):
+    """Ids of pieces; remembers which pieces were asked for in vain."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.missing.add(piece)
 
 
 class TextEncoder:
@@ -30,7 +42,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.limit = separator, limit
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo()
         self.held = 0
         self.size = self.tokenizer.get_vocab_size()
         if separator is None:
@@ -56,62 +68,66 @@ class TextEncoder:
         return lower if same else text
 
     def _odd(self, text: str) -> bool:
-        """May have white space beside white space or a special token, so is encoded as a whole."""
-        return (_WHITE.search(text) is not None or text[0] == " " or text[-1] == " "
-                or any(s in text for s in self.special))
-
-    def _plain(self, piece: str) -> bool:
-        """Can stand between other pieces without a change to its ids."""
-        return (len(piece) <= 40 and not piece[0].isspace() and not piece[-1].isspace()
-                and not (self.separator and self.separator in piece))
+        """Has white space beside white space or a special token, so is encoded as a whole."""
+        return _WHITE.search(text) is not None or any(s in text for s in self.special)
 
-    def _learn(self, pieces: set[str]) -> None:
-        plain = []
+    def _learn(self, pieces: list[str]) -> None:
         self.held += sum(map(len, pieces)) + 200 * len(pieces)
-        for piece in pieces:
-            if self._plain(piece):
-                plain.append(piece)
-            else:
-                self.memo[piece] = self._ids(" " + piece).tobytes()
-        for start in range(0, len(plain), 2000):
-            part = plain[start:start + 2000]
+        for start in range(0, len(pieces), 2000):
+            part = pieces[start:start + 2000]
             if self.separator is None:
-                ids = self._ids("".join(" " + p for p in part))
+                ids = self._ids(" " + " ".join(part))
                 cuts = np.flatnonzero(self.starts[ids])
                 ends = np.append(cuts[1:], len(ids))
             else:
-                ids = self._ids("".join(f" {p} {self.separator}" for p in part))
+                ids = self._ids(f" {self.separator} ".join(part) + f" {self.separator}")
                 ends = np.flatnonzero(ids == self.mark)
                 cuts = np.append(0, ends[:-1] + 1)
-            if len(cuts) != len(part):
-                for piece in part:
-                    self.memo[piece] = self._ids(" " + piece).tobytes()
-                continue
-            raw = ids.tobytes()
-            for piece, a, b in zip(part, (cuts * 4).tolist(), (ends * 4).tolist()):
-                self.memo[piece] = raw[a:b]
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                spans = map(slice, (cuts * 4).tolist(), (ends * 4).tolist())
+                self.memo.update(zip(part, map(raw.__getitem__, spans)))
+            elif len(part) > 1:  # the separator is in a piece
+                half = len(part) // 2
+                self._learn(part[:half])
+                self._learn(part[half:])
+            else:
+                self.memo[part[0]] = self._ids(" " + part[0]).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; of null: none."""
         texts = [self._folded(t) if t and self.separator else t for t in texts]
-        cut = [None if text and self._odd(text) else text.split(" ") if text else []
-               for text in texts]
         memo = self.memo
         if self.held > self.limit:
             memo.clear()
             self.held = 0
-        new = set().union(*(pieces[1:] for pieces in cut if pieces)).difference(memo)
-        if new:
-            self._learn(new)
+        found: list[tuple | None] = []
+        for text in texts:
+            body = text.strip(_BLANKS) if text else ""
+            if not body or self._odd(body):
+                found.append(None)
+                continue
+            # White space in front may belong to the first word, so both are encoded together.
+            first, *pieces = body.split(" ")
+            head, tail = text[:text.index(body[0])], text[len(text.rstrip(_BLANKS)):]
+            found.append((head + first, pieces, list(map(memo.__getitem__, pieces)), tail))
+        if memo.missing:
+            self._learn(list(memo.missing))
+            memo.missing.clear()
         out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self._ids(text).tobytes())
-            elif not pieces:
+        for text, cut in zip(texts, found):
+            if not text:
                 out.append(b"")
+            elif cut is None:
+                out.append(self._ids(text).tobytes())
             else:
-                first = self._ids(pieces[0]).tobytes() if pieces[0] else b""
-                out.append(first + b"".join(map(memo.__getitem__, pieces[1:])))
+                first, pieces, ids, tail = cut
+                for i in [i for i, known in enumerate(ids) if known is None]:
+                    ids[i] = memo[pieces[i]]
+                ids.insert(0, self._ids(first).tobytes())
+                if tail:
+                    ids.append(self._ids(tail).tobytes())
+                out.append(b"".join(ids))
         return out
 
 

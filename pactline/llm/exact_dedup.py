@@ -99,3 +99,20 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: i
     return once.unionByName(again).select(
         "doc_id", "keep_id", "group_size", (F.col("first") & ~F.col("known")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), "known")
+
+
+def exact_filter(docs: DataFrame) -> DataFrame:
+    """The documents whose text no other has, and of equal texts the row with the largest doc_id,
+    with all their columns. Of rows that repeat doc_id and text one stays."""
+    rows = stored(digests(docs), "digests")
+    groups = groups_of(rows).select("digest", F.col("keep_id").alias("_keep"), "keep_rows")
+    several = groups.where("keep_rows > 1").select("digest")
+    kept = groups.select("digest", "_keep").withColumnRenamed("digest", "_digest")
+    own = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    marked = docs.withColumn("_own", own)
+    chosen = marked.join(kept, (F.col("_own") == F.col("_digest"))
+                         & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    again = several.withColumnRenamed("digest", "_own")
+    once = chosen.join(again, "_own", "left_anti").drop("_own")
+    repeated = chosen.join(again, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
+    return once.unionByName(repeated).select(docs.columns)

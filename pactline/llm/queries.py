@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm import (bpe, chat, exact_dedup, near_dedup, repetition, sharding, substring_dedup,
-                          token_files)
+from pactline.llm import (bpe, chat, exact_dedup, importance, near_dedup, packing, repetition, sharding,
+                          substring_dedup, token_files)
 from pactline.llm.common import stored
 from pactline.session import scratch_path
 
@@ -71,6 +71,17 @@ def op5_exact_dedup(spark, sf):
     return rows
 
 
+@query
+def op6_best_fit_packing(spark, sf):
+    return packing.pack_documents(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"),
+                                  "~", 1).drop("ids")
+
+
+@query
+def op7_importance(spark, sf):
+    return importance.importance_sample(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 @query
 def op8_substring_dedup(spark, sf):
     return substring_dedup.substring_duplicates(documents(spark, sf)).drop("starts", "stops")

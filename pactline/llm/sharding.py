@@ -7,9 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pactline.llm.common import stored, text_rows
+from pactline.llm.common import gapless, stored, text_rows
 
 ROW_OVERHEAD = 16
 # A dimension is an attribute in the upper 30 bits and a hash of the row in the lower 32.
@@ -173,16 +172,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 1
     rows = stored(metadata(docs), "shard-metadata")
     if shards is None:
         shards = shards_for(rows.agg(F.sum("size")).first()[0] or 0, target_bytes)
-    placed = split_to_shards(rows, shards).select(
-        "doc_id", "size", "text_crc32", "shard",
-        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(256)).alias("bin"))
-    # Rows are numbered in 256 bins of each shard, and the bins' counts give where each bin starts.
-    counts = placed.groupBy("shard", "bin").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32")
-    numbered = placed.withColumn("place", F.row_number().over(within) - 1)
-    return numbered.join(starts, ["shard", "bin"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.col("place")).cast("long").alias("slot"),
+    placed = split_to_shards(rows, shards).select("doc_id", "size", "text_crc32", "shard")
+    return gapless(placed, "shard", ["doc_id", "text_crc32"], "slot").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
