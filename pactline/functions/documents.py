@@ -176,15 +176,29 @@ def path_replace(doc: Column, path: Column, value: Column) -> Column:
 # ---------------------------------------------------------------------------------------------
 # kinds and listings
 
-# First two letters of the VARIANT schema text; all other schemas are numbers.
-_KINDS = {"OB": "object", "AR": "array", "ST": "string", "BO": "boolean", "VO": "null"}
+# The type names Spark gives to VARIANT values, and the kinds they are in JSON. A type
+# without a JSON form of its own (a date, say) is text there.
+_KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "TINYINT": "number",
+    "SMALLINT": "number",
+    "INT": "number",
+    "BIGINT": "number",
+    "FLOAT": "number",
+    "DOUBLE": "number",
+    "DECIMAL": "number",
+}
 
 
 def json_kind(node: Column) -> Column:
     """string, number, boolean, object, array or null; SQL NULL for an absent value."""
     kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
-    first = F.left(F.schema_of_variant(node), F.lit(2))
-    return F.when(node.isNotNull(), F.coalesce(F.try_element_at(kinds, first), F.lit("number")))
+    name = F.regexp_extract(F.schema_of_variant(node), "^[A-Z_]+", 0)
+    return F.when(node.isNotNull(), F.coalesce(F.try_element_at(kinds, name), F.lit("string")))
 
 
 def canonical_json(node: Column) -> Column:

@@ -21,6 +21,7 @@ from pactline.functions.rows import bind
 from pactline.functions.semver import bump_error, bump_level, parse_semver
 from pactline.functions.text import name_of_rank, quoted, rank_of
 from pactline.operators.joins import lookup_join
+from pactline.operators.partitions import cut
 from pactline.operators.registry import latest_version
 
 CHANGE = "struct<field:string,change_type:string,description:string,severity:string>"
@@ -337,42 +338,36 @@ def change_rows(df: DataFrame, *keys: str) -> DataFrame:
 # version history
 
 
-HOT_VERSIONS = 100_000
-
-
-def largest_history(versions: DataFrame) -> int:
-    """Versions of the contract that has most, from one narrow aggregation."""
-    return versions.groupBy("contract_id").count().agg(F.max("count")).first()[0] or 0
-
-
-def with_previous(
-    versions: DataFrame, value: Column, out: str, hot: bool = False, bucket: str = "hour"
-) -> DataFrame:
+def with_previous(versions: DataFrame, value: Column, out: str) -> DataFrame:
     """Add ``value`` of the version before (same contract, by created_at and id).
 
-    Normally one window per contract. With a ``hot`` contract no task may sort a whole history:
-    rows are then ordered within time buckets, and the first row of a bucket takes the last row of
-    the bucket before, from a table with one row per contract and bucket.
+    The rows are sorted by contract and time into ranges of even size, so a long history, also one
+    with a single time stamp, is divided like all others. Inside a range the row before is looked up
+    in a window; the first row of a range takes the last row of the range before, from a table with
+    one row per range. NULL keys are a contract of their own, NULL times come first.
     """
-    order = ["created_at", "id"]
-    if not hot:
-        window = Window.partitionBy("contract_id").orderBy(*order)
-        return versions.withColumn(out, F.lag(value).over(window))
-    keys = ["contract_id", "__bucket"]
-    split = versions.withColumn("__bucket", F.date_trunc(bucket, "created_at"))
-    last = split.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("__last"))
-    across = Window.partitionBy("contract_id").orderBy("__bucket")
-    carried = last.select(*keys, F.lag("__last").over(across).alias("__carried"))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    joined = split.withColumn("__near", F.lag(value).over(inside)).join(carried, keys, "left")
-    return joined.withColumn(out, F.coalesce("__near", "__carried")).drop(
-        "__bucket", "__near", "__carried"
-    )
-
-
-def evolution_history(
-    versions: DataFrame, strict_types: bool = False, hot_versions: int = HOT_VERSIONS
-) -> DataFrame:
+    order = ["contract_id", "created_at", "id"]
+    entry = F.struct(F.col("contract_id").alias("contract_id"), value.alias("value"))
+    ranged = cut(
+        versions.withColumn("__entry", entry).repartitionByRange(*order)
+        .withColumn("__range", F.spark_partition_id()),
+        "version-ranges",
+    )
+    inside = Window.partitionBy("__range").orderBy(*order)
+    last = ranged.groupBy("__range").agg(F.max_by("__entry", F.struct(*order)).alias("__last"))
+    # One row for each range, and there are as many as partitions.
+    across = Window.orderBy("__range")
+    carried = last.select("__range", F.lag("__last").over(across).alias("__carried"))
+    near = F.lag("__entry").over(inside)
+    joined = ranged.withColumn("__near", near).join(F.broadcast(carried), "__range", "left")
+    before = F.coalesce("__near", "__carried")
+    same = before["contract_id"].eqNullSafe(F.col("contract_id"))
+    return joined.withColumn(out, F.when(same, before["value"])).drop(
+        "__range", "__near", "__carried", "__entry"
+    )
+
+
+def evolution_history(versions: DataFrame, strict_types: bool = False) -> DataFrame:
     """Every version against its predecessor: changes, class and size of the version step.
 
     Each schema is parsed once, where it is read; only its field list travels to the window. The
@@ -382,7 +377,7 @@ def evolution_history(
     listed = listed.drop("schema_body")
     kept = F.struct("version", "schema_format", "compatibility", "__fields")
     paired = bind(
-        with_previous(listed, kept, "__prev", hot=largest_history(versions) > hot_versions),
+        with_previous(listed, kept, "__prev"),
         {
             "previous_version": F.col("__prev.version"),
             "__old_fields": F.col("__prev.__fields"),

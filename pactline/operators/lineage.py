@@ -357,7 +357,8 @@ def upsert_edges(edges: DataFrame, observations: DataFrame) -> DataFrame:
     """The edge table after seeing ``observations`` (edge columns, ``seen_at``, optional ``seq``).
 
     The newest observation of an edge sets type and team, also to NULL, and the time it was last
-    seen; known edges keep their id. One aggregation with partial results before the shuffle.
+    seen; of equally new ones that with the greater ``seq``, then type and team. Known edges keep
+    their id. One aggregation with partial results before the shuffle.
     """
     known = edges.select(
         *_EDGE_KEY,
@@ -375,16 +376,15 @@ def upsert_edges(edges: DataFrame, observations: DataFrame) -> DataFrame:
     )
     merged = known.unionByName(fresh).groupBy(*_EDGE_KEY).agg(
         F.max("__id").alias("__id"),
-        F.max("__order").alias("__order"),
-        F.max_by("__seen", "__order").alias("__seen"),
+        F.max(F.struct("__order", "__seen")).alias("__newest"),
     )
     new_id = uuid_from(F.concat_ws("\u0000", *_EDGE_KEY))
     return merged.select(
         F.coalesce("__id", new_id).alias("id"),
         *_EDGE_KEY,
-        F.col("__seen.consumer_type").alias("consumer_type"),
-        F.col("__seen.consumer_team").alias("consumer_team"),
-        F.col("__order.at").alias("last_seen_at"),
+        F.col("__newest.__seen.consumer_type").alias("consumer_type"),
+        F.col("__newest.__seen.consumer_team").alias("consumer_team"),
+        F.col("__newest.__order.at").alias("last_seen_at"),
     )
 
 

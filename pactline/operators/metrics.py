@@ -56,7 +56,7 @@ def processed_and_failed(traced: DataFrame) -> DataFrame:
 
 
 def run_events_by_type(events: DataFrame) -> DataFrame:
-    return _count(events, F.col("event.eventType").alias("event_type"))
+    return _count(events, "event_type")
 
 
 def edge_upserts_by_type(observations: DataFrame) -> DataFrame:

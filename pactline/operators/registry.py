@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pactline import types as t
 from pactline.functions.documents import as_object, with_parsed
 from pactline.operators.joins import lookup_join
+from pactline.operators.partitions import cut
 
 _VERSION = ["id", "contract_id", "version", "schema_format", "schema_body", "compatibility",
             "status", "registry_id", "authored_by", "created_at"]
@@ -150,9 +151,12 @@ def duplicate_versions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(new_versions(existing, incoming).select("id"), "id", "left_anti")
 
 
-def insert_version(existing: DataFrame, incoming: DataFrame, path: str) -> None:
-    """Append new versions; a repeated (contract_id, version) is not written."""
+def insert_version(existing: DataFrame, incoming: DataFrame, path: str) -> DataFrame:
+    """Append new versions and return the refused rows: a repeated (contract_id, version) is not
+    written. The refused rows are stored before the table changes."""
+    refused = cut(duplicate_versions(existing, incoming), "refused-versions")
     new_versions(existing, incoming).select(*_VERSION).write.mode("append").parquet(path)
+    return refused
 
 
 def append_approval_event(events: DataFrame, path: str) -> None:

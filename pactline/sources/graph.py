@@ -46,13 +46,32 @@ def complete_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(bare)
 
 
+def malformed_documents(df: DataFrame, value: str = "value") -> DataFrame:
+    """The documents that :func:`lineage_graph_from_json` cannot read, or not in full.
+
+    Rows of ``df`` with ``error``: no JSON object, no graph list, or parts of another type than the
+    lineage API gives them, which would be missing from the graph without notice.
+    """
+    parsed = F.from_json(value, GRAPH_DOCUMENT + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    text = F.col(value)
+    error = (
+        F.when(text.isNull(), "no document")
+        .when(F.col("__document").isNull() | F.col("__document._corrupt").isNotNull(),
+              "not a lineage document")
+        .when(F.col("__document.graph").isNull(), "no graph")
+    )
+    return df.withColumn("__document", parsed).withColumn("error", error).drop("__document").filter(
+        F.col("error").isNotNull())
+
+
 def lineage_graph_from_json(
     df: DataFrame, namespace: str, value: str = "value"
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of lineage API documents held as text.
 
     A node listed in several documents is kept once (the last by attribute order); fields are
-    recorded for datasets only. Edge endpoints that are not listed become bare nodes.
+    recorded for datasets only. Edge endpoints that are not listed become bare nodes. Documents that
+    cannot be read add nothing; :func:`malformed_documents` lists them.
     """
     listed = df.select(
         F.inline(F.from_json(value, GRAPH_DOCUMENT)["graph"])

@@ -12,12 +12,6 @@ from pactline.operators.lineage import OFFSET_KEY, lineage_events, upsert_edges
 from pactline.operators.registry import current_snapshot, publish_snapshot
 from pactline.sources.sinks import write_run_events
 
-def deduplicated(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One row per offset, also across replays within the watermark delay."""
-    if not messages.isStreaming:
-        return messages.dropDuplicates(OFFSET_KEY)
-    return messages.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(OFFSET_KEY)
-
 
 def lineage_stream(
     messages: DataFrame,
@@ -27,22 +21,37 @@ def lineage_stream(
     *,
     namespace: str,
     dataset: str = "topic",
-    deduplicate: bool = True,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Consume, route, extract and emit; the file sink adds each batch exactly once."""
-    source = deduplicated(messages) if deduplicate else messages
-    events = lineage_events(source, violation_topic, namespace, dataset)
+    """Consume, route, extract and emit, losing nothing however late a message is.
+
+    Every micro-batch has its own folder below ``path``, which a repeated batch overwrites. Offsets
+    that come again in later batches are written again; :func:`read_lineage_events` shows each once.
+    So the stream keeps no state that grows with its age.
+    """
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        once = batch.dropDuplicates(OFFSET_KEY)
+        events = lineage_events(once, violation_topic, namespace, dataset)
+        events.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
     return (
-        events.writeStream.format("parquet")
-        .option("path", path)
+        messages.writeStream.foreachBatch(emit)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def read_lineage_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events of a lineage stream, each offset and event type once.
+
+    Run ids depend on the offset only, so the copies of an event are equal.
+    """
+    written = spark.read.option("basePath", path).parquet(path)
+    return written.drop("batch_id").dropDuplicates([*OFFSET_KEY, "event_type"])
+
+
 def lineage_delivery_stream(
     messages: DataFrame,
     violation_topic: str,

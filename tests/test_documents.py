@@ -128,3 +128,12 @@ def test_top_level_keys_and_canonical_text(spark):
                      d.canonical_json(F.col("doc")).alias("c")).collect()
     assert rows[0].k == ["id", "amount"] and rows[0].c == '{"amount":50,"id":"x"}'
     assert rows[1].c is None and rows[2].k is None
+
+
+def test_kinds_of_typed_values(spark):
+    row = spark.range(1).select(*(
+        d.json_kind(F.expr(f"variant_get(to_variant_object(named_struct('x', {value})), '$.x', 'variant')")).alias(name)
+        for name, value in (("day", "DATE'2024-01-01'"), ("time", "TIMESTAMP'2024-01-01 00:00:00'"),
+                            ("bytes", "X'00'"), ("decimal", "1.5BD"), ("double", "1.5D")))).first()
+    assert row.asDict() == {"day": "string", "time": "string", "bytes": "string",
+                            "decimal": "number", "double": "number"}

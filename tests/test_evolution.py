@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pactline import types as t
@@ -156,18 +157,15 @@ def test_history(spark):
     assert rows["e"].bump_error == "version must be MAJOR.MINOR.PATCH"
 
 
-def test_hot_contract_gives_the_same_history(spark):
-    fields = [ID, AMOUNT, CURRENCY, with_default(CURRENCY, "")]
-    v = versions_frame(spark, [
-        version(f"{i:02d}", f"c{i % 3 // 2}", f"1.{i}.0", avro(*fields[:1 + i % 4]), day=1 + i // 4)
-        for i in range(40)])
-    v = v.withColumn("created_at", F.col("created_at") + F.expr("interval 50 minutes") *
-                     F.col("id").cast("int"))
-    shown = lambda df: sorted(map(str, df.select(
-        "id", "previous_version", "bump", "classification", "changes", "schema_error").collect()))
-    plain = shown(evolution.evolution_history(v))
-    assert len(plain) == 40
-    assert shown(evolution.evolution_history(v, hot_versions=5)) == plain
+def test_history_in_ranges_equals_one_window_per_contract(spark):
+    """Null contracts, null and equal times, null values, and a contract in several ranges."""
+    rows = [(None if i % 7 == 0 else f"c{i % 5 // 4}", None if i % 11 == 0 else i // 6, f"{i:02d}",
+             None if i % 3 == 0 else i) for i in range(60)]
+    v = spark.createDataFrame(rows, "contract_id string, created_at int, id string, x int")
+    window = Window.partitionBy("contract_id").orderBy("created_at", "id")
+    plain = v.withColumn("before", F.lag("x").over(window))
+    ranged = evolution.with_previous(v, F.col("x"), "before")
+    assert sorted(map(str, ranged.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_gate(spark):
@@ -239,7 +237,7 @@ def test_registry(spark, tmp_path):
     assert [r.id for r in registry.new_versions(v, more).collect()] == ["y"]
     assert {r.id for r in registry.duplicate_versions(v, more).collect()} == {"x", "z"}
     target = str(tmp_path / "versions")
-    registry.insert_version(v, more, target)
+    assert {r.id for r in registry.insert_version(v, more, target).collect()} == {"x", "z"}
     assert spark.read.parquet(target).count() == 1
     event = spark.createDataFrame([("e", "d", "me", "APPROVED", None)], "id string, "
                                   "contract_version_id string, actor string, action string, "

@@ -12,11 +12,11 @@ from pactline import types as t
 from pactline.functions.text import classify_dataset
 from pactline.operators import impact, joins, quality
 from pactline.plans.blast_radius import blast_radius
-from pactline.sources.graph import lineage_graph_from_json
+from pactline.sources.graph import lineage_graph_from_json, malformed_documents
 
-TOPIC = "dataset:demo:payments.transactions"
-FRAUD, LEDGER = "job:demo:fraud-detection", "job:demo:ledger"
-SIGNALS, ENTRIES = "dataset:demo:iceberg.fraud_signals", "dataset:demo:iceberg.ledger_entries"
+READINGS, MEANS = "dataset:demo:sensor.readings", "dataset:demo:iceberg.daily_means"
+ARCHIVE = "dataset:demo:iceberg.archive"
+CLEANER, ALERTS, MAP, GHOST = (f"job:demo:{n}" for n in ("cleaner", "alerts", "map", "ghost"))
 
 
 def node(id_, kind, owner, fields):
@@ -25,14 +25,17 @@ def node(id_, kind, owner, fields):
 
 @pytest.fixture
 def graph(spark):
+    """Two routes to the map, a cycle back from it, and an endpoint that no node describes."""
     nodes = spark.createDataFrame([
-        node(TOPIC, t.DATASET, "platform", ["transaction_id", "amount_cents", "currency"]),
-        node(FRAUD, t.JOB, "fraud", ["transaction_id", "amount_cents"]),
-        node(LEDGER, t.JOB, "finance", ["transaction_id", "currency"]),
-        node(SIGNALS, t.DATASET, "fraud", ["risk_score"]),
-        node(ENTRIES, t.DATASET, "finance", ["amount_cents"])], t.NODES)
+        node(READINGS, t.DATASET, "grid", ["sensor", "celsius", "taken_at"]),
+        node(CLEANER, t.JOB, "weather", ["sensor", "celsius"]),
+        node(ALERTS, t.JOB, "safety", ["celsius"]),
+        node(MEANS, t.DATASET, "climate", ["sensor"]),
+        node(ARCHIVE, t.DATASET, "safety", ["level"]),
+        node(MAP, t.JOB, "safety", ["colour"])], t.NODES)
     edges = spark.createDataFrame(
-        [(TOPIC, FRAUD), (FRAUD, SIGNALS), (TOPIC, LEDGER), (LEDGER, ENTRIES)], t.EDGES)
+        [(READINGS, CLEANER), (READINGS, ALERTS), (CLEANER, MEANS), (MEANS, MAP), (ALERTS, MAP),
+         (MAP, CLEANER), (CLEANER, GHOST), (ALERTS, ARCHIVE)], t.EDGES)
     return nodes, edges
 
 
@@ -69,10 +72,12 @@ def reached(df):
 
 
 def test_fixture_graph(spark, graph):
-    got = reached(impact.reachable(graph[1], sources(spark, TOPIC)))[TOPIC]
-    assert {n: len(p) - 1 for n, p in got.items()} == {FRAUD: 1, LEDGER: 1, SIGNALS: 2, ENTRIES: 2}
-    near = reached(impact.reachable(graph[1], sources(spark, TOPIC), max_depth=1))[TOPIC]
-    assert set(near) == {FRAUD, LEDGER}
+    got = reached(impact.reachable(graph[1], sources(spark, READINGS)))[READINGS]
+    assert {n: len(p) - 1 for n, p in got.items()} == {
+        CLEANER: 1, ALERTS: 1, MEANS: 2, MAP: 2, GHOST: 2, ARCHIVE: 2}
+    assert got[MAP] == [READINGS, ALERTS, MAP]
+    near = reached(impact.reachable(graph[1], sources(spark, READINGS), max_depth=1))[READINGS]
+    assert set(near) == {CLEANER, ALERTS}
     assert reached(impact.reachable(graph[1], sources(spark, "nowhere"))) == {}
 
 
@@ -95,11 +100,11 @@ def test_shuffled_hops_give_the_same_result(spark, graph, monkeypatch):
 
 def test_source_lookup(spark, graph):
     asked = spark.createDataFrame(
-        [("1", "payments.transactions"), ("2", "ledger"), ("3", "unknown.topic")],
+        [("1", "sensor.readings"), ("2", "cleaner"), ("3", "unknown.topic")],
         "change_id string, topic string")
     found = {r.change_id: r.source
              for r in impact.find_source_node(graph[0], asked, "demo").collect()}
-    assert found == {"1": TOPIC, "2": LEDGER, "3": None}
+    assert found == {"1": READINGS, "2": CLEANER, "3": None}
 
 
 @pytest.mark.parametrize("fields, depth, level, hit", [
@@ -126,22 +131,22 @@ def requests(spark, *rows):
 
 def test_report(spark, graph):
     result = blast_radius(
-        requests(spark, ("1", "payments.transactions", ["amount_cents"]),
-                 ("2", "nope", ["x"]), ("3", "payments.transactions", ["other"])),
+        requests(spark, ("1", "sensor.readings", ["sensor"]),
+                 ("2", "nope", ["x"]), ("3", "sensor.readings", ["other"])),
         *graph, "demo")
     rows = {r.change_id: r for r in result.reports.collect()}
     assert rows["1"].summary == (
-        "Changing amount_cents in payments.transactions affects 3 downstream consumer(s). "
-        "2 CRITICAL: fraud-detection, iceberg.ledger_entries will break. "
+        "Changing sensor in sensor.readings affects 3 downstream consumer(s). "
+        "2 CRITICAL: cleaner, iceberg.daily_means will break. "
         "1 HIGH impact consumer(s) require notification. "
         "2 consumer(s) read this topic directly.")
-    assert rows["1"].required_approvals == ["finance", "fraud"]
+    assert rows["1"].required_approvals == ["climate", "safety", "weather"]
     assert rows["2"].error == "Topic 'nope' not found in lineage graph"
     assert rows["2"].summary is None and rows["2"].worst_impact == t.NONE
     assert rows["3"].worst_impact == t.HIGH
     ordered = impact.sort_consumers(result.consumers.filter("change_id = '1'"))
     assert [r.name for r in ordered.collect()] == [
-        "fraud-detection", "iceberg.ledger_entries", "ledger"]
+        "cleaner", "iceberg.daily_means", "alerts"]
     buckets = {(r.bucket, r.n) for r in impact.bucket_consumers(
         result.consumers.filter("change_id = '1'")).collect()}
     assert buckets == {("CRITICAL", 2), ("HIGH", 1)}
@@ -149,9 +154,9 @@ def test_report(spark, graph):
 
 def test_no_impact_and_no_lineage(spark, graph):
     nodes, edges = graph
-    quiet = blast_radius(requests(spark, ("1", "iceberg.fraud_signals", ["x"])), *graph, "demo")
+    quiet = blast_radius(requests(spark, ("1", "iceberg.archive", ["x"])), *graph, "demo")
     assert quiet.reports.first().summary == (
-        "No downstream consumers are impacted by changes to x in iceberg.fraud_signals.")
+        "No downstream consumers are impacted by changes to x in iceberg.archive.")
     bare = blast_radius(requests(spark, ("1", "p", ["x"])), nodes.limit(0), edges.limit(0), "demo")
     row = bare.reports.first()
     assert row.summary == ("No lineage found for topic p. This may indicate the topic has no "
@@ -187,8 +192,17 @@ def test_graph_documents(spark):
     assert {tuple(e) for e in edges.collect()} == {("j0", "d1"), ("d1", "j1"), ("x", "d1")}
 
 
+def test_documents_that_cannot_be_read_are_listed(spark):
+    good = '{"graph":[{"id":"a","type":"JOB"}]}'
+    typed = '{"graph":[{"id":"a","type":"JOB","data":{"facets":"none"}}]}'
+    df = spark.createDataFrame([(good,), (good[:20],), (None,), ("{}",), (typed,)], "value string")
+    found = {r.value: r.error for r in malformed_documents(df).collect()}
+    assert found == {good[:20]: "not a lineage document", None: "no document", "{}": "no graph",
+                     typed: "not a lineage document"}
+
+
 @pytest.mark.parametrize("name, kind", [
-    ("payments.transactions", t.KAFKA_TOPIC), ("db.x", t.UNKNOWN), ("db.x_table", t.ICEBERG_TABLE),
+    ("sensor.readings", t.KAFKA_TOPIC), ("db.x", t.UNKNOWN), ("db.x_table", t.ICEBERG_TABLE),
     ("iceberg.x", t.ICEBERG_TABLE), ("orders_table", t.ICEBERG_TABLE), ("plain", t.UNKNOWN)])
 def test_dataset_types(spark, name, kind):
     df = spark.createDataFrame([(name,)], "n string")
@@ -198,19 +212,19 @@ def test_dataset_types(spark, name, kind):
 def test_declared_consumers_join_the_graph(spark, graph):
     nodes, edges = graph
     declared = spark.createDataFrame(
-        [("payments.transactions", [("daily", "data", t.ICEBERG_TABLE, ["currency"]),
-                                    ("recon", "finance", "FLINK_JOB", ["amount_cents"])]),
-         ("other", [("daily", "data", t.ICEBERG_TABLE, ["id"])])],
+        [("sensor.readings", [("nightly", "data", t.ICEBERG_TABLE, ["celsius"]),
+                              ("audit", "grid", "FLINK_JOB", ["taken_at"])]),
+         ("other", [("nightly", "data", t.ICEBERG_TABLE, ["id"])])],
         "topic string, consumers array<struct<name:string,team:string,type:string,"
         "fields_used:array<string>>>")
     more_nodes, more_edges = quality.declared_consumers(declared, "demo")
     known = {r.id: r.fields for r in more_nodes.collect()}
-    assert known == {"dataset:demo:daily": ["currency", "id"], "job:demo:recon": ["amount_cents"]}
+    assert known == {"dataset:demo:nightly": ["celsius", "id"], "job:demo:audit": ["taken_at"]}
     result = blast_radius(
-        requests(spark, ("1", "payments.transactions", ["currency"])),
+        requests(spark, ("1", "sensor.readings", ["celsius"])),
         nodes.unionByName(more_nodes), edges.unionByName(more_edges), "demo")
     assert {r.name: r.impact for r in result.consumers.collect()} == {
-        "daily": t.CRITICAL, "ledger": t.CRITICAL, "fraud-detection": t.HIGH, "recon": t.HIGH}
+        "nightly": t.CRITICAL, "cleaner": t.CRITICAL, "alerts": t.CRITICAL, "audit": t.HIGH}
 
 
 def test_broadcast_limits(spark):
