@@ -64,13 +64,14 @@ def main() -> None:
     budget = float(os.environ.get("BENCH_BUDGET", "5"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = local_session("bench", cpus)
-    seconds = {}
+    seconds, repeats = {}, {}
     for name in names:
         run(QUERIES[name], spark, sf_dir)
         timed: list[float] = []
         while not timed or (len(timed) < runs and sum(timed) < budget):
             timed.append(run(QUERIES[name], spark, sf_dir))
         seconds[name] = round(statistics.median(timed), 3)
+        repeats[name] = len(timed)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
     spark.stop()
     print(json.dumps({
@@ -80,7 +81,7 @@ def main() -> None:
         "queries": seconds,
         "sf": Path(sf_dir).name.removeprefix("sf"),
         "cpus": cpus,
-        "runs": runs,
+        "runs": repeats,
     }))
 
 
