@@ -144,8 +144,9 @@ def _counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     use = common[column]
     owner, column = owner[use], (np.cumsum(common) - 1)[column[use]]
     out = np.zeros((len(sets), len(others)), np.float32)
-    width = max(256, (16 << 20) // (4 * len(both)))
-    for start in range(0, int(common.sum()), width):
+    columns = int(common.sum())
+    width = min(columns, max(256, (4 << 20) // len(both)))
+    for start in range(0, columns, width):
         a, b = np.searchsorted(column, (start, start + width))
         part = np.zeros((len(both), width), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
@@ -264,7 +265,8 @@ def near_duplicates(docs: DataFrame, rules: NearRules | None = None) -> DataFram
     families = stored(connected_components(candidates), "families")
     members = blocked(families, "component", "node", rules.block)
     texts = text_rows(docs).where(F.col("text").isNotNull())
-    compared = members.join(texts, members["node"] == texts["doc_id"]).select(
+    # Merged at every size: the members grow with the corpus.
+    compared = members.hint("merge").join(texts, members["node"] == texts["doc_id"]).select(
         "component", "left", "right", "mine", "node", "text")
     links = _compared(compared.withColumn("text", F.col("text").cast("binary")), "component",
                       _exact(rules))
