@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pactline.llm.common import (Batches, WordHashes, batch, mapped, mixed, part
 
 _WORDS = WordHashes()
 _CHUNK_WINDOWS = 1_500_000
+_HELD_FLAGS = 1_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 _ENTRIES = "bucket int, n int, tag binary, doc binary, at binary"
@@ -150,6 +152,11 @@ def _later(entries: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return doc[rows], at[rows]
 
 
+def _rows(batches: Batches):
+    for some in slices(batches):
+        yield from some.to_pylist()
+
+
 def _flag_task(bins: int):
     schema = pa.schema([("bin", pa.int32()), ("n", pa.int32()), ("doc", pa.binary()),
                         ("at", pa.binary())])
@@ -162,19 +169,22 @@ def _flag_task(bins: int):
             yield batch(schema, [key], [len(rows)], [_planes(doc[rows])], [_planes(at[rows])])
 
     def task(batches: Batches) -> Batches:
-        bucket, held = None, []
-        for some in slices(batches):
-            for row in some.to_pylist():
-                if row["bucket"] == -1:
-                    yield from flags(_values(row["doc"], row["n"]), _values(row["at"], row["n"]))
-                    continue
-                if row["bucket"] != bucket:
-                    if held:
-                        yield from flags(*_later(held))
-                    bucket, held = row["bucket"], []
+        bucket, held, found = None, [], []
+        for row in chain(_rows(batches), [None]):
+            if row is not None and row["bucket"] == -1:
+                found.append((_values(row["doc"], row["n"]), _values(row["at"], row["n"])))
+            elif held and (row is None or row["bucket"] != bucket):
+                found.append(_later(held))
+                held = []
+            if row is not None and row["bucket"] != -1:
+                bucket = row["bucket"]
                 held.append(row)
-        if held:
-            yield from flags(*_later(held))
+            # The flags of several buckets go out together, else there are rows for all buckets
+            # times all bins.
+            size = sum(len(doc) for doc, _ in found)
+            if found and (row is None or size >= _HELD_FLAGS):
+                yield from flags(*(np.concatenate(part) for part in zip(*found)))
+                found = []
 
     return task
 
@@ -230,11 +240,11 @@ def removal_intervals(docs: DataFrame, length: int = 20) -> DataFrame:
     number = partitions(spark)
     rows = text_rows(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     # Several buckets for each partition even out what the partitions get; a task holds one at a time.
-    entries = mapped(rows, _entry_task(length, 8 * number), _ENTRIES)
+    entries = mapped(rows, _entry_task(length, 4 * number), _ENTRIES)
     # What a task has found by itself goes to any partition.
     place = F.when(F.col("bucket") == -1, F.xxhash64("doc", "at")).otherwise(F.col("bucket"))
     dealt = entries.repartition(number, place).sortWithinPartitions("bucket")
-    flags = mapped(dealt, _flag_task(8 * number), _FLAGS)
+    flags = mapped(dealt, _flag_task(number), _FLAGS)
     gathered = flags.repartition(number, "bin").sortWithinPartitions("bin")
     return mapped(gathered, _interval_task(length),
                   "doc_id long, starts array<long>, stops array<long>")
