@@ -62,6 +62,17 @@ def text_rows(docs: DataFrame, *more: Column) -> DataFrame:
                        F.col("text").cast("string").alias("text"), *more)
 
 
+def fresh_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until none is a column of `docs`."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()

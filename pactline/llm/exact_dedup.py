@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm.common import stored, text_rows
+from pactline.llm.common import fresh_names, stored, text_rows
 
 HOT_SHARE = 1000
 
@@ -104,15 +104,14 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: i
 def exact_filter(docs: DataFrame) -> DataFrame:
     """The documents whose text no other has, and of equal texts the row with the largest doc_id,
     with all their columns. Of rows that repeat doc_id and text one stays."""
-    rows = stored(digests(docs), "digests")
-    groups = groups_of(rows).select("digest", F.col("keep_id").alias("_keep"), "keep_rows")
-    several = groups.where("keep_rows > 1").select("digest")
-    kept = groups.select("digest", "_keep").withColumnRenamed("digest", "_digest")
-    own = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
-    marked = docs.withColumn("_own", own)
-    chosen = marked.join(kept, (F.col("_own") == F.col("_digest"))
-                         & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    again = several.withColumnRenamed("digest", "_own")
-    once = chosen.join(again, "_own", "left_anti").drop("_own")
-    repeated = chosen.join(again, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
-    return once.unionByName(repeated).select(docs.columns)
+    own, doc, digest, keep = fresh_names(docs, "own_digest", "own_id", "group_digest", "group_keep")
+    groups = groups_of(stored(digests(docs), "digests"))
+    kept = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    again = groups.where("keep_rows > 1").select(F.col("digest").alias(own))
+    hashed = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    marked = docs.withColumn(own, hashed).withColumn(doc, F.col("doc_id").cast("long"))
+    chosen = marked.join(kept, (F.col(own) == F.col(digest)) & F.col(doc).eqNullSafe(F.col(keep)),
+                         "left_semi")
+    once = chosen.join(again, own, "left_anti")
+    repeated = chosen.join(again, own, "left_semi").dropDuplicates([own])
+    return once.select(docs.columns).unionByName(repeated.select(docs.columns))

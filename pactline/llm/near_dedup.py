@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pactline.llm.common import (Batches, WordHashes, batch, mapped, partitions, rolling, slices,
-                                 stored, text_bytes, text_rows)
+from pactline.llm.common import (Batches, WordHashes, batch, fresh_names, mapped, partitions, rolling,
+                                 slices, stored, text_bytes, text_rows)
 from pactline.llm.components import connected_components
 
 _WORDS = WordHashes()
@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules | None = None) -> DataFram
 
 def near_filter(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     """The documents that are kept, one for each component, with all their columns."""
+    (name,) = fresh_names(docs, "gone_id")
     gone = near_duplicates(docs, rules).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+        F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

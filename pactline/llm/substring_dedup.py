@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.common import (Batches, WordHashes, batch, mapped, mixed, partitions, rolling,
-                                 slices, stored, text_bytes, text_rows)
+from pactline.llm.common import (Batches, WordHashes, batch, fresh_names, mapped, mixed, partitions,
+                                 rolling, slices, stored, text_bytes, text_rows)
 
 _WORDS = WordHashes()
 _CHUNK_WINDOWS = 1_500_000
@@ -264,11 +264,10 @@ def _cut(words: list[bytes], starts: list[int] | None, stops: list[int] | None)
 
 def with_intervals(docs: DataFrame, length: int = 20) -> DataFrame:
     """The documents with their removal intervals (null for none)."""
-    found = stored(removal_intervals(docs, length), "removal-intervals")
-    renamed = found.select(F.col("doc_id").alias("_removal_id"), F.col("starts").alias("_starts"),
-                           F.col("stops").alias("_stops"))
-    return docs.join(renamed, docs["doc_id"].cast("long") == renamed["_removal_id"], "left").drop(
-        "_removal_id")
+    name, starts, stops = fresh_names(docs, "removal_id", "removal_starts", "removal_stops")
+    found = stored(removal_intervals(docs, length), "removal-intervals").select(
+        F.col("doc_id").alias(name), F.col("starts").alias(starts), F.col("stops").alias(stops))
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left").drop(name)
 
 
 def substring_duplicates(docs: DataFrame, length: int = 20) -> DataFrame:
