@@ -89,67 +89,67 @@ RULES = f"array<{RULE}>"
 FIELD_METADATA = "array<struct<path:string,value_type:string,nullable:boolean,present:boolean>>"
 
 
-_SIMPLE = {
-    "string": T.StringType(),
-    "int": T.IntegerType(),
-    "bigint": T.LongType(),
-    "boolean": T.BooleanType(),
-    "binary": T.BinaryType(),
-    "timestamp": T.TimestampType(),
-    "strings": T.ArrayType(T.StringType()),
-    "headers": T.ArrayType(
-        T.StructType().add("key", T.StringType()).add("value", T.BinaryType())
-    ),
-    "rules": T.ArrayType(
-        T.StructType()
-        .add("path", T.StringType())
-        .add("required", T.BooleanType())
-        .add("pii_class", T.StringType())
-        .add("masking_op", T.StringType())
-    ),
-}
+TEXT, BYTES, TIME = T.StringType(), T.BinaryType(), T.TimestampType()
+INT, LONG, FLAG = T.IntegerType(), T.LongType(), T.BooleanType()
+TEXTS = T.ArrayType(TEXT)
+HEADERS = T.ArrayType(T.StructType().add("key", TEXT).add("value", BYTES))
+RULE_ROWS = T.ArrayType(
+    T.StructType().add("path", TEXT).add("required", FLAG).add("pii_class", TEXT)
+    .add("masking_op", TEXT)
+)
 
 
-def _table(columns: str) -> T.StructType:
-    """A schema from ``name`` (string) and ``name:kind`` words."""
-    schema = T.StructType()
-    for word in columns.split():
-        name, _, kind = word.partition(":")
-        schema = schema.add(name, _SIMPLE[kind or "string"])
-    return schema
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-MESSAGES = _table("topic contract_id contract_version producer_id key payload")
+# The columns of messages, registry tables and the lineage graph.
+MESSAGES = _table(
+    topic=TEXT, contract_id=TEXT, contract_version=TEXT, producer_id=TEXT, key=TEXT,
+    payload=TEXT,
+)
 
 # The shape of Spark's Kafka source with headers switched on.
 CONSUMED = _table(
-    "key:binary value:binary topic partition:int offset:bigint timestamp:timestamp headers:headers"
+    key=BYTES, value=BYTES, topic=TEXT, partition=INT, offset=LONG, timestamp=TIME,
+    headers=HEADERS,
 )
 
-ENFORCEMENT = _table("contract_id name topic version fields:rules fail_open:boolean")
+ENFORCEMENT = _table(
+    contract_id=TEXT, name=TEXT, topic=TEXT, version=TEXT, fields=RULE_ROWS, fail_open=FLAG,
+)
 
 REGISTRY = {
     "contracts": _table(
-        "id name topic owner_team description created_at:timestamp updated_at:timestamp"
+        id=TEXT, name=TEXT, topic=TEXT, owner_team=TEXT, description=TEXT, created_at=TIME,
+        updated_at=TIME,
     ),
     "contract_versions": _table(
-        "id contract_id version schema_format schema_body compatibility status registry_id:int "
-        "authored_by created_at:timestamp"
+        id=TEXT, contract_id=TEXT, version=TEXT, schema_format=TEXT, schema_body=TEXT,
+        compatibility=TEXT, status=TEXT, registry_id=INT, authored_by=TEXT, created_at=TIME,
     ),
     "approval_events": _table(
-        "id contract_version_id actor action comment created_at:timestamp"
+        id=TEXT, contract_version_id=TEXT, actor=TEXT, action=TEXT, comment=TEXT,
+        created_at=TIME,
     ),
     "field_policies": _table(
-        "id contract_id field_path policy_type policy_config created_at:timestamp"
+        id=TEXT, contract_id=TEXT, field_path=TEXT, policy_type=TEXT, policy_config=TEXT,
+        created_at=TIME,
     ),
     "lineage_edges": _table(
-        "id source_topic consumer_name consumer_type consumer_team last_seen_at:timestamp"
+        id=TEXT, source_topic=TEXT, consumer_name=TEXT, consumer_type=TEXT, consumer_team=TEXT,
+        last_seen_at=TIME,
     ),
     "contract_violations": _table(
-        "id contract_id contract_version_id producer_id topic violation_type violation_detail "
-        "occurred_at:timestamp"
+        id=TEXT, contract_id=TEXT, contract_version_id=TEXT, producer_id=TEXT, topic=TEXT,
+        violation_type=TEXT, violation_detail=TEXT, occurred_at=TIME,
     ),
 }
 
-NODES = _table("id node_type name namespace dataset_type owner_team fields:strings")
-EDGES = _table("src dst")
+NODES = _table(
+    id=TEXT, node_type=TEXT, name=TEXT, namespace=TEXT, dataset_type=TEXT, owner_team=TEXT,
+    fields=TEXTS,
+)
+EDGES = _table(
+    src=TEXT, dst=TEXT,
+)

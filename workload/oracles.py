@@ -465,7 +465,8 @@ oracle("top_level_keys", MESSAGES, """
 SELECT event_id, CASE WHEN malformed THEN NULL WHEN amount = 'absent'
   THEN 'event_id,props,tags,user' ELSE 'amount,event_id,props,tags,user' END AS keys FROM m""")
 oracle("canonical_compare",
-       "SELECT 'chg-' || c_custkey AS change_id, c_custkey % 3 <> 0 AS same FROM customer")
+       "SELECT 'chg-' || c_custkey AS change_id, "
+       "c_custkey % 3 <> 0 OR (c_acctbal >= 3000 AND c_acctbal < 3200) AS same FROM customer")
 
 # --- masking ----------------------------------------------------------------------------------
 
