@@ -1,10 +1,75 @@
 """The results of the queries in SQL, where SQL can express them."""
 
+from __future__ import annotations
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES: dict[str, str] = {
+    # The marks of the template around each role's text, and one more character for each escape.
+    "op3_chat_format": r"""
+        WITH c AS (
+          SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        m AS (
+          SELECT *, CASE role WHEN 'system' THEN '<<SYS>><</SYS>>' WHEN 'user' THEN '<s>[INST][/INST]'
+            WHEN 'assistant' THEN '<|reply|></s>' END AS marks FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), ''))
+            AS loss_sha256,
+          CAST(sum(length(marks) + 2 * length(text) - length(regexp_replace(text, '[\\<\[]', '', 'g')))
+            AS BIGINT) AS formatted_chars
+        FROM m GROUP BY conv_id
+    """,
+    "op4_near_dedup": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORDS}) AS w FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i
+                FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+          FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (
+          SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT a AS doc_id, b AS reached FROM e
+              UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+        c AS (SELECT doc_id, min(reached) AS lowest FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles,
+          least(doc_id, coalesce(lowest, doc_id)) AS component_id,
+          doc_id <= coalesce(lowest, doc_id) AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, keep_id, group_size, d.doc_id = keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op8_substring_dedup": f"""
+        WITH w AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+        x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20),
+        k AS (
+          SELECT doc_id, i, row_number() OVER (
+            PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS turn FROM x),
+        gone AS (
+          SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM k WHERE turn > 1),
+        flat AS (
+          SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+        kept AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+          FROM flat ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+          sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
 }
