@@ -113,10 +113,6 @@ def path_get(doc: Column, path: Column | str, compiled: Column | None = None) ->
     )
 
 
-def path_present(doc: Column, path: Column | str) -> Column:
-    return path_get(doc, path).isNotNull()
-
-
 def path_set(doc: Column, path: Column, value: Column) -> Column:
     """Replace (or add) the value at a dotted path; NULL when a parent is not an object.
 

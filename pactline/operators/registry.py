@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactline import types as t
-from pactline.functions.documents import as_object, with_parsed
+from pactline.functions.documents import with_parsed
 from pactline.operators.joins import lookup_join
 from pactline.operators.partitions import cut
 
@@ -205,8 +205,3 @@ def current_snapshot(
     if newest is None:
         return None
     return stored.filter(F.col("snapshot_id") == newest).drop("snapshot_id")
-
-
-def schema_property_names(schema: Column) -> Column:
-    """Declared field names of a JSON Schema body held as VARIANT."""
-    return F.map_keys(as_object(F.try_variant_get(schema, "$.properties", "variant")))

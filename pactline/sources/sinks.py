@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pactline import types as t
 from pactline.functions.text import rejection_detail
+from pactline.operators.partitions import cut
 
 _ENVELOPE = ["topic", "contract_id", "contract_version", "producer_id", "key"]
 
@@ -74,17 +75,13 @@ def write_rejected(rows: DataFrame, path: str) -> None:
     rejected_rows(rows).write.mode("append").parquet(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append violation or audit log rows; both logs only ever grow."""
-    rows.write.mode("append").parquet(path)
-
-
 def write_run_events(events: DataFrame, path: str, fallback: str | None = None) -> bool:
     """Write run events (JSON text in ``value``) as lines; True when they arrived at ``path``.
 
-    A failed delivery does not stop the stream if ``fallback`` takes the events instead.
+    The events are computed first, so only a failed write counts as a failed delivery. One does not
+    stop the stream if ``fallback`` takes the events instead.
     """
-    lines = events.select("value")
+    lines = cut(events.select("value"), "run-events")
     try:
         lines.write.mode("overwrite").text(path)
         return True

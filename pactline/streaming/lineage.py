@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pactline import types as t
@@ -60,14 +61,23 @@ def lineage_delivery_stream(
     checkpoint: str,
     *,
     namespace: str,
+    dataset: str = "topic",
+    log: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Emit JSON lines per micro-batch; events that cannot be delivered go to ``fallback``."""
+    """Emit JSON lines per micro-batch; events that cannot be delivered go to ``fallback``.
+
+    ``log`` takes one row per batch: whether its events were delivered, and how many they were.
+    """
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        events = lineage_events(batch, violation_topic, namespace)
+        events = lineage_events(batch, violation_topic, namespace, dataset)
         part = f"batch_id={batch_id}"
-        write_run_events(events, f"{path}/{part}", f"{fallback}/{part}")
+        delivered = write_run_events(events, f"{path}/{part}", f"{fallback}/{part}")
+        if log is not None:
+            lines = batch.sparkSession.read.text(f"{path if delivered else fallback}/{part}")
+            counted = lines.agg(F.lit(delivered).alias("delivered"), F.count(F.lit(1)).alias("n"))
+            counted.write.mode("overwrite").parquet(f"{log}/{part}")
 
     return (
         messages.writeStream.foreachBatch(emit)

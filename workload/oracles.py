@@ -506,6 +506,7 @@ oracle("outcome_split", VALIDATED, MASKED, """
 SELECT topic, CASE outcome WHEN 'ACCEPTED' THEN 'forwarded' ELSE 'rejected' END AS sink,
   count(*) AS n
 FROM o WHERE outcome <> 'ERROR' GROUP BY ALL""")
+ORACLES["written_outcomes"] = ORACLES["outcome_split"]
 oracle("masking_totals", VALIDATED, MASKED, """
 SELECT topic,
   coalesce(sum(CASE WHEN status = 'ACCEPTED' AND event_type = 'signup' THEN 2 END), 0)
@@ -559,6 +560,12 @@ WHERE o_totalprice < 250000 AND NOT EXISTS (SELECT 1 FROM versions s
   WHERE s.o_totalprice >= 250000 AND s.contract_id = v.contract_id AND s.version = v.version)
 QUALIFY row_number() OVER (PARTITION BY contract_id, version ORDER BY id) = 1""")
 
+oracle("registry_round_trip", """
+SELECT 'orders.' || o_custkey AS topic, count(*) AS n,
+  count(*) FILTER (o_totalprice >= 100000) AS approved,
+  count(*) FILTER (o_totalprice < 100000) AS rejected
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
+
 # --- semantic versions and evolution ------------------------------------------------------------
 
 oracle("semver_parts", VERSIONS, """
@@ -648,6 +655,9 @@ FROM events GROUP BY ALL""")
 oracle("run_events_by_type", MESSAGES, AUDIT, """
 SELECT 'COMPLETE' AS event_type, count(*) AS n FROM audit
 UNION ALL SELECT 'FAIL', count(*) FROM reports""")
+oracle("stream_deliveries", MESSAGES, AUDIT, """
+SELECT true AS delivered,
+  CAST((SELECT count(*) FROM audit) + (SELECT count(*) FROM reports) AS BIGINT) AS n""")
 oracle("message_ids", """
 SELECT event_id AS "offset", CASE event_type WHEN 'error' THEN 'governance.violations'
   ELSE 'governance.audit' END || ':0:' || event_id AS id FROM events""")

@@ -17,9 +17,15 @@ from pactline.plans import change_gate
 from pactline.plans.contract_check import check_and_mask, contract_outcomes
 from pactline.session import scratch_path
 from pactline.sources import graph
-from pactline.sources.sinks import accepted_rows, rejected_rows
+from pactline.sources.registry import read_registry
+from pactline.sources.sinks import accepted_rows, rejected_rows, write_accepted, write_rejected
 from pactline.streaming.contracts import contract_stream
-from pactline.streaming.lineage import edge_stream, lineage_stream, read_lineage_events
+from pactline.streaming.lineage import (
+    edge_stream,
+    lineage_delivery_stream,
+    lineage_stream,
+    read_lineage_events,
+)
 from workload import derive as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +155,19 @@ def outcome_split(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@query
+def written_outcomes(spark, sf):
+    """Accepted and rejected rows written each to its own table, and read back."""
+    rows = contract_outcomes(
+        d.messages(spark, sf), d.event_enforcement(spark), d.event_keys(spark), "event_id")
+    out = scratch_path(spark, "outcomes")
+    write_accepted(rows, f"{out}/forwarded")
+    write_rejected(rows, f"{out}/rejected")
+    read = lambda name: spark.read.parquet(f"{out}/{name}").select("topic", F.lit(name).alias("sink"))
+    return read("forwarded").unionByName(read("rejected")).groupBy("topic", "sink").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 # --- documents --------------------------------------------------------------------------------
 
 
@@ -349,6 +368,39 @@ def insert_version(spark, sf):
     return fresh.select("id", "contract_id", "version")
 
 
+def _as_table(df, name):
+    """The columns of a registry table; those the data does not have are NULL."""
+    return df.select(*(
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in t.REGISTRY[name]))
+
+
+@query
+def registry_round_trip(spark, sf):
+    """Tables written to a registry, approval events appended in two parts, all read again."""
+    root = scratch_path(spark, "registry")
+    events = d.table(spark, sf, "orders").select(
+        F.concat(F.lit("ev-"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.col("o_orderkey").cast("string").alias("contract_version_id"),
+        F.lit("reviewer").alias("actor"),
+        F.when(F.col("o_totalprice") >= 100000, "APPROVED").otherwise("REJECTED").alias("action"))
+    written = {"contracts": d.contracts(spark, sf), "contract_versions": d.versions(spark, sf)}
+    for name in t.REGISTRY:
+        rows = written.get(name, events.limit(0))
+        _as_table(rows, name).write.parquet(f"{root}/{name}")
+    for half in (0, 1):
+        part = events.where(F.pmod(F.col("contract_version_id").cast("long"), F.lit(2)) == half)
+        registry.append_approval_event(_as_table(part, "approval_events"), f"{root}/approval_events")
+    tables = read_registry(spark, root)
+    joined_rows = tables["contract_versions"].withColumnRenamed("id", "version_id").join(
+        tables["contracts"].select(F.col("id").alias("contract_id"), "topic"), "contract_id").join(
+        tables["approval_events"].select("contract_version_id", "action"),
+        F.col("version_id") == F.col("contract_version_id"), "left")
+    return joined_rows.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "APPROVED").alias("approved"),
+        F.count_if(F.col("action") == "REJECTED").alias("rejected"))
+
+
 # --- semantic versions ------------------------------------------------------------------------
 
 
@@ -776,12 +828,14 @@ def stream_validate(spark, sf):
         joined(F.col("fields_transformed")).alias("transformed"))
 
 
-def _stream_with_repeats(spark, sf, name):
-    """The table as six files in no order of time, one a batch; every tenth row comes twice."""
+def _stream_with_repeats(spark, sf, name, again=1):
+    """The table as six files in no order of time, one a batch; every tenth row comes again."""
     rows = d.table(spark, sf, name).withColumn("copy", F.lit(0))
-    again = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).withColumn("copy", F.lit(1))
+    tenth = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+    repeats = tenth.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(again)))) if again else (
+        tenth.limit(0))
     path = scratch_path(spark, "repeated-files")
-    rows.unionByName(again).repartition(6, "event_id", "copy").drop("copy").write.parquet(path)
+    rows.unionByName(repeats).repartition(6, "event_id", "copy").drop("copy").write.parquet(path)
     schema = d.table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -797,6 +851,18 @@ def stream_lineage(spark, sf):
         F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("runs"))
 
 
+@query
+def stream_deliveries(spark, sf):
+    """Run events delivered and not delivered, by the log of a stream over several batches."""
+    out = scratch_path(spark, "delivery-stream")
+    stream = lineage_delivery_stream(
+        d.as_consumed(_stream_with_repeats(spark, sf, "events", again=0)), d.VIOLATION_TOPIC,
+        f"{out}/lines", f"{out}/spare", f"{out}/checkpoint", namespace=d.NAMESPACE,
+        dataset="data_topic", log=f"{out}/log")
+    stream.awaitTermination()
+    return spark.read.parquet(f"{out}/log").groupBy("delivered").agg(F.sum("n").alias("n"))
+
+
 @query
 def stream_upsert(spark, sf):
     """Users seen per event type, kept as an edge table."""
