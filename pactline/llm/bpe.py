@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import base64
-import re
 import struct
-from collections.abc import Iterable
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from pactline.llm.common import Batches, batch, mapped, slices, text_rows
+from pactline.llm.encoding import PieceEncoder
 
 _LOADED: dict[tuple, RankEncoder] = {}
 _BITS = [1 << i for i in range(256)]
@@ -31,21 +30,37 @@ class PairRanks(dict):
         return rank
 
 
-class RankEncoder:
+class RankEncoder(PieceEncoder):
     """Encodes by a rank table: in each pre-token the adjacent pair of lowest rank is merged, the
     leftmost first, until no pair has a rank. Ids are the ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 200 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.odd = re.compile(r"\s\s|^\s|\s\Z")
         self.tokens = {i: token for token, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.words = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.known: dict[str, bytes] = {}  # pre-tokens of texts that are not cut into pieces
         self.pairs = PairRanks(ranks, self.tokens)
-        self.memo: dict[str, bytes] = {}  # pieces between spaces
-        self.known: dict[str, bytes] = {}  # pre-tokens
-        self.held, self.limit = 0, limit
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.merge(piece.encode())
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 40:
+            if len(self.known) > self.limit // 4:
+                self.known.clear()
+            self.known[piece] = found
+        return found
+
+    def whole(self, text: str) -> bytes:
+        known = self.known
+        return b"".join([known[p] if p in known else self._piece(p)
+                         for p in self.pattern.findall(text)])
+
+    def word(self, word: str, space: str) -> bytes:
+        ids = self.merge((space + word).encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token, with a constant number of queue entries for each byte.
@@ -111,43 +126,6 @@ class RankEncoder:
                             filled |= 1 << (made >> 8)
         return [i for i in ids if i is not None]
 
-    def _learned(self, piece: str) -> bytes:
-        ids = self.merge(piece.encode())
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 100:
-            self.known[piece] = found
-            self.held += 200 + len(piece) + len(found)
-        return found
-
-    def _ids(self, text: str) -> bytes:
-        known = self.known
-        return b"".join([known[p] if p in known else self._learned(p)
-                         for p in self.pattern.findall(text)])
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; of null: none.
-
-        Pre-tokens never go on past a space between two characters that are not white space, so
-        such texts are encoded in pieces, of which frequent ones are remembered.
-        """
-        memo, out = self.memo, []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self.odd.search(text):
-                out.append(self._ids(text))
-            else:
-                if self.held > self.limit:
-                    memo.clear()
-                    self.known.clear()
-                    self.held = 0
-                first, *pieces = text.split(" ")
-                for piece in set(pieces).difference(memo):
-                    memo[piece] = ids = self._ids(" " + piece)
-                    self.held += 200 + len(piece) + len(ids)
-                out.append(self._ids(first) + b"".join(map(memo.__getitem__, pieces)))
-        return out
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable
 from unicodedata import is_normalized
 
@@ -12,6 +13,11 @@ import numpy as np
 _LOADED: dict[tuple, TextEncoder] = {}
 _WHITE = re.compile(r"\s\s")
 _BLANKS = " \t\n\r"
+_SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
+# Byte-level tokenizers show a byte as the character of that number if it is printable, and the
+# others, in order, as the characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
 
 
 class _Memo(dict):
@@ -25,54 +31,166 @@ class _Memo(dict):
         self.missing.add(piece)
 
 
-class TextEncoder:
-    """Ids of texts, equal to `Tokenizer.encode(text, add_special_tokens=False).ids`.
+class PieceEncoder:
+    """Ids of whole texts, put together from those of pieces between spaces.
 
-    A text is cut at spaces where the tokenizer's own pre-tokens end as well: at a space beside two
-    characters that are not white space. So the ids of a text are those of its pieces, one after
-    the other, and those of frequent pieces are remembered (up to about `limit` bytes). New pieces are
-    encoded together in one text and told apart by `separator`, or, without one, by the space that
-    begins a piece's first token. A separator is for tokenizers that ignore case and white space. All other texts and pieces are encoded by themselves.
+    A text is cut in front of spaces and line ends where byte-level tokenizers end a pre-token as
+    well: at white space between two characters that are none. So the ids of a text are those of
+    its pieces, one after the other. A piece is named by what follows the space, or by its line end
+    and what follows. The ids of pieces are remembered; when there are `limit` of them, a new
+    memory is begun and what is still used moves over from the old one. Latin letters are one
+    pre-token, punctuation after them another, so `word` alone encodes most pieces; `together`
+    encodes the others, and `whole` texts with white space beside white space.
     """
 
-    def __init__(self, path: str, separator: str | None, limit: int = 160 << 20):
+    line = " \n"  # what a line end becomes before the text is cut at spaces
+
+    def __init__(self, limit: int = 350_000):
+        self.memo, self.old, self.limit = _Memo(), {}, limit
+        self.marks: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        """The ids of any text."""
+        raise NotImplementedError
+
+    def word(self, word: str, space: str) -> bytes:
+        """The ids of a word of Latin letters with a space (or nothing) in front."""
+        raise NotImplementedError
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        return [self.whole(piece if piece[0] == "\n" else " " + piece) for piece in pieces]
+
+    def odd(self, text: str) -> bool:
+        return _WHITE.search(text) is not None
+
+    def folded(self, text: str) -> str:
+        return text
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.whole(mark)
+        return self.marks[mark]
+
+    def _learn(self, pieces: set[str]) -> None:
+        memo, old, others = self.memo, self.old, []
+        for piece in pieces:
+            ids = old.get(piece)
+            if ids is not None:
+                memo[piece] = ids
+                continue
+            found = _SIMPLE(piece)
+            if found is None or "İ" in piece:
+                others.append(piece)
+                continue
+            first, word, marks = found.groups()
+            ids = (memo.get(first + word) or old.get(first + word)) if marks else None
+            if ids is None:
+                ids = self.mark(first) + self.word(word, "") if first else self.word(word, " ")
+                memo[first + word] = ids
+            if marks:
+                memo[piece] = ids + self.mark(marks)
+        memo.update(zip(others, self.together(others)))
+        memo.missing = set()
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; of null: none."""
+        if len(self.memo) > self.limit:
+            self.old, self.memo = dict(self.memo), _Memo()
+            self.marks.clear()
+        texts = [self.folded(text) if text else text for text in texts]
+        memo, found = self.memo, []
+        for text in texts:
+            body = text.strip(_BLANKS) if text else ""
+            if not body or self.odd(body):
+                found.append(None)
+                continue
+            # White space in front may belong to the first word, so both are encoded together.
+            first, *pieces = body.replace("\n", self.line).split(" ")
+            head, tail = text[:text.index(body[0])], text[len(text.rstrip(_BLANKS)):]
+            found.append((head + first, pieces, list(map(memo.__getitem__, pieces)), tail))
+        if memo.missing:
+            self._learn(memo.missing)
+        out = []
+        for text, cut in zip(texts, found):
+            if not text:
+                out.append(b"")
+            elif cut is None:
+                out.append(self.whole(text))
+            else:
+                first, pieces, ids, tail = cut
+                for i in [i for i, known in enumerate(ids) if known is None]:
+                    ids[i] = memo[pieces[i]]
+                ids.insert(0, self.whole(first))
+                if tail:
+                    ids.append(self.whole(tail))
+                out.append(b"".join(ids))
+        return out
+
+
+class TextEncoder(PieceEncoder):
+    """Ids equal to `Tokenizer.encode(text, add_special_tokens=False).ids` of the tokenizers library.
+
+    Words of Latin letters are encoded by the tokenizer's model. Other new pieces are encoded in one
+    text and told apart by `separator`, or, without one, by the space that begins a piece's first
+    token. A separator is for tokenizers that ignore case and white space.
+    """
+
+    def __init__(self, path: str, separator: str | None):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator, self.limit = separator, limit
+        self.separator = separator
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _Memo()
-        self.held = 0
-        self.size = self.tokenizer.get_vocab_size()
+        self.visible = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+        self.lead = "Ġ" if separator is None else ""
+        self.line = super().line if separator is None else " "
         if separator is None:
-            self.starts = np.zeros(self.size, bool)
+            self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
             for token, i in self.tokenizer.get_vocab().items():
                 self.starts[i] = token.startswith("Ġ")
         else:
             ids = self._ids(separator)
             if len(ids) != 1:
                 raise ValueError("the separator must be one token")
-            self.mark = ids[0]
+            self.cut = ids[0]
 
     def _ids(self, text: str) -> np.ndarray:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4")
 
-    @staticmethod
-    def _folded(text: str) -> str:
+    def whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def folded(self, text: str) -> str:
         """In lower case, for a tokenizer that does the same, where the order of folding and
         normalising cannot matter; more pieces are then the same."""
+        if self.separator is None:
+            return text
         lower = text.lower()
         same = "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", lower)
         return lower if same else text
 
-    def _odd(self, text: str) -> bool:
-        """Has white space beside white space or a special token, so is encoded as a whole."""
-        return _WHITE.search(text) is not None or any(s in text for s in self.special)
-
-    def _learn(self, pieces: list[str]) -> None:
-        self.held += sum(map(len, pieces)) + 200 * len(pieces)
+    def odd(self, text: str) -> bool:
+        return super().odd(text) or any(s in text for s in self.special)
+
+    def word(self, word: str, space: str) -> bytes:
+        if self.separator is not None:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.visible)
+        tokens = self.tokenizer.model.tokenize((self.lead if space else "") + word)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        lines = [p for p in pieces if p[0] == "\n"]
+        if lines:
+            known = dict(zip(lines, super().together(lines)))
+            known.update(zip(rest := [p for p in pieces if p not in known], self.together(rest)))
+            return [known[p] for p in pieces]
+        out = []
         for start in range(0, len(pieces), 2000):
             part = pieces[start:start + 2000]
             if self.separator is None:
@@ -81,53 +199,16 @@ class TextEncoder:
                 ends = np.append(cuts[1:], len(ids))
             else:
                 ids = self._ids(f" {self.separator} ".join(part) + f" {self.separator}")
-                ends = np.flatnonzero(ids == self.mark)
+                ends = np.flatnonzero(ids == self.cut)
                 cuts = np.append(0, ends[:-1] + 1)
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                spans = map(slice, (cuts * 4).tolist(), (ends * 4).tolist())
-                self.memo.update(zip(part, map(raw.__getitem__, spans)))
-            elif len(part) > 1:  # the separator is in a piece
+                out += [raw[4 * a:4 * b] for a, b in zip(cuts.tolist(), ends.tolist())]
+            elif len(part) == 1:
+                out.append(self.whole(" " + part[0]))
+            else:  # the separator is in a piece
                 half = len(part) // 2
-                self._learn(part[:half])
-                self._learn(part[half:])
-            else:
-                self.memo[part[0]] = self._ids(" " + part[0]).tobytes()
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; of null: none."""
-        texts = [self._folded(t) if t and self.separator else t for t in texts]
-        memo = self.memo
-        if self.held > self.limit:
-            memo.clear()
-            self.held = 0
-        found: list[tuple | None] = []
-        for text in texts:
-            body = text.strip(_BLANKS) if text else ""
-            if not body or self._odd(body):
-                found.append(None)
-                continue
-            # White space in front may belong to the first word, so both are encoded together.
-            first, *pieces = body.split(" ")
-            head, tail = text[:text.index(body[0])], text[len(text.rstrip(_BLANKS)):]
-            found.append((head + first, pieces, list(map(memo.__getitem__, pieces)), tail))
-        if memo.missing:
-            self._learn(list(memo.missing))
-            memo.missing.clear()
-        out = []
-        for text, cut in zip(texts, found):
-            if not text:
-                out.append(b"")
-            elif cut is None:
-                out.append(self._ids(text).tobytes())
-            else:
-                first, pieces, ids, tail = cut
-                for i in [i for i, known in enumerate(ids) if known is None]:
-                    ids[i] = memo[pieces[i]]
-                ids.insert(0, self._ids(first).tobytes())
-                if tail:
-                    ids.append(self._ids(tail).tobytes())
-                out.append(b"".join(ids))
+                out += self.together(part[:half]) + self.together(part[half:])
         return out
 
 
