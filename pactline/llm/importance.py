@@ -125,7 +125,8 @@ def importance_sample(docs: DataFrame, labels: DataFrame, rules: ImportanceRules
         target = target.where(chance)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-    marked = texts.join(target, "doc_id", "left").select(
+    # Merged at every size: the labels grow with the corpus.
+    marked = texts.join(target.hint("merge"), "doc_id", "left").select(
         "doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     parts = mapped(marked.select("text", "good"), _count_task(rules), "model int, part int, counts binary")
     summed = mapped(parts.repartition("model", "part"), _add_task, "model int, part int, counts binary")
