@@ -182,26 +182,37 @@ def activate_version(versions: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).select(*versions.columns)
 
 
-def publish_snapshot(df: DataFrame, root: str, snapshot_id: int) -> None:
-    """Write a whole new version of a keyed table next to the older ones."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/snapshot_id={snapshot_id}")
+def _folder(spark: SparkSession, path: str):
+    """A folder and its file system, of any kind Spark can write to."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def snapshot_ids(spark: SparkSession, root: str) -> list[int]:
+    """The completely written snapshots, oldest first, from folder names alone."""
+    folder, files = _folder(spark, root)
+    if not files.exists(folder):
+        return []
+    found = [status.getPath() for status in files.listStatus(folder)]
+    marks = [(path.getName().partition("snapshot_id=")[2], path) for path in found]
+    done = lambda path: files.exists(_folder(spark, f"{path.toString()}/_SUCCESS")[0])
+    return sorted(int(number) for number, path in marks if number.isdigit() and done(path))
+
+
+def publish_snapshot(df: DataFrame, root: str, snapshot_id: int, keep: int = 2) -> None:
+    """Write a whole new version of a keyed table, then remove all but the newest ``keep``."""
+    spark, root = df.sparkSession, root.rstrip("/")
+    df.write.mode("overwrite").parquet(f"{root}/snapshot_id={snapshot_id}")
+    for old in snapshot_ids(spark, root)[:-max(keep, 1)]:
+        folder, files = _folder(spark, f"{root}/snapshot_id={old}")
+        files.delete(folder, True)
 
 
 def current_snapshot(
     spark: SparkSession, root: str, schema: T.StructType, before: int | None = None
 ) -> DataFrame | None:
     """The newest snapshot (older than ``before``), or None when there is none yet."""
-    try:
-        stored = spark.read.schema(
-            T.StructType([*schema.fields, T.StructField("snapshot_id", T.LongType())])
-        ).parquet(root)
-    except Exception as error:  # the folder appears with the first snapshot
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    if before is not None:
-        stored = stored.filter(F.col("snapshot_id") < before)
-    newest = stored.agg(F.max("snapshot_id")).first()[0]
-    if newest is None:
+    ids = [i for i in snapshot_ids(spark, root) if before is None or i < before]
+    if not ids:
         return None
-    return stored.filter(F.col("snapshot_id") == newest).drop("snapshot_id")
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/snapshot_id={ids[-1]}")

@@ -256,3 +256,7 @@ def test_snapshots(spark, tmp_path):
     assert registry.current_snapshot(spark, root, schema_).first().src == "1"
     assert registry.current_snapshot(spark, root, schema_, before=1).first().src == "0"
     assert registry.current_snapshot(spark, root, schema_, before=0) is None
+    registry.publish_snapshot(spark.createDataFrame([("2", "x")], schema_), root, 2)
+    assert registry.snapshot_ids(spark, root) == [1, 2]
+    (tmp_path / "edges" / "snapshot_id=3").mkdir()  # left by a failed write
+    assert registry.current_snapshot(spark, root, schema_).first().src == "2"
