@@ -18,6 +18,8 @@ _SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
 # others, in order, as the characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_VISIBLE = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
 
 
 class _Memo(dict):
@@ -45,7 +47,7 @@ class PieceEncoder:
 
     line = " \n"  # what a line end becomes before the text is cut at spaces
 
-    def __init__(self, limit: int = 350_000):
+    def __init__(self, limit: int = 500_000):
         self.memo, self.old, self.limit = _Memo(), {}, limit
         self.marks: dict[str, bytes] = {}
 
@@ -68,9 +70,13 @@ class PieceEncoder:
         return text
 
     def mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = self.whole(mark)
-        return self.marks[mark]
+        """The ids of a text that may come often: punctuation, line ends, first words."""
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self.whole(mark)
+            if len(mark) <= 40 and len(self.marks) < self.limit // 4:
+                self.marks[mark] = ids
+        return ids
 
     def _learn(self, pieces: set[str]) -> None:
         memo, old, others = self.memo, self.old, []
@@ -118,12 +124,13 @@ class PieceEncoder:
             elif cut is None:
                 out.append(self.whole(text))
             else:
-                first, pieces, ids, tail = cut
-                for i in [i for i, known in enumerate(ids) if known is None]:
-                    ids[i] = memo[pieces[i]]
-                ids.insert(0, self.whole(first))
+                at, (first, pieces, ids, tail) = 0, cut
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at)
+                    ids[at] = memo[pieces[at]]
+                ids.insert(0, self.mark(first))
                 if tail:
-                    ids.append(self.whole(tail))
+                    ids.append(self.mark(tail))
                 out.append(b"".join(ids))
         return out
 
@@ -144,7 +151,6 @@ class TextEncoder(PieceEncoder):
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = separator
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.visible = {b: 256 + i for i, b in enumerate(_HIDDEN)}
         self.lead = "Ġ" if separator is None else ""
         self.line = super().line if separator is None else " "
         if separator is None:
@@ -180,7 +186,7 @@ class TextEncoder(PieceEncoder):
         if self.separator is not None:
             word = word.lower()
         if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.visible)
+            word = word.translate(_VISIBLE)
         tokens = self.tokenizer.model.tokenize((self.lead if space else "") + word)
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
