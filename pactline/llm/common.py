@@ -52,10 +52,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of `scratch_path` that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def attached(rows: DataFrame, lookup: DataFrame, keys: list[str], member: list[str],
+             how: str = "inner") -> DataFrame:
+    """`rows` with the columns of `lookup` (one row a key), without a hot task for a frequent key.
+
+    The rows of a key are dealt into as many parts as the shuffle has, by a hash of `member`. Only
+    the distinct pairs of key and part meet the lookup by key, and the rows meet those by both.
+    `rows` is read twice, so it should be stored or cheap.
+    """
+    (part,) = fresh_names(rows, "_part")
+    number = partitions(rows.sparkSession)
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*member), F.lit(number)).cast("int"))
+    spread = dealt.select(*keys, part).distinct().join(lookup, keys)
+    return dealt.join(spread, [*keys, part], how).drop(part)
+
+
 def text_rows(docs: DataFrame, *more: Column) -> DataFrame:
     """Only the columns the operators read, so that other columns cannot clash with theirs."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.common import stored
+from pactline.llm.common import attached, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Contraction: in every round each node joins the one with the smallest hash among itself and its
     neighbours, and only links between different nodes remain, so their number falls by a constant
-    factor a round, whatever the shape. Each round is written to the shared folder.
+    factor a round, whatever the shape. Each round is written to the shared folder. The links of a
+    node, and the nodes of a component, are dealt over all tasks where they meet a lookup.
     """
     links = links.where(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -26,9 +27,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         heads = stored(both.groupBy("a").agg(nearest.alias("nearest")).select(
             F.col("a").alias("node"), F.least(own, "nearest")["b"].alias("head")), "component-heads")
         joined.append(heads)
-        for end in ("a", "b"):
-            left = left.join(heads.withColumnRenamed("node", end), end).drop(end).withColumnRenamed(
-                "head", end)
+        for end, other in (("a", "b"), ("b", "a")):
+            left = attached(left, heads.withColumnRenamed("node", end), [end], [other]).drop(
+                end).withColumnRenamed("head", end)
         left = stored(left.where(F.col("a") != F.col("b")).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
             "component-links")
@@ -39,8 +40,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     for heads in reversed(joined[:-1]):
         # A node's head in this round is a node of the next one, or has no more links.
         later = found.select(F.col("node").alias("head"), F.col("head").alias("last"))
-        found = heads.join(later, "head", "left").select(
+        found = attached(heads, later, ["head"], ["node"], "left").select(
             "node", F.coalesce("last", "head").alias("head"))
     found = stored(found, "component-nodes")
     smallest = found.groupBy("head").agg(F.min("node").alias("component"))
-    return found.join(smallest, "head").select("node", "component")
+    return attached(found, smallest, ["head"], ["node"]).select("node", "component")

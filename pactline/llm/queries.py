@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm import (bpe, chat, exact_dedup, importance, near_dedup, packing, repetition, sharding,
-                          substring_dedup, token_files)
+from pactline.llm import (bpe, chat, clustering, exact_dedup, importance, near_dedup, packing, repetition,
+                          sharding, simhash, substring_dedup, token_files, turn_repair)
 from pactline.llm.common import stored
 from pactline.session import scratch_path
 
@@ -99,3 +99,27 @@ def op10_byte_bpe(spark, sf):
     return bpe.decode_ids(encoded, path, pattern).select(
         "doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_centroids(spark, sf):
+    return clustering.cluster_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query
+def op12_simhash(spark, sf):
+    return simhash.simhash_groups(documents(spark, sf))
+
+
+@query
+def op13_turn_repair(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    conversations, edits = turn_repair.repair_conversations(turn_repair.damaged(turns))
+    digests = turn_repair.repaired_digests(edits)
+    ids = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    rows = ids.alias("i").join(conversations.alias("c"), F.expr("i.conv_id <=> c.conv_id"), "left").join(
+        digests.alias("d"), F.expr("i.conv_id <=> d.conv_id"), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select("i.conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
+                       F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
