@@ -10,9 +10,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from pactline.llm.common import Batches, batch, mapped, slices, text_rows
-from pactline.llm.encoding import PieceEncoder
+from pactline.llm.encoding import BYTE_LEVEL_PATTERN, PieceEncoder
 
 _LOADED: dict[tuple, RankEncoder] = {}
+_TOKENS: dict[str, list[bytes | None]] = {}
+_MEMO_PIECES, _KNOWN_PIECES, _PAIRS = 150_000, 30_000, 150_000  # what a worker remembers
 _BITS = [1 << i for i in range(256)]
 
 
@@ -24,7 +26,7 @@ class PairRanks(dict):
         self.ranks, self.tokens = ranks, tokens
 
     def __missing__(self, pair: tuple[int, int]) -> int | None:
-        if len(self) > 500_000:
+        if len(self) > _PAIRS:
             self.clear()
         rank = self[pair] = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]])
         return rank
@@ -32,10 +34,12 @@ class PairRanks(dict):
 
 class RankEncoder(PieceEncoder):
     """Encodes by a rank table: in each pre-token the adjacent pair of lowest rank is merged, the
-    leftmost first, until no pair has a rank. Ids are the ranks."""
+    leftmost first, until no pair has a rank. Ids are the ranks. Texts are cut at white space only
+    for the pattern that is known to allow it; with another one each text is split by the pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
+        super().__init__(_MEMO_PIECES)
+        self.pieced = pattern == BYTE_LEVEL_PATTERN
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.tokens = {i: token for token, i in ranks.items()}
@@ -48,7 +52,7 @@ class RankEncoder(PieceEncoder):
         ids = self.merge(piece.encode())
         found = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 40:
-            if len(self.known) > self.limit // 4:
+            if len(self.known) > _KNOWN_PIECES:
                 self.known.clear()
             self.known[piece] = found
         return found
@@ -135,6 +139,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def token_list(path: str) -> list[bytes | None]:
+    """The bytes of each token, which is all that decoding needs, loaded once in each worker."""
+    if path not in _TOKENS:
+        ranks = read_ranks(path)
+        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        _TOKENS[path] = tokens
+    return _TOKENS[path]
+
+
 def rank_encoder(path: str, pattern: str) -> RankEncoder:
     """The encoder of a rank file, loaded once in each worker process."""
     key = (path, pattern)
@@ -159,15 +174,16 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return mapped(text_rows(docs), task, "doc_id long, ids binary")
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids and the text's bytes (`decoded`) of encoded rows; null ids give null."""
+def decode_ids(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids and the text's bytes (`decoded`) of encoded rows; null ids give null. Decoding
+    needs the tokens only, whatever the `pattern` was."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def task(batches: Batches) -> Batches:
-        tool = rank_encoder(path, pattern)
+        token = token_list(path).__getitem__
         for some in slices(batches):
             ids = some.column(1).to_pylist()
             yield batch(schema, some.column(0), some.column(1),
-                        [None if i is None else tool.decode(i) for i in ids])
+                        [None if i is None else b"".join(map(token, memoryview(i).cast("I"))) for i in ids])
 
     return mapped(encoded.select("doc_id", "ids"), task, "doc_id long, ids binary, decoded binary")

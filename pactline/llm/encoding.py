@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -22,6 +23,18 @@ _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_H
 _VISIBLE = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
 
 
+# How a tokenizer must cut a text into pre-tokens so that cuts at white space are safe.
+# The pattern of byte-level tokenizers, their settings, and those of the lower-casing word tokenizer.
+BYTE_LEVEL_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+                     {"type": "Lowercase"}]
+_WORD_PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True},
+    {**_BYTE_LEVEL, "use_regex": False}]
+
+
 class _Memo(dict):
     """Ids of pieces; remembers which pieces were asked for in vain."""
 
@@ -42,13 +55,18 @@ class PieceEncoder:
     and what follows. The ids of pieces are remembered; when there are `limit` of them, a new
     memory is begun and what is still used moves over from the old one. Latin letters are one
     pre-token, punctuation after them another, so `word` alone encodes most pieces; `together`
-    encodes the others, and `whole` texts with white space beside white space.
+    encodes the others, and `whole` texts with white space beside white space. The same goes for all
+    texts of a tokenizer that is not known to end pre-tokens there (`pieced` is false).
+
+    Memory: at most `limit` pieces a generation, and pieces and ids of about `held_bytes`.
     """
 
     line = " \n"  # what a line end becomes before the text is cut at spaces
+    pieced = True
+    held_bytes = 32 << 20
 
     def __init__(self, limit: int = 500_000):
-        self.memo, self.old, self.limit = _Memo(), {}, limit
+        self.memo, self.old, self.limit, self.held = _Memo(), {}, limit, 0
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -80,6 +98,7 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         memo, old, others = self.memo, self.old, []
+        self.held += 2 * sum(map(len, pieces))  # ids take about as much as their piece
         for piece in pieces:
             ids = old.get(piece)
             if ids is not None:
@@ -101,8 +120,12 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; of null: none."""
-        if len(self.memo) > self.limit:
-            self.old, self.memo = dict(self.memo), _Memo()
+        if not self.pieced:
+            return [self.whole(text) if text else b"" for text in texts]
+        if len(self.memo) > self.limit or self.held > self.held_bytes:
+            # A generation that one set of very long pieces has filled is not worth keeping.
+            old = self.memo if self.held <= 2 * self.held_bytes else {}
+            self.old, self.memo, self.held = dict(old), _Memo(), 0
             self.marks.clear()
         texts = [self.folded(text) if text else text for text in texts]
         memo, found = self.memo, []
@@ -138,7 +161,8 @@ class PieceEncoder:
 class TextEncoder(PieceEncoder):
     """Ids equal to `Tokenizer.encode(text, add_special_tokens=False).ids` of the tokenizers library.
 
-    Words of Latin letters are encoded by the tokenizer's model. Other new pieces are encoded in one
+    Texts are cut only if the file's settings are the known ones (see above). Words of Latin letters
+    are encoded by the tokenizer's model. Other new pieces are encoded in one
     text and told apart by `separator`, or, without one, by the space that begins a piece's first
     token. A separator is for tokenizers that ignore case and white space.
     """
@@ -150,6 +174,11 @@ class TextEncoder(PieceEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = separator
+        settings = json.loads(self.tokenizer.to_str())
+        cuts = settings["normalizer"], settings["pre_tokenizer"]
+        self.pieced = cuts == ((None, _BYTE_LEVEL) if separator is None else (
+            {"type": "Sequence", "normalizers": _WORD_NORMALIZERS},
+            {"type": "Sequence", "pretokenizers": _WORD_PRETOKENIZERS}))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lead = "Ġ" if separator is None else ""
         self.line = super().line if separator is None else " "

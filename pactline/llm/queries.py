@@ -96,7 +96,7 @@ def op9_quality_rules(spark, sf):
 def op10_byte_bpe(spark, sf):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_texts(documents(spark, sf), path, pattern)
-    return bpe.decode_ids(encoded, path, pattern).select(
+    return bpe.decode_ids(encoded, path).select(
         "doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

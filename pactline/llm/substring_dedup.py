@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactline.llm.common import (Batches, WordHashes, batch, fresh_names, mapped, mixed, partitions,
@@ -17,6 +17,8 @@ _WORDS = WordHashes()
 _CHUNK_WINDOWS = 1_500_000
 _HELD_FLAGS = 1_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_TASK_BYTES = 64 << 20  # of text whose windows a task compares
+_FILTER_BITS, _MAP_BITS = 1 << 26, 1 << 15  # the filter of documents, and its rows
 
 _ENTRIES = "bucket int, n int, tag binary, doc binary, at binary"
 _FLAGS = "bin int, n int, doc binary, at binary"
@@ -235,10 +237,13 @@ def removal_intervals(docs: DataFrame, length: int = 20) -> DataFrame:
     but the earliest are flagged, and the flags are gathered by document and merged.
 
     Rows without a doc_id or a text take no part. Rows that repeat a doc_id count as one document.
+    The number of buckets follows the bytes of text. Windows are equal if 80 bits of hash and the
+    bucket agree: among 10^12 windows less than one false pair is expected.
     """
     spark = docs.sparkSession
-    number = partitions(spark)
     rows = text_rows(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    number = max(partitions(spark), size // _TASK_BYTES)
     # Several buckets for each partition even out what the partitions get; a task holds one at a time.
     entries = mapped(rows, _entry_task(length, 4 * number), _ENTRIES)
     # What a task has found by itself goes to any partition.
@@ -262,12 +267,38 @@ def _cut(words: list[bytes], starts: list[int] | None, stops: list[int] | None)
     return kept, len(words) - len(kept)
 
 
+def _filtered(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that may have intervals, and those that have none.
+
+    A filter of at most 8 MB, one bit for each of 2^26 hashes of a doc_id, goes to all tasks as rows
+    of bits. The more documents have intervals the more others pass as well; the join tells them.
+    """
+    def place(doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(_FILTER_BITS))
+
+    row, bits, test = fresh_names(docs, "filter_row", "filter_bits", "filter_test")
+    at = place(F.col("doc_id"))
+    maps = found.select(at.alias("at")).groupBy(F.floor(F.col("at") / _MAP_BITS).alias(row)).agg(
+        F.bitmap_construct_agg(F.col("at") % _MAP_BITS).alias(bits))
+    bit = at % _MAP_BITS
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    known = F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1
+    tested = docs.withColumn(row, F.floor(at / _MAP_BITS)).join(F.broadcast(maps), row, "left").withColumn(
+        test, F.col("doc_id").isNotNull() & F.col(bits).isNotNull() & F.coalesce(known, F.lit(False)))
+    return (tested.where(F.col(test)).select(docs.columns), tested.where(~F.col(test)).select(docs.columns))
+
+
 def with_intervals(docs: DataFrame, length: int = 20) -> DataFrame:
-    """The documents with their removal intervals (null for none)."""
+    """The documents with their removal intervals (null for none). Only texts that may have any are
+    shuffled to meet them."""
     name, starts, stops = fresh_names(docs, "removal_id", "removal_starts", "removal_stops")
-    found = stored(removal_intervals(docs, length), "removal-intervals").select(
-        F.col("doc_id").alias(name), F.col("starts").alias(starts), F.col("stops").alias(stops))
-    return docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left").drop(name)
+    found = stored(removal_intervals(docs, length), "removal-intervals")
+    some, others = _filtered(docs, found)
+    found = found.select(F.col("doc_id").alias(name), F.col("starts").alias(starts),
+                         F.col("stops").alias(stops))
+    met = some.join(found, F.col("doc_id").cast("long") == F.col(name), "left").drop(name)
+    none = F.lit(None).cast("array<long>")
+    return met.unionByName(others.withColumn(starts, none).withColumn(stops, none))
 
 
 def substring_duplicates(docs: DataFrame, length: int = 20) -> DataFrame:

@@ -94,6 +94,48 @@ def test_rank_encoder_equals_tiktoken():
         assert tool.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r" ?\w+|[^\w\s]+|\s+", r"\p{L}{1,3}|\P{L}"])
+def test_other_patterns_equal_tiktoken(pattern):
+    import tiktoken
+
+    ranks = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    tool = bpe.RankEncoder(ranks, pattern)
+    texts = ["hello world, the end.\nnext line", "a b (word) x", *odd_texts()[:200]]
+    for text, ids in zip(texts, tool.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), text
+
+
+def test_other_tokenizers_equal_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    library = Tokenizer.from_file(BYTES)
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    path = str(tmp_path / "other.json")
+    library.save(path)
+    texts = ["hello world, the end.\nnext line", "a b (word) x", *odd_texts()[:200]]
+    tool = encoding.TextEncoder(path, None)
+    for text, ids in zip(texts, tool.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_pieces_do_not_stay_in_memory():
+    tool = bpe.RankEncoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    tool.held_bytes = 10_000
+    texts = ["".join(chr(97 + (i * j) % 26) for j in range(2_000)) + f" b{i}" for i in range(1, 40)]
+    texts = [f"a {t}" for t in texts]
+    found = [tool.encode([t])[0] for t in texts]
+    assert [tool.decode(ids).decode() for ids in found] == texts
+    assert sum(map(len, [*tool.memo, *tool.old])) < 5 * 10_000
+
+
+def test_decoding_null_ids(spark):
+    encoded = spark.createDataFrame([(1, None), (2, bytearray()), (None, None)], "doc_id long, ids binary")
+    got = {(r.doc_id, r.decoded if r.decoded is None else bytes(r.decoded))
+           for r in bpe.decode_ids(encoded, RANKS).collect()}
+    assert got == {(1, None), (2, b""), (None, None)}
+
+
 def test_bpe_round_trip(docs, empty):
     encoded = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
     got = bpe.decode_ids(encoded, RANKS, public_tokenizers.PATTERN).collect()
@@ -418,3 +460,8 @@ def test_quality(docs, empty):
     kept = repetition.quality_filter(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert repetition.quality_measures(empty).count() == 0 == repetition.quality_filter(empty).count()
+
+
+def test_known_tokenizers_are_cut_at_spaces():
+    assert encoding.TextEncoder(BYTES, None).pieced and encoding.TextEncoder(WORDS, "~").pieced
+    assert bpe.RankEncoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN).pieced
