@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactline.operators.impact import (
+    Walk,
     affected,
     find_source_node,
-    reachable,
     report,
     score,
+    walk,
     with_node_attributes,
 )
 from pactline.operators.partitions import cut
@@ -31,7 +32,11 @@ def scored_consumers(
 
     Changes of the same topic share one walk through the graph.
     """
-    reached = with_node_attributes(reachable(edges, requests, max_depth), nodes)
+    return _scored(walk(edges, requests, max_depth), requests, nodes)
+
+
+def _scored(walked: Walk, requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    reached = with_node_attributes(walked.nodes(), nodes)
     asked = requests.select("change_id", "source", "changed_fields")
     return score(reached.join(asked, "source")).drop("changed_fields")
 
@@ -46,12 +51,21 @@ def blast_radius(
     """Reports and impacted consumers of requests (change_id, topic, changed_fields[, added_fields]).
 
     Added fields are accepted and have no influence. ``nodes`` lists every edge endpoint (see
-    ``sources.graph.complete_nodes``).
+    ``sources.graph.complete_nodes``). A report is ``truncated`` if a deeper walk would reach more.
     """
     located = find_source_node(nodes, requests, namespace)
     if nodes.isEmpty():
         nothing = scored_consumers(located.filter(F.lit(False)), nodes, edges, 1)
         return BlastRadius(report(located, nothing, graph_is_empty=True), nothing)
+    walked = walk(edges, located, max_depth)
     # Written once: the report reads a few of its columns three times.
-    scored = cut(scored_consumers(located, nodes, edges, max_depth), "scored")
-    return BlastRadius(report(located, scored), affected(scored))
+    scored = cut(_scored(walked, located, nodes), "scored")
+    reports = report(located, scored).join(
+        located.select("change_id", "source").join(walked.truncated(), "source").select(
+            "change_id", "truncated"
+        ),
+        "change_id", "left",
+    )
+    return BlastRadius(
+        reports.withColumn("truncated", F.coalesce("truncated", F.lit(False))), affected(scored)
+    )

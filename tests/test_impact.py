@@ -98,6 +98,54 @@ def test_shuffled_hops_give_the_same_result(spark, graph, monkeypatch):
     assert reached(impact.reachable(df, sources(spark, "a")))["a"] == walk(pairs, "a", 5)
 
 
+def hop_plan(walked):
+    return walked._next_hop()._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("rows", [0, 2_000_000])
+def test_hops_carry_numbers_and_hash(spark, graph, monkeypatch, rows):
+    """No array of names goes through a hop, and no aggregation of it sorts."""
+    monkeypatch.setattr(impact, "BROADCAST_ROWS", rows)
+    for paths in (False, True):
+        plan = hop_plan(impact.walk(graph[1], sources(spark, READINGS), 1, paths))
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+        assert "array" not in plan.lower().replace("arraybuffer", "") and "concat(" not in plan
+        assert ("BroadcastExchange" in plan) >= (rows > 0)
+
+
+def test_a_walk_says_when_it_was_cut(spark, graph):
+    def cut(limit, *ids):
+        found = impact.walk(graph[1], sources(spark, *ids), limit).truncated().collect()
+        return {r.source: r.truncated for r in found}
+
+    assert cut(1, READINGS, ARCHIVE, "nowhere") == {READINGS: True, ARCHIVE: False, "nowhere": False}
+    assert cut(2, READINGS, CLEANER) == {READINGS: False, CLEANER: False}  # only a cycle goes on
+    assert cut(0, READINGS) == {READINGS: True}
+    assert cut(9, READINGS) == {READINGS: False}
+    short = blast_radius(requests(spark, ("1", "sensor.readings", ["sensor"]), ("2", "nope", ["x"])),
+                         *graph, "demo", max_depth=1).reports
+    assert {r.change_id: r.truncated for r in short.collect()} == {"1": True, "2": False}
+
+
+def test_nodes_of_a_walk_are_those_of_its_paths(spark, graph):
+    with_paths = impact.walk(graph[1], sources(spark, READINGS, MEANS), paths=True)
+    plain = impact.walk(graph[1], sources(spark, READINGS, MEANS))
+    rows = lambda df: sorted(map(tuple, df.select("source", "node", "depth").collect()))
+    assert rows(plain.nodes()) == rows(with_paths.nodes()) == rows(with_paths.paths())
+    with pytest.raises(ValueError):
+        plain.paths()
+
+
+def test_long_chains_and_smallest_paths(spark):
+    """A path is the smallest as a whole, not step by step from its end."""
+    pairs = [("s", "x"), ("s", "y"), ("x", "z2"), ("y", "a1"), ("z2", "t"), ("a1", "t"), ("t", "u")]
+    pairs += [(f"c{i:02}", f"c{i + 1:02}") for i in range(12)]
+    df = spark.createDataFrame(pairs, t.EDGES)
+    got = reached(impact.reachable(df, sources(spark, "s", "c00"), max_depth=20))
+    assert got["s"] == walk(pairs, "s", 20) and got["s"]["u"] == ["s", "x", "z2", "t", "u"]
+    assert got["c00"] == walk(pairs, "c00", 20)
+
+
 def test_source_lookup(spark, graph):
     asked = spark.createDataFrame(
         [("1", "sensor.readings"), ("2", "cleaner"), ("3", "unknown.topic")],

@@ -684,6 +684,17 @@ SELECT consumer_type, count(*) AS n FROM observed GROUP BY ALL""")
 oracle("find_source_node", REQUESTS, "SELECT change_id, source FROM requests")
 oracle("bfs_reachable", REQUESTS, GRAPH, WALK, """
 SELECT source, node, depth, array_to_string(path, '>') AS path FROM reached""")
+oracle("truncated_walks", REQUESTS, GRAPH, """,
+steps AS (
+  SELECT source, source AS node, 0 AS depth FROM requests WHERE source IS NOT NULL
+  UNION SELECT source, a.dst, 1 FROM requests JOIN graph a ON a.src = source
+  UNION SELECT source, b.dst, 2 FROM requests JOIN graph a ON a.src = source
+  JOIN graph b ON b.src = a.dst)
+SELECT DISTINCT source, EXISTS (
+    SELECT 1 FROM steps s JOIN graph c ON c.src = s.node WHERE s.source = r.source AND s.depth = 2
+      AND NOT EXISTS (SELECT 1 FROM steps t WHERE t.source = r.source AND t.node = c.dst))
+  AS truncated
+FROM requests r WHERE source IS NOT NULL""")
 oracle("scored_consumers", *IMPACT, """
 SELECT change_id, name, node_type, owner_team, impact,
   array_to_string(affected, ',') AS affected_fields, depth, depth = 1 AS is_direct

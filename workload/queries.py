@@ -606,6 +606,12 @@ def bfs_reachable(spark, sf):
                     joined(F.col("path"), ">").alias("path"))
 
 
+@query
+def truncated_walks(spark, sf):
+    """Whether a walk of two hops has missed nodes."""
+    return impact.walk(d.edges(spark, sf), _located(spark, sf), 2).truncated()
+
+
 @query
 def scored_consumers(spark, sf):
     return impact.affected(_scored(spark, sf)).select(
