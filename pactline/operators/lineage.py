@@ -350,42 +350,45 @@ def event_json(event: Column | str = "event") -> Column:
 # ---------------------------------------------------------------------------------------------
 # consumer edges
 
-_EDGE_KEY = ["source_topic", "consumer_name"]
+EDGE_KEY = ["source_topic", "consumer_name"]
+
+
+def edge_versions(observations: DataFrame) -> DataFrame:
+    """Observations (edge columns, ``seen_at``, optional ``seq``) as versions of edges without id."""
+    seq = F.col("seq") if "seq" in observations.columns else F.lit(0)
+    return observations.select(
+        F.lit(None).cast("string").alias("id"), *EDGE_KEY, "consumer_type", "consumer_team",
+        F.col("seen_at").alias("last_seen_at"), seq.cast("bigint").alias("seq"),
+    )
+
+
+def newest_edges(versions: DataFrame, with_ids: bool = True) -> DataFrame:
+    """The newest version of each edge, with a known id if there is one.
+
+    Of equally new versions that with the greater ``seq``, then type and team. One aggregation with
+    partial results before the shuffle.
+    """
+    order = F.struct("last_seen_at", "seq", "consumer_type", "consumer_team")
+    merged = versions.groupBy(*EDGE_KEY).agg(
+        F.max("id").alias("id"), F.max(order).alias("__newest")
+    )
+    new_id = uuid_from(F.concat_ws("\u0000", *EDGE_KEY))
+    return merged.select(
+        (F.coalesce("id", new_id) if with_ids else F.col("id")).alias("id"),
+        *EDGE_KEY, "__newest.consumer_type", "__newest.consumer_team", "__newest.last_seen_at",
+        "__newest.seq",
+    )
 
 
 def upsert_edges(edges: DataFrame, observations: DataFrame) -> DataFrame:
     """The edge table after seeing ``observations`` (edge columns, ``seen_at``, optional ``seq``).
 
     The newest observation of an edge sets type and team, also to NULL, and the time it was last
-    seen; of equally new ones that with the greater ``seq``, then type and team. Known edges keep
-    their id. One aggregation with partial results before the shuffle.
+    seen. Known edges keep their id; among equally new versions they count as the oldest.
     """
-    known = edges.select(
-        *_EDGE_KEY,
-        F.col("id").alias("__id"),
-        F.struct(F.col("last_seen_at").alias("at"), F.lit(-1).cast("bigint").alias("seq"))
-        .alias("__order"),
-        F.struct("consumer_type", "consumer_team").alias("__seen"),
-    )
-    seq = F.col("seq").cast("bigint") if "seq" in observations.columns else F.lit(0).cast("bigint")
-    fresh = observations.select(
-        *_EDGE_KEY,
-        F.lit(None).cast("string").alias("__id"),
-        F.struct(F.col("seen_at").alias("at"), seq.alias("seq")).alias("__order"),
-        F.struct("consumer_type", "consumer_team").alias("__seen"),
-    )
-    merged = known.unionByName(fresh).groupBy(*_EDGE_KEY).agg(
-        F.max("__id").alias("__id"),
-        F.max(F.struct("__order", "__seen")).alias("__newest"),
-    )
-    new_id = uuid_from(F.concat_ws("\u0000", *_EDGE_KEY))
-    return merged.select(
-        F.coalesce("__id", new_id).alias("id"),
-        *_EDGE_KEY,
-        F.col("__newest.__seen.consumer_type").alias("consumer_type"),
-        F.col("__newest.__seen.consumer_team").alias("consumer_team"),
-        F.col("__newest.__order.at").alias("last_seen_at"),
-    )
+    fresh = edge_versions(observations)
+    known = edges.withColumn("seq", F.lit(-1).cast("bigint")).select(*fresh.columns)
+    return newest_edges(known.unionByName(fresh)).drop("seq")
 
 
 def stale_edges(edges: DataFrame, cutoff: Column) -> DataFrame:

@@ -8,12 +8,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pactline import types as t
-from pactline.operators.lineage import OFFSET_KEY, lineage_events, upsert_edges
-from pactline.operators.registry import current_snapshot, publish_snapshot
+from pactline.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, measure
+from pactline.operators.lineage import OFFSET_KEY, lineage_events
+from pactline.operators.partitions import cut
+from pactline.sources import folders
+from pactline.sources.edge_table import EdgeTable
 from pactline.sources.sinks import write_run_events
 
 
+_BLOCK = 1 << 15  # offsets in one map of written ones, which takes 4 KB at most
+_PLACE = ["topic", "partition", "block"]
+
+
+def _offsets(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
+        {
+            "block": F.floor(F.col("offset") / _BLOCK),
+            "bit": F.pmod(F.col("offset"), F.lit(_BLOCK)).cast("int"),
+        }
+    )
+
+
+def written_offsets(rows: DataFrame) -> DataFrame:
+    """(topic, partition, block, bits): which offsets the rows have, a bit for each."""
+    return _offsets(rows).groupBy(*_PLACE).agg(
+        F.bitmap_construct_agg(F.col("bit").cast("bigint")).alias("bits")
+    )
+
+
+def not_written(batch: DataFrame, maps: DataFrame) -> DataFrame:
+    """The messages whose offset is in none of the maps.
+
+    The maps of the batch's own blocks are looked up, by broadcast if they are measured small; then
+    no message moves.
+    """
+    own = _offsets(batch.select(*OFFSET_KEY)).select(*_PLACE).distinct()
+    seen = cut(
+        maps.join(own, _PLACE, "left_semi").groupBy(*_PLACE).agg(F.bitmap_or_agg("bits").alias("bits")),
+        "written-offsets",
+    )
+    few = seen.count() * _BLOCK // 8 <= BROADCAST_BYTES
+    joined = _offsets(batch).join(F.broadcast(seen) if few else seen, _PLACE, "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    written = F.getbit(byte.cast("bigint"), F.col("bit") % 8) == 1
+    return joined.filter(F.col("bits").isNull() | ~written).select(*batch.columns)
+
+
+def _once(batch: DataFrame) -> DataFrame:
+    """Each offset of the batch once; only messages whose offset comes again are moved."""
+    again = cut(
+        batch.groupBy(*OFFSET_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+        "repeated-offsets",
+    )
+    if again.isEmpty():
+        return batch
+    rows, size = measure(again)
+    side = F.broadcast(again) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else again
+    repeated = batch.join(side, OFFSET_KEY, "left_semi").dropDuplicates(OFFSET_KEY)
+    return batch.join(side, OFFSET_KEY, "left_anti").unionByName(repeated.select(*batch.columns))
+
+
 def lineage_stream(
     messages: DataFrame,
     violation_topic: str,
@@ -26,15 +80,27 @@ def lineage_stream(
 ) -> StreamingQuery:
     """Consume, route, extract and emit, losing nothing however late a message is.
 
-    Every micro-batch has its own folder below ``path``, which a repeated batch overwrites. Offsets
-    that come again in later batches are written again; :func:`read_lineage_events` shows each once.
-    So the stream keeps no state that grows with its age.
+    Every micro-batch has its own folder below ``path``, marked when it is finished; a repeated batch
+    is left or written anew. Next to the events lies a map of the offsets written, one bit each, so
+    offsets that come again in later batches are left out when they are written: a batch looks up
+    the maps of its own blocks of offsets, and messages stay where they are.
     """
+    root = path.rstrip("/")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(OFFSET_KEY)
-        events = lineage_events(once, violation_topic, namespace, dataset)
-        events.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        home = f"{root}/batch_id={batch_id}"
+        if folders.finished(spark, home):
+            return
+        maps = [f"{root}/_written/batch_id={n}" for n in folders.finished_children(spark, root, "batch_id")]
+        once = _once(batch)
+        fresh = not_written(once, spark.read.parquet(*maps)) if maps else once
+        written_offsets(fresh.select(*OFFSET_KEY)).coalesce(1).write.mode("overwrite").parquet(
+            f"{root}/_written/batch_id={batch_id}"
+        )
+        events = lineage_events(fresh, violation_topic, namespace, dataset)
+        events.write.mode("overwrite").parquet(home)
+        folders.mark(spark, home)
 
     return (
         messages.writeStream.foreachBatch(emit)
@@ -45,12 +111,11 @@ def lineage_stream(
 
 
 def read_lineage_events(spark: SparkSession, path: str) -> DataFrame:
-    """The events of a lineage stream, each offset and event type once.
-
-    Run ids depend on the offset only, so the copies of an event are equal.
-    """
-    written = spark.read.option("basePath", path).parquet(path)
-    return written.drop("batch_id").dropDuplicates([*OFFSET_KEY, "event_type"])
+    """The events of the finished batches of a lineage stream, each offset and event type once."""
+    done = folders.finished_children(spark, path, "batch_id")
+    if not done:
+        raise ValueError(f"no finished batch in {path}")
+    return spark.read.parquet(*done.values())
 
 
 def lineage_delivery_stream(
@@ -92,21 +157,21 @@ def edge_stream(
     root: str,
     checkpoint: str,
     *,
+    buckets: int = 64,
+    merge_after: int = 8,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Keep the consumer-edge table current: one new snapshot per micro-batch.
+    """Keep the consumer-edge table current: a batch writes its own edges and nothing else.
 
-    A repeated batch starts from the snapshot before it and overwrites its own.
+    Read it with ``EdgeTable(spark, root, buckets).read()``. A repeated batch changes nothing.
     """
-    schema = t.REGISTRY["lineage_edges"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        known = current_snapshot(spark, root, schema, before=batch_id)
-        if known is None:
-            known = spark.createDataFrame([], schema)
-        publish_snapshot(upsert_edges(known, batch), root, batch_id)
+        table = EdgeTable(batch.sparkSession, root, buckets, merge_after)
+        table.append(batch, batch_id)
+        if table.compact():
+            table.expire()
         if on_batch is not None:
             on_batch(batch, batch_id)
 

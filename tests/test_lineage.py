@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pactline import types as t
 from pactline.operators import lineage, metrics, quality
-from pactline.operators import registry
+from pactline.sources.edge_table import EdgeTable
 from pactline.sources.messages import read_message_stream
 from pactline.sources.registry import read_registry
 from pactline.sources.sinks import write_run_events
@@ -186,7 +187,7 @@ def test_lineage_stream_restart_and_replay(spark, tmp_path):
     run()
     put(spark, [message('{"a":1}', offset=1), message('{"b":1}', offset=4)], source)  # 1 again
     run()
-    assert spark.read.parquet(out).count() == 4  # at least once
+    assert spark.read.parquet(out).count() == 3  # the repeated offset is not written
     rows = read_lineage_events(spark, out).collect()
     assert sorted((r.topic, r.offset) for r in rows) == [("audit", 1), ("audit", 4), (BAD, 2)]
     batch = lineage.lineage_events(spark.read.schema(t.CONSUMED).parquet(source), BAD, "ns")
@@ -238,10 +239,96 @@ def test_edge_stream(spark, tmp_path):
         spark.createDataFrame([("t", "a", "UNKNOWN", team, datetime(2024, 1, day))], schema
                               ).write.mode("append").parquet(source)
         run()
-    table = registry.current_snapshot(spark, root, t.REGISTRY["lineage_edges"])
+    table = EdgeTable(spark, root).read()
     assert [(r.consumer_name, r.consumer_team) for r in table.collect()] == [("a", None)]
 
 
+SEEN = ("source_topic string, consumer_name string, consumer_type string, consumer_team string, "
+        "seen_at timestamp, seq long")
+
+
+def files_of(root):
+    return {str(p) for p in root.rglob("*.parquet")}
+
+
+def test_a_batch_writes_only_the_buckets_of_its_edges(spark, tmp_path):
+    table = EdgeTable(spark, str(tmp_path), buckets=4, merge_after=2)
+    known = spark.createDataFrame(
+        [(f"id{i}", "t", f"c{i}", "UNKNOWN", "old", WHEN) for i in range(40)], t.REGISTRY["lineage_edges"])
+    table.load(known)
+    base, reader = files_of(tmp_path), table.read()
+    see = lambda name, team, day, seq=0: spark.createDataFrame(
+        [("t", name, "FLINK_JOB", team, datetime(2025, 1, day), seq)], SEEN)
+    for number in range(3):
+        before = files_of(tmp_path)
+        table.append(see("c7", f"team{number}", number + 1), number)
+        assert len(files_of(tmp_path) - before) == 1 and before <= files_of(tmp_path)
+        table.append(see("c7", "repeated batch", 20), number)  # this number is there already
+        if number < 1:
+            assert table.compact() == []
+    changed = table.compact()
+    assert len(changed) == 1 and base <= files_of(tmp_path)
+    assert len(reader.filter("consumer_team = 'old'").collect()) == 40  # began with the first base
+    reader = table.read()
+    rows = {r.consumer_name: r for r in reader.collect()}
+    assert len(rows) == 40 and (rows["c7"].id, rows["c7"].consumer_team) == ("id7", "team2")
+    assert {r.consumer_team for r in rows.values()} == {"old", "team2"}
+    table.append(see("c7", "late", 2), 3)  # older than what is known
+    table.append(see("c7", "first", 9, 1), 4)
+    table.append(see("c7", "same time, earlier", 9, 0), 5)
+    assert table.compact() == changed
+    table.expire()
+    assert {r.consumer_team for r in table.read().collect()} == {"old", "first"}
+    assert {r.consumer_team for r in reader.collect()} == {"old", "team2"}  # the last but one base
+    assert not base <= files_of(tmp_path)
+
+
+def test_unfinished_changes_are_not_read(spark, tmp_path):
+    table = EdgeTable(spark, str(tmp_path), buckets=2)
+    assert table.read().count() == 0
+    seen = spark.createDataFrame([("t", "a", "UNKNOWN", None, WHEN, 0)], SEEN)
+    table.append(seen, 0)
+    (mark,) = tmp_path.rglob("_DONE")
+    mark.unlink()
+    assert table.read().count() == 0
+    table.append(seen, 0)
+    assert table.read().count() == 1
+    with pytest.raises(ValueError, match="buckets"):
+        EdgeTable(spark, str(tmp_path), buckets=3).read()
+
+
+def test_merge_on_read_equals_upserts(spark, tmp_path):
+    rng = random.Random(2)
+    table = EdgeTable(spark, str(tmp_path), buckets=4, merge_after=2)
+    none, everything = spark.createDataFrame([], t.REGISTRY["lineage_edges"]), []
+    for number in range(5):
+        rows = [("t", f"c{rng.randrange(12)}", rng.choice(["UNKNOWN", "FLINK_JOB"]), rng.choice([None, "x", "y"]),
+                 datetime(2024, 1, rng.randint(1, 28)), rng.randrange(1000)) for _ in range(15)]
+        everything += rows
+        table.append(spark.createDataFrame(rows, SEEN), number)
+        table.compact()
+        table.expire()
+    expected = lineage.upsert_edges(none, spark.createDataFrame(everything, SEEN))
+    by_name = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert by_name(table.read()) == by_name(expected)
+
+
+def test_only_finished_batches_of_a_lineage_stream_are_read(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    run = lambda: lineage_stream(
+        read_message_stream(spark, ["audit"], path=source, max_per_trigger=1), BAD, out,
+        state, namespace="ns").awaitTermination()
+    put(spark, [message("{}", offset=o) for o in (1, 2, 40_000, 1)], source)
+    run()
+    put(spark, [message("{}", offset=o) for o in (2, 3, 32_768, 40_000, 39_999)], source)
+    run()
+    offsets = lambda: sorted(r.offset for r in read_lineage_events(spark, out).collect())
+    assert offsets() == [1, 2, 3, 32_768, 39_999, 40_000]
+    assert "Aggregate" not in read_lineage_events(spark, out)._jdf.queryExecution().toString()
+    (tmp_path / "out" / "batch_id=1" / "_DONE").unlink()
+    assert offsets() == [1, 2, 40_000]
+
+
 def test_contract_stream_reads_new_contracts(spark, tmp_path):
     from pactline.functions.masks import token_keys
 

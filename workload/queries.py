@@ -17,6 +17,7 @@ from pactline.plans import change_gate
 from pactline.plans.contract_check import check_and_mask, contract_outcomes
 from pactline.session import scratch_path
 from pactline.sources import graph
+from pactline.sources.edge_table import EdgeTable
 from pactline.sources.registry import read_registry
 from pactline.sources.sinks import accepted_rows, rejected_rows, write_accepted, write_rejected
 from pactline.streaming.contracts import contract_stream
@@ -871,16 +872,15 @@ def stream_deliveries(spark, sf):
 
 @query
 def stream_upsert(spark, sf):
-    """Users seen per event type, kept as an edge table."""
+    """Users seen per event type, kept as an edge table over six batches in no order of time."""
     out = scratch_path(spark, "edge-stream")
-    e = _stream_of(spark, sf, "events").select(
+    e = _stream_with_repeats(spark, sf, "events").select(
         F.concat(F.lit("events."), "event_type").alias("source_topic"),
         F.col("user_id").cast("string").alias("consumer_name"),
         F.lit("UNKNOWN").alias("consumer_type"),
         F.when(F.col("value") > 10, F.lit("heavy")).alias("consumer_team"),
         F.col("ts").cast("timestamp").alias("seen_at"),
         F.col("event_id").alias("seq"))
-    edge_stream(e, f"{out}/edges", f"{out}/checkpoint").awaitTermination()
-    table = registry.current_snapshot(spark, f"{out}/edges", t.REGISTRY["lineage_edges"])
-    return table.select("source_topic", "consumer_name", "consumer_type", "consumer_team",
+    edge_stream(e, f"{out}/edges", f"{out}/checkpoint", buckets=8, merge_after=3).awaitTermination()
+    return EdgeTable(spark, f"{out}/edges", 8).read().select("source_topic", "consumer_name", "consumer_type", "consumer_team",
                         F.date_format("last_seen_at", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
