@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pactline.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, measure
+from pactline.operators.joins import BROADCAST_BYTES, fits_broadcast
 from pactline.operators.lineage import OFFSET_KEY, lineage_events
 from pactline.operators.partitions import cut
 from pactline.sources import folders
@@ -30,42 +30,46 @@ def _offsets(rows: DataFrame) -> DataFrame:
 
 
 def written_offsets(rows: DataFrame) -> DataFrame:
-    """(topic, partition, block, bits): which offsets the rows have, a bit for each."""
-    return _offsets(rows).groupBy(*_PLACE).agg(
-        F.bitmap_construct_agg(F.col("bit").cast("bigint")).alias("bits")
+    """(topic, partition, block, bits, n): which offsets the rows have, a bit for each, and how many
+    rows there are."""
+    return _offsets(rows.select(*OFFSET_KEY)).groupBy(*_PLACE).agg(
+        F.bitmap_construct_agg(F.col("bit").cast("bigint")).alias("bits"),
+        F.count(F.lit(1)).alias("n"),
     )
 
 
-def not_written(batch: DataFrame, maps: DataFrame) -> DataFrame:
-    """The messages whose offset is in none of the maps.
+def not_written(batch: DataFrame, own: DataFrame, maps: DataFrame) -> DataFrame:
+    """The messages of a batch whose offset is in none of the maps.
 
-    The maps of the batch's own blocks are looked up, by broadcast if they are measured small; then
-    no message moves.
+    The maps of the batch's ``own`` blocks are looked up, by broadcast if they are measured small;
+    then no message moves.
     """
-    own = _offsets(batch.select(*OFFSET_KEY)).select(*_PLACE).distinct()
     seen = cut(
-        maps.join(own, _PLACE, "left_semi").groupBy(*_PLACE).agg(F.bitmap_or_agg("bits").alias("bits")),
+        maps.join(own.select(*_PLACE), _PLACE, "left_semi").groupBy(*_PLACE).agg(
+            F.bitmap_or_agg("bits").alias("bits")
+        ),
         "written-offsets",
     )
-    few = seen.count() * _BLOCK // 8 <= BROADCAST_BYTES
+    blocks = seen.count()
+    if blocks == 0:
+        return batch
+    few = blocks * _BLOCK // 8 <= BROADCAST_BYTES
     joined = _offsets(batch).join(F.broadcast(seen) if few else seen, _PLACE, "left")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    place = F.floor(F.col("bit") / 8).cast("int") + 1
+    byte = F.conv(F.hex(F.substring(F.col("bits"), place, F.lit(1))), 16, 10)
     written = F.getbit(byte.cast("bigint"), F.col("bit") % 8) == 1
     return joined.filter(F.col("bits").isNull() | ~written).select(*batch.columns)
 
 
-def _once(batch: DataFrame) -> DataFrame:
-    """Each offset of the batch once; only messages whose offset comes again are moved."""
+def _once(events: DataFrame) -> DataFrame:
+    """Stored events, each offset once; only those whose offset comes again are moved."""
     again = cut(
-        batch.groupBy(*OFFSET_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+        events.groupBy(*OFFSET_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
         "repeated-offsets",
     )
-    if again.isEmpty():
-        return batch
-    rows, size = measure(again)
-    side = F.broadcast(again) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else again
-    repeated = batch.join(side, OFFSET_KEY, "left_semi").dropDuplicates(OFFSET_KEY)
-    return batch.join(side, OFFSET_KEY, "left_anti").unionByName(repeated.select(*batch.columns))
+    side = F.broadcast(again) if fits_broadcast(again) else again
+    repeated = events.join(side, OFFSET_KEY, "left_semi").dropDuplicates(OFFSET_KEY)
+    return events.join(side, OFFSET_KEY, "left_anti").unionByName(repeated.select(*events.columns))
 
 
 def lineage_stream(
@@ -92,13 +96,20 @@ def lineage_stream(
         home = f"{root}/batch_id={batch_id}"
         if folders.finished(spark, home):
             return
-        maps = [f"{root}/_written/batch_id={n}" for n in folders.finished_children(spark, root, "batch_id")]
-        once = _once(batch)
-        fresh = not_written(once, spark.read.parquet(*maps)) if maps else once
-        written_offsets(fresh.select(*OFFSET_KEY)).coalesce(1).write.mode("overwrite").parquet(
-            f"{root}/_written/batch_id={batch_id}"
-        )
+        done = folders.finished_children(spark, root, "batch_id")
+        written = f"{root}/_written/batch_id={batch_id}"
+        written_offsets(batch).write.mode("overwrite").parquet(written)
+        own = spark.read.parquet(written)
+        blocks, repeated = own.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") - F.bitmap_count("bits")), F.lit(0))
+        ).first()
+        fresh = batch
+        if done and blocks:
+            maps = spark.read.parquet(*(f"{root}/_written/batch_id={n}" for n in done))
+            fresh = not_written(batch, own, maps)
         events = lineage_events(fresh, violation_topic, namespace, dataset)
+        if repeated:  # within the batch; otherwise nothing is shuffled
+            events = _once(cut(events, "events"))
         events.write.mode("overwrite").parquet(home)
         folders.mark(spark, home)
 
