@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm.common import fresh_names, stored, text_rows
@@ -18,6 +18,9 @@ class DigestIndex:
     task), then by a sort-merge anti-join that reads the index in its buckets without a shuffle,
     and what remains is appended as new files of the same buckets. The number of buckets is fixed
     when an index is made. A session that does not know the table registers it again.
+
+    A batch that runs again, or again after it was stopped in the middle of its append, gives the
+    same result: what its own number has written does not count as known, and is not written again.
     """
 
     def __init__(self, spark: SparkSession, table: str, path: str, buckets: int = 32):
@@ -30,12 +33,21 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def fresh(self, groups: DataFrame) -> DataFrame:
-        """The groups (digest, keep_id, ...) whose text the index does not have."""
-        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+    def next_batch(self) -> int:
+        """The number after the last batch that has written."""
+        return self.read().agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+
+    def _without(self, groups: DataFrame, batches: Column) -> DataFrame:
+        known = self.read().where(batches).select("digest").hint("merge")
+        return groups.join(known, "digest", "left_anti")
+
+    def fresh(self, groups: DataFrame, batch: int) -> DataFrame:
+        """The groups (digest, keep_id, ...) whose text no other batch has brought."""
+        return self._without(groups, F.col("batch") != batch)
 
-    def append(self, fresh: DataFrame, batch: int = 0) -> None:
-        (fresh.select("digest", "keep_id", F.lit(batch).alias("batch"))
+    def append(self, fresh: DataFrame, batch: int) -> None:
+        """Add the texts that this batch has not added yet."""
+        (self._without(fresh, F.col("batch") == batch).select("digest", "keep_id", F.lit(batch).alias("batch"))
          .repartition(self.buckets, "digest").write.insertInto(self.table))
 
     def forget(self) -> None:
@@ -69,11 +81,13 @@ def with_groups(hashed: DataFrame, groups: DataFrame) -> DataFrame:
     return at_once.unionByName(rest.join(groups.hint("merge"), "digest").select(columns))
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None,
+                     batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, known.
 
     Of equal texts in `docs` the row with the largest doc_id stays, unless `index` already has the
-    text from an earlier batch (`known`). Null texts equal empty ones. Null doc_ids are smaller than
+    text from another batch (`known`); `batch` is the number of this one, a new one if not given, and a
+    repeated number repeats its result. Null texts equal empty ones. Null doc_ids are smaller than
     all others. Of rows that repeat both doc_id and text one stays. An empty table gives an empty one.
     The texts that stay are appended to the index.
     """
@@ -83,7 +97,8 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: i
         groups = stored(groups.withColumn("known", F.lit(False)), "digest-groups")
     else:
         groups = stored(groups, "digest-groups")
-        fresh = stored(index.fresh(groups), "digest-fresh")
+        batch = index.next_batch() if batch is None else batch
+        fresh = stored(index.fresh(groups, batch), "digest-fresh")
         index.append(fresh, batch)
         new = fresh.select("digest", F.lit(True).alias("new"))
         groups = groups.join(new, "digest", "left").select(

@@ -230,6 +230,27 @@ def test_the_digest_index_lasts(spark):
     again.forget()
 
 
+def test_a_repeated_batch_keeps_its_documents(spark):
+    frame = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, "test_repeats", scratch_path(spark, "test-index"), buckets=4)
+    rows_of = lambda *r, batch=None: sorted((x.doc_id, x.kept, x.known) for x in exact_dedup.exact_duplicates(
+        frame(*r), index, batch).collect())
+    assert rows_of((1, "a"), (2, "b"), batch=1) == rows_of((1, "a"), (2, "b"), batch=1) == [
+        (1, True, False), (2, True, False)]
+    assert index.read().count() == 2
+    # Stopped in the middle of the append: one of three texts was written, no result was given.
+    groups = exact_dedup.groups_of(exact_dedup.digests(frame((5, "d"))))
+    index.append(groups, 2)
+    batch = (3, "a"), (4, "c"), (5, "d")
+    assert rows_of(*batch, batch=2) == rows_of(*batch, batch=2) == [
+        (3, False, True), (4, True, False), (5, True, False)]
+    assert index.read().count() == 4
+    # Without a number every call is a batch of its own.
+    assert rows_of((6, "a"), (7, "e")) == [(6, False, True), (7, True, False)]
+    assert rows_of((8, "e")) == [(8, False, True)] and index.next_batch() == 4
+    index.forget()
+
+
 # 4 --------------------------------------------------------------------------------------------
 
 
