@@ -118,15 +118,14 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None,
 
 def exact_filter(docs: DataFrame) -> DataFrame:
     """The documents whose text no other has, and of equal texts the row with the largest doc_id,
-    with all their columns. Of rows that repeat doc_id and text one stays."""
-    own, doc, digest, keep = fresh_names(docs, "own_digest", "own_id", "group_digest", "group_keep")
-    groups = groups_of(stored(digests(docs), "digests"))
-    kept = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
-    again = groups.where("keep_rows > 1").select(F.col("digest").alias(own))
+    with all their columns. Of rows that repeat doc_id and text one stays. Null texts equal empty
+    ones, null doc_ids are smaller than all others, an empty table gives an empty one."""
+    own, doc, digest, keep, times = fresh_names(
+        docs, "own_digest", "own_id", "group_digest", "group_keep", "group_rows")
+    kept = groups_of(stored(digests(docs), "digests")).select(
+        F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("keep_rows").alias(times))
     hashed = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     marked = docs.withColumn(own, hashed).withColumn(doc, F.col("doc_id").cast("long"))
-    chosen = marked.join(kept, (F.col(own) == F.col(digest)) & F.col(doc).eqNullSafe(F.col(keep)),
-                         "left_semi")
-    once = chosen.join(again, own, "left_anti")
-    repeated = chosen.join(again, own, "left_semi").dropDuplicates([own])
-    return once.select(docs.columns).unionByName(repeated.select(docs.columns))
+    chosen = marked.join(kept, (F.col(own) == F.col(digest)) & F.col(doc).eqNullSafe(F.col(keep)))
+    once, repeated = chosen.where(F.col(times) == 1), chosen.where(F.col(times) > 1)
+    return once.select(docs.columns).unionByName(repeated.dropDuplicates([own]).select(docs.columns))
