@@ -14,7 +14,8 @@ from pactline.llm.encoding import BYTE_LEVEL_PATTERN, PieceEncoder
 
 _LOADED: dict[tuple, RankEncoder] = {}
 _TOKENS: dict[str, list[bytes | None]] = {}
-_MEMO_PIECES, _KNOWN_PIECES, _PAIRS = 150_000, 30_000, 150_000  # what a worker remembers
+_MEMO_PIECES, _KNOWN_PIECES, _PAIRS = 300_000, 30_000, 300_000  # what a worker remembers
+_SLICE = 2 << 20  # bytes of text whose pieces a worker holds at once
 _BITS = [1 << i for i in range(256)]
 
 
@@ -168,7 +169,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def task(batches: Batches) -> Batches:
         tool = rank_encoder(path, pattern)
-        for some in slices(batches):
+        for some in slices(batches, _SLICE):
             yield batch(schema, some.column(0), tool.encode(some.column(1).to_pylist()))
 
     return mapped(text_rows(docs), task, "doc_id long, ids binary")
