@@ -65,11 +65,11 @@ def check(spark, fmt, old, new, mode="BACKWARD", strict=False):
      "BACKWARD", t.BREAKING, [("a.b'c", t.TYPE_CHANGED)]),
     ("AVRO", "null", avro(with_default(ID, "")), "BACKWARD", t.COMPATIBLE,
      [("id", t.FIELD_ADDED)]),
-    ("JSON_SCHEMA", schema({"id": {}}, ["id"]), schema({"id": {}, "metadata": {}}, ["id"]),
-     "BACKWARD", t.COMPATIBLE, [("metadata", t.FIELD_ADDED)]),
+    ("JSON_SCHEMA", schema({"id": {}}, ["id"]), schema({"id": {}, "altitude": {}}, ["id"]),
+     "BACKWARD", t.COMPATIBLE, [("altitude", t.FIELD_ADDED)]),
     ("JSON_SCHEMA", schema({"id": {}}, ["id"]),
-     schema({"id": {}, "account_id": {}}, ["id", "account_id"]), "BACKWARD", t.BREAKING,
-     [("account_id", t.FIELD_ADDED)]),
+     schema({"id": {}, "station": {}}, ["id", "station"]), "BACKWARD", t.BREAKING,
+     [("station", t.FIELD_ADDED)]),
     ("JSON_SCHEMA", schema({"id": {}, "x": {}}), schema({"id": {}}), "BACKWARD", t.COMPATIBLE,
      [("x", t.FIELD_REMOVED)]),
     ("JSON_SCHEMA", schema({"id": {}, "x": {}}, ["x"]), schema({"id": {}}), "BACKWARD",

@@ -26,15 +26,16 @@ OPTIONAL = lambda path: (path, False, "", "")
 
 
 @pytest.mark.parametrize("payload, rules, status, kinds", [
-    ('{"transaction_id":"abc-123"}', [REQUIRED("transaction_id")], "ACCEPTED", []),
-    ('{"amount":100}', [REQUIRED("transaction_id")], "REJECTED", [t.MISSING_REQUIRED_FIELD]),
-    ('{"account_id":"user-999"}', [("account_id", True, "PERSONAL", "")], "REJECTED",
+    ('{"sensor":"s-17","reading":{"celsius":21.5}}',
+     [REQUIRED("sensor"), REQUIRED("reading.celsius")], "ACCEPTED", []),
+    ('{"reading":{"kelvin":294}}', [REQUIRED("reading.celsius")], "REJECTED",
+     [t.MISSING_REQUIRED_FIELD]),
+    ('{"reading":21.5}', [REQUIRED("sensor"), REQUIRED("reading.celsius")], "REJECTED",
+     [t.MISSING_REQUIRED_FIELD, t.MISSING_REQUIRED_FIELD]),
+    ('{"visitor":"Ada","day":3}', [OPTIONAL("day"), ("visitor", False, "PERSONAL", "")], "REJECTED",
      [t.POLICY_BREACH]),
-    ('{"account_id":"user-999"}', [("account_id", True, "PERSONAL", "MASK")], "ACCEPTED", []),
-    ('{"payment":{"card":{"last_four":"4242"}}}', [REQUIRED("payment.card.last_four")],
+    ('{"visitor":"Ada","day":3}', [OPTIONAL("day"), ("visitor", False, "PERSONAL", "REDACT")],
      "ACCEPTED", []),
-    ('{"payment":{"card":7}}', [REQUIRED("payment.card.last_four")], "REJECTED",
-     [t.MISSING_REQUIRED_FIELD]),
     ('{"a":[{"b":1}]}', [REQUIRED("a.b")], "REJECTED", [t.MISSING_REQUIRED_FIELD]),
     ('{"a":null}', [REQUIRED("a")], "REJECTED", [t.TYPE_MISMATCH]),
     ('{"a":null}', [OPTIONAL("a")], "ACCEPTED", []),
