@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from pactline.llm import (bpe, chat, components, encoding, exact_dedup, importance, near_dedup, packing,
                           repetition, sharding, substring_dedup, token_files)
@@ -330,24 +332,51 @@ def test_components_against_union_find(spark):
 # 6 --------------------------------------------------------------------------------------------
 
 
-def test_best_fit_plan_equals_one_by_one():
-    rng = random.Random(1)
-    for _ in range(60):
-        counts = Counter(rng.randint(1, 40) for _ in range(rng.randint(1, 120)))
-        gaps: list[int] = []
-        for length in sorted(counts.elements(), reverse=True):
-            fits = [g for g in gaps if g >= length]
-            if fits:
-                gaps[gaps.index(min(fits))] -= length
-            else:
-                gaps.append(40 - length)
-        plan = packing.best_fit(dict(counts), 40)
-        used = Counter()
-        for length, _, n, first, each, offset in plan:
-            for turn in range(n):
-                used[first + turn // each] += length
-        assert sum(n for _, _, n, *_ in plan) == sum(counts.values())
-        assert sorted(40 - u for u in used.values()) == sorted(gaps)
+def one_by_one(lengths, capacity):
+    """Best-fit decreasing, the number of sequences."""
+    gaps: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("capacity, draw", [
+    (40, lambda rng: rng.randint(1, 40)), (40, lambda rng: 7), (1, lambda rng: 1), (100, lambda rng: 100),
+    (4096, lambda rng: min(4096, int(rng.lognormvariate(5, 1)) + 1)),
+    (131_072, lambda rng: min(131_072, int(rng.lognormvariate(8, 2)) + 1))])
+def test_matching_is_close_to_one_by_one(spark, capacity, draw):
+    rng = random.Random(capacity)
+    lengths = {i * 3 + 1: draw(rng) for i in range(4000)}
+    items = spark.createDataFrame(list(lengths.items()), "id long, size int")
+    best = one_by_one(lengths.values(), capacity)
+    for range_rows in (4000 * 2, 250):
+        got = packing.match(items, capacity, range_rows).collect()
+        assert sorted(r.id for r in got) == sorted(lengths)
+        by = defaultdict(list)
+        for r in got:
+            by[r.sequence_id].append((r.offset, lengths[r.id]))
+        for places in by.values():
+            end = 0
+            for offset, length in sorted(places):
+                assert offset == end
+                end += length
+            assert end <= capacity
+        print(capacity, range_rows, len(by), best)
+        assert len(by) <= best * 1.01 + 1
+
+
+def test_matching_sorts_into_ranges(spark):
+    """A length that all pieces share is spread over ranges, and ranges follow the size."""
+    same = spark.range(10_000).select(F.lit(1).alias("kind"), "id", F.lit(9).alias("size"))
+    sizes = [r["count"] for r in packing._ranges(same, 500).groupBy("range").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 700
+    mixed = spark.range(10_000).select(
+        (F.col("id") % 2).cast("int").alias("kind"), "id", (F.col("id") % 100 + 1).cast("int").alias("size"))
+    spans = packing._ranges(mixed, 500).groupBy("kind", "range").agg(F.min("size"), F.max("size")).collect()
+    for kind in (0, 1):
+        inner = sorted((r["range"], r["min(size)"], r["max(size)"]) for r in spans if r["kind"] == kind)
+        assert all(low >= high for (_, low, _), (_, _, high) in zip(inner, inner[1:]))
 
 
 def test_packing(docs, empty):
