@@ -14,6 +14,7 @@ from pactline.operators.impact import (
     report,
     score,
     walk,
+    with_graph_state,
     with_node_attributes,
 )
 from pactline.operators.partitions import cut
@@ -52,11 +53,10 @@ def blast_radius(
 
     Added fields are accepted and have no influence. ``nodes`` lists every edge endpoint (see
     ``sources.graph.complete_nodes``). A report is ``truncated`` if a deeper walk would reach more.
+    Requests may have a ``namespace``: those of a namespace without nodes get the report of an empty
+    graph. Without that column it is the whole graph that may be empty.
     """
-    located = find_source_node(nodes, requests, namespace)
-    if nodes.isEmpty():
-        nothing = scored_consumers(located.filter(F.lit(False)), nodes, edges, 1)
-        return BlastRadius(report(located, nothing, graph_is_empty=True), nothing)
+    located = with_graph_state(find_source_node(nodes, requests, namespace), nodes)
     walked = walk(edges, located, max_depth)
     # Written once: the report reads a few of its columns three times.
     scored = cut(_scored(walked, located, nodes), "scored")

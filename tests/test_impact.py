@@ -280,3 +280,41 @@ def test_broadcast_limits(spark):
     assert joins.fits_broadcast(df)
     assert not joins.fits_broadcast(df, max_rows=9)
     assert not joins.fits_broadcast(df, max_bytes=10)
+
+
+def test_declared_consumers_join_the_graph(spark):
+    nodes = spark.createDataFrame(
+        [node("dataset:demo:t", t.DATASET, None, []), node("job:demo:known", t.JOB, "", ["a"]),
+         node("job:demo:other", t.JOB, "ops", [])], t.NODES)
+    edges = spark.createDataFrame(
+        [("dataset:demo:t", "job:demo:known"), ("job:demo:known", "job:demo:other")], t.EDGES)
+    contracts = spark.createDataFrame(
+        [("t", [("known", "crew", "FLINK_JOB", ["b", "a"]), ("new", "lab", "FLINK_JOB", ["b"])]),
+         ("u", [])],
+        "topic string, consumers array<struct<name string, team string, type string, "
+        "fields_used array<string>>>")
+    all_nodes, all_edges = impact.merged_graph(
+        nodes, edges, *quality.declared_consumers(contracts, "demo"))
+    assert {(r.id, r.owner_team, tuple(r.fields), r.provenance) for r in all_nodes.collect()} == {
+        ("dataset:demo:t", None, (), "observed"), ("job:demo:known", "crew", ("a", "b"), "both"),
+        ("job:demo:other", "ops", (), "observed"), ("job:demo:new", "lab", ("b",), "declared")}
+    assert {tuple(r) for r in all_edges.collect()} == {
+        ("dataset:demo:t", "job:demo:known", "both"),
+        ("job:demo:known", "job:demo:other", "observed"),
+        ("dataset:demo:t", "job:demo:new", "declared")}
+    found = blast_radius(requests(spark, ("1", "t", ["b"])), all_nodes, all_edges, "demo")
+    assert {(r.name, r.impact) for r in found.consumers.collect()} == {
+        ("known", t.CRITICAL), ("new", t.CRITICAL)}
+
+
+def test_an_empty_graph_is_told_per_request(spark, graph):
+    asked = requests(spark, ("1", "sensor.readings", ["sensor"]), ("2", "nope", ["x"]),
+                     ("3", "sensor.readings", ["sensor"]), ("4", "nope", ["x"]))
+    asked = asked.withColumn("namespace", F.when(F.col("change_id") < "3", "demo").when(
+        F.col("change_id") == "3", "elsewhere"))
+    rows = {r.change_id: r for r in blast_radius(asked, *graph, "demo").reports.collect()}
+    assert rows["1"].total_consumers_affected == 3 and rows["1"].error is None
+    assert rows["2"].error == "Topic 'nope' not found in lineage graph"
+    for change in ("3", "4"):
+        assert rows[change].summary.startswith("No lineage found for topic")
+        assert rows[change].error is None and rows[change].total_consumers_affected == 0

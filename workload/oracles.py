@@ -645,6 +645,10 @@ oracle("column_lineage", MESSAGES, AUDIT, FIELDS, """
 SELECT event_id AS "offset", topic AS output_dataset, path AS output_field,
   'producer.' || topic AS input_dataset, path AS input_field, 'IDENTITY' AS transformation_type
 FROM f""")
+oracle("column_lineage_emitted", MESSAGES, AUDIT, FIELDS, f"""
+SELECT event_id AS "offset", path AS output_field, '{NAMESPACE}' AS namespace,
+  'producer.' || topic AS dataset, path AS field, 'direct' AS description, 'IDENTITY' AS kind
+FROM f""")
 oracle("processed_and_failed", """
 SELECT CASE event_type WHEN 'error' THEN 'governance.violations' ELSE 'governance.audit' END
     AS topic,
@@ -695,6 +699,48 @@ SELECT DISTINCT source, EXISTS (
       AND NOT EXISTS (SELECT 1 FROM steps t WHERE t.source = r.source AND t.node = c.dst))
   AS truncated
 FROM requests r WHERE source IS NOT NULL""")
+oracle("declared_impact", """
+SELECT 'customer-' || c_custkey AS change_id, 'order.' || o_orderkey AS name,
+  'DATASET' AS node_type, o_orderpriority AS owner_team, 'CRITICAL' AS impact,
+  'observed' AS provenance,
+  CASE o_orderstatus WHEN 'F' THEN 'status,totalprice' ELSE 'status' END AS affected_fields,
+  1 AS depth
+FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL
+SELECT 'customer-' || c_custkey, 'line.' || o_orderkey || '-1', 'DATASET',
+  coalesce(max(l_linestatus), 'billing'), 'CRITICAL',
+  CASE WHEN max(l_orderkey) IS NULL THEN 'declared' ELSE 'both' END, 'status', 2
+FROM orders JOIN customer ON c_custkey = o_custkey
+LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1
+WHERE o_orderstatus = 'F' GROUP BY c_custkey, o_orderkey
+UNION ALL
+SELECT DISTINCT 'customer-' || c_custkey, 'audit.' || c_custkey, 'JOB', 'audit', 'CRITICAL',
+  'declared', 'totalprice', 2
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'""")
+oracle("empty_graph_report", """
+SELECT 'customer-' || c_custkey AS change_id,
+  CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 0 ELSE count(o_orderkey) END
+    AS total_consumers_affected,
+  CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') OR count(o_orderkey) = 0 THEN 'NONE'
+    ELSE 'CRITICAL' END AS worst_impact,
+  CASE c_mktsegment WHEN 'BUILDING'
+    THEN 'Topic ''old.customer.' || c_custkey || ''' not found in lineage graph' END AS error,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'No lineage found for topic customer.' || c_custkey
+      || '. This may indicate the topic has no recorded consumers yet.'
+    WHEN c_mktsegment <> 'BUILDING' AND count(o_orderkey) = 0
+    THEN 'No downstream consumers are impacted by changes to totalprice, status in customer.'
+      || c_custkey || '.' END AS summary
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment""")
+oracle("bare_nodes", f"""
+SELECT {REF('job', 'customer', 'c_custkey')} AS source,
+  {REF('dataset', 'order', 'o_orderkey')} AS node, 1 AS depth, 'order.' || o_orderkey AS name,
+  'DATASET' AS node_type, o_orderpriority AS owner_team,
+  CASE o_orderstatus WHEN 'F' THEN 'totalprice,status' ELSE 'status' END AS fields
+FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL
+SELECT DISTINCT {REF('job', 'customer', 'c_custkey')}, {REF('dataset', 'line', LINE)}, 2,
+  {REF('dataset', 'line', LINE)}, 'DATASET', NULL, ''
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey""")
 oracle("scored_consumers", *IMPACT, """
 SELECT change_id, name, node_type, owner_team, impact,
   array_to_string(affected, ',') AS affected_fields, depth, depth = 1 AS is_direct

@@ -530,6 +530,23 @@ def column_lineage(spark, sf):
         lineage.with_metadata(audit), "offset", dataset="data_topic")
 
 
+@query
+def column_lineage_emitted(spark, sf):
+    """The column-lineage facet as it stands in the JSON of the emitted events."""
+    audit, _ = lineage.route_by_topic(d.consumed(spark, sf), d.VIOLATION_TOPIC)
+    e = lineage.complete_events(lineage.with_metadata(audit), d.NAMESPACE, "data_topic")
+    kind = ("struct<inputFields array<struct<namespace string, dataset string, field string>>, "
+            "transformationDescription string, transformationType string>")
+    entries = F.from_json(
+        F.get_json_object(F.to_json("event"), "$.outputs[0].facets.columnLineage.fields"),
+        f"map<string, {kind}>")
+    listed = e.select("offset", F.explode(entries).alias("output_field", "entry"))
+    return listed.select(
+        "offset", "output_field", F.inline("entry.inputFields"),
+        F.col("entry.transformationDescription").alias("description"),
+        F.col("entry.transformationType").alias("kind"))
+
+
 @query
 def processed_and_failed(spark, sf):
     traced = lineage.traced_messages(d.consumed(spark, sf), d.VIOLATION_TOPIC, d.NAMESPACE)
@@ -646,6 +663,65 @@ def top_critical(spark, sf):
         "change_id", joined(F.col("top_critical")).alias("names"))
 
 
+def _customer_requests(spark, sf):
+    customer = d.table(spark, sf, "customer")
+    return customer.select(
+        F.concat(F.lit("customer-"), "c_custkey").alias("change_id"),
+        F.concat(F.lit("customer."), "c_custkey").alias("topic"),
+        F.array(F.lit("totalprice"), F.lit("status")).alias("changed_fields"), "c_mktsegment")
+
+
+@query
+def declared_impact(spark, sf):
+    """Who is impacted when the contracts of finished orders declare consumers: an audit job which
+    lineage never saw, and the order's first line, which it saw without the field."""
+    finished = d.table(spark, sf, "orders").filter("o_orderstatus = 'F'")
+    audit = finished.select(
+        F.concat(F.lit("order."), "o_orderkey").alias("topic"),
+        F.concat(F.lit("audit."), "o_custkey").alias("name"), F.lit("audit").alias("team"),
+        F.lit("KAFKA_CONSUMER").alias("type"), F.array(F.lit("totalprice")).alias("fields_used"))
+    line = audit.select(
+        "topic", F.concat(F.regexp_replace("topic", "^order", "line"), F.lit("-1")).alias("name"),
+        F.lit("billing").alias("team"), F.lit("ICEBERG_TABLE").alias("type"),
+        F.array(F.lit("status")).alias("fields_used"))
+    contracts = audit.unionByName(line).select(
+        "topic", F.array(F.struct("name", "team", "type", "fields_used")).alias("consumers"))
+    nodes, edges = impact.merged_graph(
+        d.nodes(spark, sf), d.edges(spark, sf), *quality.declared_consumers(contracts, d.NAMESPACE))
+    consumers = blast.blast_radius(
+        _customer_requests(spark, sf), nodes, edges, d.NAMESPACE).consumers
+    return consumers.join(nodes.select(F.col("id").alias("node"), "provenance"), "node").select(
+        "change_id", "name", "node_type", "owner_team", "impact", "provenance",
+        joined(F.col("affected_fields")).alias("affected_fields"),
+        F.col("depth").cast("bigint").alias("depth"))
+
+
+@query
+def empty_graph_report(spark, sf):
+    """Reports where a namespace without lineage, unknown topics and known ones come together."""
+    segment = F.col("c_mktsegment")
+    requests = _customer_requests(spark, sf).withColumns({
+        "namespace": F.when(segment == "MACHINERY", "idle").otherwise(d.NAMESPACE),
+        "topic": F.when(segment == "BUILDING", F.concat(F.lit("old."), "topic"))
+        .otherwise(F.col("topic"))})
+    r = blast.blast_radius(
+        requests, d.nodes(spark, sf), d.edges(spark, sf), d.NAMESPACE).reports
+    total = F.col("total_consumers_affected")
+    return r.select("change_id", total, "worst_impact", "error",
+                    F.when(total == 0, F.col("summary")).alias("summary"))
+
+
+@query
+def bare_nodes(spark, sf):
+    """Attributes of what two hops reach when the graph does not list the lines."""
+    listed = d.nodes(spark, sf).filter(~F.col("name").startswith("line."))
+    requests = impact.find_source_node(listed, _customer_requests(spark, sf), d.NAMESPACE)
+    reached = impact.walk(d.edges(spark, sf), requests, 2).nodes()
+    return impact.with_node_attributes(reached, listed).select(
+        "source", "node", F.col("depth").cast("bigint").alias("depth"), "name", "node_type",
+        "owner_team", joined(F.col("fields")).alias("fields"))
+
+
 @query
 def classify_dataset(spark, sf):
     """Dataset types of names built from parts."""
