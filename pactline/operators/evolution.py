@@ -367,44 +367,83 @@ def with_previous(versions: DataFrame, value: Column, out: str) -> DataFrame:
     )
 
 
+def _digest(*columns: str) -> Column:
+    """A key for values of text columns; NULL is a value of its own."""
+    parts = []
+    for name in columns:
+        given = F.concat(F.lit("="), F.length(name).cast("string"), F.lit(":"), F.col(name))
+        parts.append(F.coalesce(given, F.lit("-")))
+    return F.sha2(F.concat(*parts), 256)
+
+
+def _schemas_compared(pairs: DataFrame, texts: DataFrame, strict_types: bool) -> DataFrame:
+    """Every distinct pair (__old, __new, __format, __mode) of schema digests, compared once.
+
+    ``texts`` holds each schema text once, by digest.
+    """
+    for side, spread_by in (("old", "__new"), ("new", "__old")):
+        named = texts.select(F.col("__digest").alias(f"__{side}"), F.col("__text").alias(f"__{side}_text"))
+        pairs = lookup_join(pairs, named, f"__{side}", spread_by=[spread_by])
+    compared = with_schema_changes(
+        pairs, "__old_text", "__new_text", "__format", "__mode", strict_types
+    )
+    return cut(compared.drop("__old_text", "__new_text"), "compared-schemas")
+
+
 def evolution_history(versions: DataFrame, strict_types: bool = False) -> DataFrame:
     """Every version against its predecessor: changes, class and size of the version step.
 
-    Each schema is parsed once, where it is read; only its field list travels to the window. The
-    first version of a contract has no class. A step between two formats is an error.
+    Predecessors are found from keys and digests of schemas alone. Texts are fetched afterwards, by
+    digest, and each distinct pair of schemas is parsed and compared once, however many contracts
+    and versions share it. The first version of a contract has no class and no changes. A step
+    between two formats is an error.
     """
-    listed = with_schema_fields(versions, "schema_body", "schema_format", "__fields")
-    listed = listed.drop("schema_body")
-    kept = F.struct("version", "schema_format", "compatibility", "__fields")
-    paired = bind(
-        with_previous(listed, kept, "__prev"),
+    keyed = versions.withColumn("__digest", _digest("schema_format", "schema_body"))
+    texts = cut(
+        versions.select("schema_format", F.col("schema_body").alias("__text")).distinct().select(
+            _digest("schema_format", "__text").alias("__digest"), "__text"
+        ),
+        "schema-texts",
+    )
+    kept = F.struct("version", "schema_format", "compatibility", "__digest")
+    before = with_previous(keyed.drop("schema_body"), kept, "__prev")
+    paired = cut(
+        before.select(
+            *[c for c in versions.columns if c != "schema_body"],
+            F.col("__prev.version").alias("previous_version"),
+            F.col("__prev").isNotNull().alias("__follows"),
+            F.col("__prev.__digest").alias("__old"),
+            F.col("__digest").alias("__new"),
+            F.when(F.col("__prev.schema_format") == F.col("schema_format"), F.col("schema_format"))
+            .otherwise(F.concat_ws(" to ", "__prev.schema_format", "schema_format"))
+            .alias("__format"),
+            F.col("__prev.compatibility").alias("__mode"),
+        ).withColumn("__pair", F.when(F.col("__follows"), _digest("__old", "__new", "__format", "__mode"))),
+        "version-pairs",
+    )
+    pairs = paired.filter("__follows").select("__pair", "__old", "__new", "__format", "__mode")
+    compared = _schemas_compared(pairs.distinct(), texts, strict_types).select(
+        "__pair", "changes", "classification", "schema_error"
+    )
+    steps = bind(
+        lookup_join(paired, compared, "__pair", spread_by=["id"]),
         {
-            "previous_version": F.col("__prev.version"),
-            "__old_fields": F.col("__prev.__fields"),
-            "__old_mode": F.col("__prev.compatibility"),
-            "__format": F.when(
-                F.col("__prev.schema_format") == F.col("schema_format"), F.col("schema_format")
-            ).otherwise(F.concat_ws(" to ", "__prev.schema_format", "schema_format")),
             "__now": parse_semver(F.col("version")),
-            "__then": parse_semver(F.col("__prev.version")),
+            "__then": parse_semver(F.col("previous_version")),
         },
     )
-    compared = with_field_changes(
-        paired, "__old_fields", "__fields", "__format", "__old_mode", strict_types
-    )
-    first = F.col("previous_version").isNull()
     malformed = F.when(
         F.col("__now").isNull() | F.col("__then").isNull(),
         F.lit("version must be MAJOR.MINOR.PATCH"),
     )
     step_error = F.coalesce(malformed, bump_error(F.col("__then"), F.col("__now")))
-    return compared.withColumns(
+    return steps.withColumns(
         {
-            "schema_error": F.when(~first, F.col("schema_error")),
+            "changes": F.coalesce("changes", F.array().cast(CHANGES)),
             "bump": bump_level(F.col("__then"), F.col("__now")),
-            "bump_error": F.when(~first, step_error),
+            "bump_error": F.when(F.col("__follows"), step_error),
         }
-    ).drop("__prev", "__now", "__then", "__fields", "__old_fields", "__old_mode", "__format")
+    ).drop("__now", "__then", "__follows", "__old", "__new", "__format", "__mode", "__pair")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -417,6 +456,9 @@ def changes_against_latest(
     """Proposals (change_id, contract_name, schema_format, proposed_schema) compared with the
     latest version of the contract they name, with ``topic``, ``changes``, ``classification`` and
     ``error``. An unknown contract or one without versions is SAFE.
+
+    Each distinct pair of schemas is parsed and compared once and its changes are stored, so neither
+    proposals that share schemas nor several readers of the result compare anything again.
     """
     known = contracts.select(
         F.col("id").alias("contract_id"), F.col("name").alias("contract_name"), "topic"
@@ -429,21 +471,41 @@ def changes_against_latest(
     incomplete = (F.coalesce(F.length("contract_name"), F.lit(0)) == 0) | (
         F.coalesce(F.length("proposed_schema"), F.lit(0)) == 0
     )
-    first_ever = F.col("current_schema").isNull()
-    # A missing baseline is compared with itself under PROTOBUF, which never finds a change.
-    compared = with_schema_changes(
-        paired.withColumn(
-            "__format", F.when(first_ever, t.PROTOBUF).otherwise(F.col("schema_format"))
+    # Formats that are never compared, and a missing baseline, need no texts: one pair stands for all.
+    silent = F.col("current_schema").isNull() | F.coalesce(
+        F.col("schema_format") == t.PROTOBUF, F.lit(False)
+    )
+    rows = cut(
+        paired.select(
+            *proposals.columns, "topic", "compatibility",
+            incomplete.alias("__incomplete"),
+            F.when(~silent, F.col("current_schema")).alias("__old_text"),
+            F.when(~silent, F.col("proposed_schema")).alias("__new_text"),
+            F.when(silent, t.PROTOBUF).otherwise(F.col("schema_format")).alias("__format"),
+            F.when(~silent, F.col("compatibility")).alias("__mode"),
+        ).withColumn(
+            "__pair",
+            F.when(~F.col("__incomplete"), _digest("__old_text", "__new_text", "__format", "__mode")),
         ),
-        "current_schema", "proposed_schema", "__format", "compatibility", strict_types,
+        "proposals",
+    )
+    pairs = rows.filter("not __incomplete").select(
+        "__pair", "__old_text", "__new_text", "__format", "__mode"
     )
-    error = F.when(incomplete, "contract_name and proposed_schema are required").otherwise(
-        F.concat(F.lit("schema analysis failed: "), F.col("schema_error"))
+    stored = cut(
+        with_schema_changes(
+            pairs.distinct(), "__old_text", "__new_text", "__format", "__mode", strict_types
+        ).select("__pair", "changes", "classification", "schema_error"),
+        "compared-proposals",
     )
+    compared = lookup_join(rows, stored, "__pair", spread_by=["change_id"])
+    error = F.when(
+        F.col("__incomplete"), "contract_name and proposed_schema are required"
+    ).otherwise(F.concat(F.lit("schema analysis failed: "), F.col("schema_error")))
     return compared.select(
         *proposals.columns, "topic", "compatibility",
-        F.when(~incomplete, F.col("changes")).otherwise(F.array().cast(CHANGES)).alias("changes"),
-        F.when(~incomplete, F.col("classification")).alias("classification"),
+        F.coalesce("changes", F.array().cast(CHANGES)).alias("changes"),
+        "classification",
         error.alias("error"),
     )
 

@@ -157,6 +157,32 @@ def test_history(spark):
     assert rows["e"].bump_error == "version must be MAJOR.MINOR.PATCH"
 
 
+def test_first_versions_have_no_class(spark):
+    v = versions_frame(spark, [version("a", "c", "1.0.0", "x", fmt="PROTOBUF"),
+                               version("b", "c", "1.0.1", "y", day=2, fmt="PROTOBUF")])
+    rows = {r.id: r for r in evolution.evolution_history(v).collect()}
+    assert rows["a"].classification is None and rows["a"].changes == []
+    assert rows["b"].classification == t.SAFE and rows["b"].previous_version == "1.0.0"
+
+
+def test_shared_schemas_are_compared_once(spark, monkeypatch):
+    """Twenty contracts with the same three schemas, one of them NULL, make two pairs."""
+    bodies = [avro(ID), avro(ID, with_default(CURRENCY, "")), None]
+    v = versions_frame(spark, [
+        version(f"{c}-{n}", f"c{c}", f"1.{n}.0", body, day=n + 1)
+        for c in range(20) for n, body in enumerate(bodies)])
+    stored, plain = {}, evolution.cut
+    monkeypatch.setattr(
+        evolution, "cut", lambda df, name: stored.setdefault(name, plain(df, name)))
+    rows = evolution.evolution_history(v)
+    assert stored["compared-schemas"].count() == 2
+    assert stored["schema-texts"].count() == 3
+    assert "schema_body" not in stored["version-pairs"].columns
+    found = {(r.previous_version, r.classification, bool(r.schema_error)) for r in rows.collect()}
+    assert rows.count() == 60
+    assert found == {(None, None, False), ("1.0.0", t.COMPATIBLE, False), ("1.1.0", None, True)}
+
+
 def test_history_in_ranges_equals_one_window_per_contract(spark):
     """Null contracts, null and equal times, null values, and a contract in several ranges."""
     rows = [(None if i % 7 == 0 else f"c{i % 5 // 4}", None if i % 11 == 0 else i // 6, f"{i:02d}",
@@ -202,6 +228,8 @@ def test_gate(spark):
     assert changes == {("amount", t.FIELD_REMOVED), ("currency", t.FIELD_REMOVED)}
     impacted = {r.consumer_name: r.fields_impacted for r in result.consumers.collect()}
     assert impacted == {"x": ["amount"], "y": [], "z": [], "w": []}
+    for part in (result.decisions, result.changes, result.consumers):  # nothing is parsed again
+        assert "parse_json" not in part._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_registry(spark, tmp_path):
