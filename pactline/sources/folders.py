@@ -13,12 +13,18 @@ def _path(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def mark(spark: SparkSession, path: str) -> None:
-    """Say that a folder is finished."""
-    file, files = _path(spark, f"{path}/{MARK}")
+def mark(spark: SparkSession, path: str, name: str = MARK) -> None:
+    """Say that a folder is finished, or something else that the name tells."""
+    file, files = _path(spark, f"{path}/{name}")
     files.create(file, True).close()
 
 
+def count_marks(spark: SparkSession, path: str, prefix: str) -> int:
+    """How many marks of a folder begin with ``prefix``."""
+    folder, files = _path(spark, path)
+    return sum(f.getPath().getName().startswith(prefix) for f in files.listStatus(folder))
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     file, files = _path(spark, f"{path}/{MARK}")
     return files.exists(file)

@@ -13,8 +13,6 @@ from pactline.operators.lineage import OFFSET_KEY, lineage_events
 from pactline.operators.partitions import cut
 from pactline.sources import folders
 from pactline.sources.edge_table import EdgeTable
-from pactline.sources.sinks import write_run_events
-
 
 _BLOCK = 1 << 15  # offsets in one map of written ones, which takes 4 KB at most
 _PLACE = ["topic", "partition", "block"]
@@ -72,6 +70,30 @@ def _once(events: DataFrame) -> DataFrame:
     return events.join(side, OFFSET_KEY, "left_anti").unionByName(repeated.select(*events.columns))
 
 
+def _new_events(
+    batch: DataFrame, batch_id: int, root: str, violation_topic: str, namespace: str, dataset: str
+) -> DataFrame:
+    """The run events of those messages of a batch that no finished batch below ``root`` has had.
+
+    Leaves the map of the batch's offsets below ``root``.
+    """
+    spark = batch.sparkSession
+    done = folders.finished_children(spark, root, "batch_id")
+    written = f"{root}/_written/batch_id={batch_id}"
+    written_offsets(batch).write.mode("overwrite").parquet(written)
+    own = spark.read.parquet(written)
+    blocks, repeated = own.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") - F.bitmap_count("bits")), F.lit(0))
+    ).first()
+    fresh = batch
+    if done and blocks:
+        maps = spark.read.parquet(*(f"{root}/_written/batch_id={n}" for n in done))
+        fresh = not_written(batch, own, maps)
+    events = lineage_events(fresh, violation_topic, namespace, dataset)
+    # Within the batch; otherwise nothing is shuffled.
+    return _once(cut(events, "events")) if repeated else events
+
+
 def lineage_stream(
     messages: DataFrame,
     violation_topic: str,
@@ -92,26 +114,11 @@ def lineage_stream(
     root = path.rstrip("/")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         home = f"{root}/batch_id={batch_id}"
-        if folders.finished(spark, home):
-            return
-        done = folders.finished_children(spark, root, "batch_id")
-        written = f"{root}/_written/batch_id={batch_id}"
-        written_offsets(batch).write.mode("overwrite").parquet(written)
-        own = spark.read.parquet(written)
-        blocks, repeated = own.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") - F.bitmap_count("bits")), F.lit(0))
-        ).first()
-        fresh = batch
-        if done and blocks:
-            maps = spark.read.parquet(*(f"{root}/_written/batch_id={n}" for n in done))
-            fresh = not_written(batch, own, maps)
-        events = lineage_events(fresh, violation_topic, namespace, dataset)
-        if repeated:  # within the batch; otherwise nothing is shuffled
-            events = _once(cut(events, "events"))
-        events.write.mode("overwrite").parquet(home)
-        folders.mark(spark, home)
+        if not folders.finished(batch.sparkSession, home):
+            events = _new_events(batch, batch_id, root, violation_topic, namespace, dataset)
+            events.write.mode("overwrite").parquet(home)
+            folders.mark(batch.sparkSession, home)
 
     return (
         messages.writeStream.foreachBatch(emit)
@@ -129,31 +136,75 @@ def read_lineage_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(*done.values())
 
 
+def write_lines(events: DataFrame, path: str) -> None:
+    """The usual delivery: one JSON text a line, a folder a batch, written anew when tried again."""
+    events.select("value").write.mode("overwrite").text(path)
+
+
+def deliver_pending(
+    spark: SparkSession,
+    outbox: str,
+    path: str,
+    send: Callable[[DataFrame, str], None] = write_lines,
+    log: str | None = None,
+) -> list[int]:
+    """Send what waits in an outbox, oldest batch first, and return the batches that arrived.
+
+    The first failure ends the round, so batches arrive in their order; it counts as an attempt of
+    that batch and nothing is lost. A batch leaves the outbox once it has arrived. If the driver stops
+    in between, the batch is sent again to the same folder with the same run ids.
+    """
+    arrived = []
+    for number, home in sorted(folders.finished_children(spark, f"{outbox}/pending", "batch_id").items()):
+        attempt = folders.count_marks(spark, home, "_ATTEMPT") + 1
+        events = spark.read.schema("value string").parquet(home)
+        try:
+            send(events, f"{path}/batch_id={number}")
+            delivered = True
+        except Exception:  # whatever a sink raises is a failed delivery, never the end of the stream
+            folders.mark(spark, home, f"_ATTEMPT-{attempt}")
+            delivered = False
+        if log is not None:
+            row = events.agg(F.lit(delivered).alias("delivered"), F.count(F.lit(1)).alias("n"))
+            row.write.mode("overwrite").parquet(f"{log}/batch_id={number}/attempt={attempt}")
+        if not delivered:
+            break
+        folders.delete(spark, home)
+        arrived.append(number)
+    return arrived
+
+
 def lineage_delivery_stream(
     messages: DataFrame,
     violation_topic: str,
     path: str,
-    fallback: str,
+    outbox: str,
     checkpoint: str,
     *,
     namespace: str,
     dataset: str = "topic",
+    send: Callable[[DataFrame, str], None] = write_lines,
     log: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Emit JSON lines per micro-batch; events that cannot be delivered go to ``fallback``.
+    """Emit run events to a sink that may fail.
 
-    ``log`` takes one row per batch: whether its events were delivered, and how many they were.
+    A micro-batch is stored in ``outbox`` first, without the offsets that came before, and then
+    everything that waits there is sent (:func:`deliver_pending`): a batch whose delivery fails stays
+    and goes first with the next one. :func:`deliver_pending` also empties the outbox after the last batch.
+    ``log`` takes one row per attempt (batch_id, attempt): whether it arrived, and its number of events.
     """
+    root = outbox.rstrip("/")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        events = lineage_events(batch, violation_topic, namespace, dataset)
-        part = f"batch_id={batch_id}"
-        delivered = write_run_events(events, f"{path}/{part}", f"{fallback}/{part}")
-        if log is not None:
-            lines = batch.sparkSession.read.text(f"{path if delivered else fallback}/{part}")
-            counted = lines.agg(F.lit(delivered).alias("delivered"), F.count(F.lit(1)).alias("n"))
-            counted.write.mode("overwrite").parquet(f"{log}/{part}")
+        spark = batch.sparkSession
+        stored, waiting = f"{root}/batch_id={batch_id}", f"{root}/pending/batch_id={batch_id}"
+        if not folders.finished(spark, stored):
+            events = _new_events(batch, batch_id, root, violation_topic, namespace, dataset)
+            events.select("value").write.mode("overwrite").parquet(waiting)
+            folders.mark(spark, waiting)
+            folders.mark(spark, stored)
+        deliver_pending(spark, root, path, send, log)
 
     return (
         messages.writeStream.foreachBatch(emit)

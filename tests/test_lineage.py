@@ -15,10 +15,12 @@ from pactline.sources.registry import read_registry
 from pactline.sources.sinks import write_run_events
 from pactline.streaming.contracts import contract_stream
 from pactline.streaming.lineage import (
+    deliver_pending,
     edge_stream,
     lineage_delivery_stream,
     lineage_stream,
     read_lineage_events,
+    write_lines,
 )
 
 WHEN = datetime(2024, 1, 2, 3, 4, 5)
@@ -217,18 +219,46 @@ def test_edges_seen_at_the_same_time_do_not_depend_on_order(spark):
 
 
 def test_failed_delivery_keeps_the_stream_alive(spark, tmp_path):
-    source, spare, state = (str(tmp_path / n) for n in ("in", "spare", "state"))
+    source, out, box, state, log = (
+        str(tmp_path / n) for n in ("in", "file/x", "box", "state", "log"))
     put(spark, [message("{}", offset=1)], source)
     (tmp_path / "file").write_text("in the way")
     stream = lineage_delivery_stream(
-        read_message_stream(spark, ["audit"], path=source), BAD, str(tmp_path / "file" / "x"),
-        spare, state, namespace="ns")
+        read_message_stream(spark, ["audit"], path=source), BAD, out, box, state,
+        namespace="ns", log=log)
     stream.awaitTermination()
     assert stream.exception() is None
-    assert spark.read.text(spare).count() == 1
+    assert spark.read.parquet(f"{box}/pending").count() == 1
+    (tmp_path / "file").unlink()
+    assert deliver_pending(spark, box, out, log=log) == [0]
+    assert deliver_pending(spark, box, out, log=log) == []
+    assert spark.read.text(out).count() == 1
+    tries = spark.read.parquet(log).select("batch_id", "attempt", "delivered", "n").collect()
+    assert set(map(tuple, tries)) == {(0, 1, False, 1), (0, 2, True, 1)}
     assert write_run_events(spark.createDataFrame([("{}",)], "value string"), str(tmp_path / "ok"))
 
 
+def test_failed_batches_are_sent_first_and_once(spark, tmp_path):
+    """Three runs, the sink down for the first two; offset 1 comes again in the last."""
+    source, out, box, state = (str(tmp_path / n) for n in ("in", "out", "box", "state"))
+    sent = []
+
+    def send(events, path):
+        sent.append(path[-1])
+        if len(sent) < 3:
+            raise OSError("down")
+        write_lines(events, path)
+
+    for offset in (1, 2, 3):
+        put(spark, [message("{}", offset=offset), message("{}", offset=1)], source)
+        lineage_delivery_stream(
+            read_message_stream(spark, ["audit"], path=source), BAD, out, box, state,
+            namespace="ns", send=send).awaitTermination()
+    assert sent == ["0", "0", "0", "1", "2"]
+    lines = [r.value for r in spark.read.text(out).collect()]
+    assert len(lines) == len(set(lines)) == 3
+
+
 def test_edge_stream(spark, tmp_path):
     source, root, state = (str(tmp_path / n) for n in ("in", "edges", "state"))
     schema = ("source_topic string, consumer_name string, consumer_type string, "

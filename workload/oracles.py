@@ -662,6 +662,9 @@ UNION ALL SELECT 'FAIL', count(*) FROM reports""")
 oracle("stream_deliveries", MESSAGES, AUDIT, """
 SELECT true AS delivered,
   CAST((SELECT count(*) FROM audit) + (SELECT count(*) FROM reports) AS BIGINT) AS n""")
+oracle("outbox_deliveries", MESSAGES, AUDIT, """
+SELECT 'COMPLETE' AS event_type, count(*) AS n, count(*) AS runs FROM audit
+UNION ALL SELECT 'FAIL', count(*), count(*) FROM reports""")
 oracle("message_ids", """
 SELECT event_id AS "offset", CASE event_type WHEN 'error' THEN 'governance.violations'
   ELSE 'governance.audit' END || ':0:' || event_id AS id FROM events""")

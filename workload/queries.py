@@ -26,6 +26,7 @@ from pactline.streaming.lineage import (
     lineage_delivery_stream,
     lineage_stream,
     read_lineage_events,
+    write_lines,
 )
 from workload import derive as d
 
@@ -946,6 +947,27 @@ def stream_deliveries(spark, sf):
     return spark.read.parquet(f"{out}/log").groupBy("delivered").agg(F.sum("n").alias("n"))
 
 
+@query
+def outbox_deliveries(spark, sf):
+    """Run events that arrived although the sink was down at first, with repeated messages."""
+    out, tries = scratch_path(spark, "outbox-stream"), []
+
+    def send(events, path):
+        tries.append(path)
+        if len(tries) <= 2:
+            raise OSError("the sink is down")
+        write_lines(events, path)
+
+    lineage_delivery_stream(
+        d.as_consumed(_stream_with_repeats(spark, sf, "events")), d.VIOLATION_TOPIC,
+        f"{out}/lines", f"{out}/box", f"{out}/checkpoint", namespace=d.NAMESPACE,
+        dataset="data_topic", send=send).awaitTermination()
+    lines = spark.read.text(f"{out}/lines")
+    return lines.groupBy(F.get_json_object("value", "$.eventType").alias("event_type")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct(F.get_json_object("value", "$.run.runId")).alias("runs"))
+
+
 @query
 def stream_upsert(spark, sf):
     """Users seen per event type, kept as an edge table over six batches in no order of time."""
