@@ -218,8 +218,9 @@ def _levels(text: Column, max_segments: int | None) -> Column:
 _ENTRIES = "array<struct<path:string,node:variant>>"
 
 
-def object_entries(doc: Column, text: Column, max_segments: int | None = None) -> Column:
-    """Every object path with its value, intermediate objects included, ordered by path.
+def object_listing(doc: Column, text: Column, max_segments: int | None = None) -> Column:
+    """(done, cut): every object path with its value, intermediate objects included, by levels, and
+    whether ``max_segments`` has left anything out.
 
     Walks level by level inside one expression, so no row is multiplied and nothing shuffles. The
     number of rounds comes from the text itself, hence no depth is too deep.
@@ -238,7 +239,7 @@ def object_entries(doc: Column, text: Column, max_segments: int | None = None) -
         return F.coalesce(listed, none)
 
     first = children(doc, at_root=True)
-    start = F.struct(first.alias("frontier"), none.alias("done"))
+    start = F.struct(first.alias("frontier"), none.alias("done"), F.lit(False).alias("cut"))
 
     def deeper(state: Column, level: Column) -> Column:
         below = F.flatten(F.transform(state["frontier"], lambda e: children(e, at_root=False)))
@@ -247,11 +248,19 @@ def object_entries(doc: Column, text: Column, max_segments: int | None = None) -
             F.struct(
                 F.when(last, none).otherwise(below).alias("frontier"),
                 F.concat(state["done"], state["frontier"]).alias("done"),
+                (last & (F.size(below) > 0)).alias("cut"),
             )
         )
 
-    entries = F.aggregate(_levels(text, max_segments), start, deeper, lambda s: s["done"])
-    return F.coalesce(entries, none)
+    return F.aggregate(
+        _levels(text, max_segments), start, deeper,
+        lambda s: F.struct(F.coalesce(s["done"], none).alias("done"), s["cut"].alias("cut")),
+    )
+
+
+def object_entries(doc: Column, text: Column, max_segments: int | None = None) -> Column:
+    """Every object path with its value (see :func:`object_listing`)."""
+    return F.coalesce(object_listing(doc, text, max_segments)["done"], F.array().cast(_ENTRIES))
 
 
 def object_paths(doc: Column, text: Column, max_segments: int | None = None) -> Column:
@@ -261,10 +270,10 @@ def object_paths(doc: Column, text: Column, max_segments: int | None = None) ->
     )
 
 
-def extract_fields(doc: Column, text: Column, max_segments: int = 5) -> Column:
-    """(path, value_type, nullable, present) per field, at most ``max_segments`` deep."""
+def described_fields(entries: Column) -> Column:
+    """(path, value_type, nullable, present) of listed entries, by path."""
     described = F.transform(
-        object_entries(doc, text, max_segments),
+        entries,
         lambda e: F.struct(
             e["path"].alias("path"),
             json_kind(e["node"]).alias("value_type"),
@@ -273,3 +282,8 @@ def extract_fields(doc: Column, text: Column, max_segments: int = 5) -> Column:
         ),
     )
     return F.sort_array(described)
+
+
+def extract_fields(doc: Column, text: Column, max_segments: int | None = None) -> Column:
+    """(path, value_type, nullable, present) per field, at most ``max_segments`` deep if given."""
+    return described_fields(object_entries(doc, text, max_segments))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from pactline import types as t
 from pactline.functions.documents import (
+    described_fields,
     extract_fields,
     is_object_text,
+    let,
+    object_listing,
     top_level_keys,
     with_parsed,
 )
@@ -50,10 +53,13 @@ def subscribed_topics(topics: list[str], audit_topic: str, violation_topic: str)
     return list(dict.fromkeys([*topics, audit_topic, violation_topic]))
 
 
-def with_metadata(df: DataFrame, value: str = "value", max_segments: int = 5) -> DataFrame:
-    """Add ``fields``, ``top_level_keys`` and ``failure`` for the body in ``value``.
+def with_metadata(
+    df: DataFrame, value: str = "value", max_segments: int | None = None
+) -> DataFrame:
+    """Add ``fields``, ``top_level_keys``, ``failure`` and ``truncated`` for the body in ``value``.
 
-    A body that is not JSON, or not an object, has no fields; a tombstone is a failure.
+    A body that is not JSON, or not an object, has no fields; a tombstone is a failure. Fields of any
+    depth are listed unless ``max_segments`` limits it; ``truncated`` says that it left some out.
     """
     raw = F.col(value)
     text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
@@ -61,18 +67,24 @@ def with_metadata(df: DataFrame, value: str = "value", max_segments: int = 5) ->
     is_object = F.col("__doc").isNotNull() & is_object_text(F.col("__text"))
     empty = F.array().cast(t.FIELD_METADATA)
     keys = F.when(is_object, top_level_keys(F.col("__text")))
-    found = F.when(
-        is_object, extract_fields(F.col("__doc"), F.col("__text"), max_segments)
-    ).otherwise(empty)
+    found = let(
+        object_listing(F.col("__doc"), F.col("__text"), max_segments),
+        lambda listed: F.struct(
+            described_fields(listed["done"]).cast(t.FIELD_METADATA).alias("fields"),
+            listed["cut"].alias("cut"),
+        ),
+    )
     return (
-        bind(parsed, {"fields": found.cast(t.FIELD_METADATA)})
+        bind(parsed, {"__listed": F.when(is_object, found)})
         .withColumns(
             {
+                "fields": F.coalesce("__listed.fields", empty),
+                "truncated": F.coalesce("__listed.cut", F.lit(False)),
                 "top_level_keys": F.coalesce(keys, F.array().cast("array<string>")),
                 "failure": F.when(raw.isNull(), F.lit("TypeError")),
             }
         )
-        .drop("__text", "__doc")
+        .drop("__text", "__doc", "__listed")
     )
 
 

@@ -60,11 +60,13 @@ def test_paths_against_plain_python(spark, docs):
     rows = [(json.dumps(doc), ".") for doc in docs]
     df = frame(spark, rows).select(
         d.object_paths(F.col("doc"), F.col("text")).alias("paths"),
-        d.extract_fields(F.col("doc"), F.col("text"), 2).alias("fields"))
+        d.extract_fields(F.col("doc"), F.col("text"), 2).alias("fields"),
+        F.coalesce(d.object_listing(F.col("doc"), F.col("text"), 2)["cut"], F.lit(False)).alias("cut"))
     for doc, row in zip(docs, df.collect()):
         assert row.paths == sorted(p for p, _ in walk(doc))
         expected = sorted((p, kind(v), v is None, True) for p, v in walk(doc, limit=2))
         assert sorted(map(tuple, row.fields)) == expected
+        assert row.cut == (len(list(walk(doc))) > len(list(walk(doc, limit=2))))
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.too_slow])

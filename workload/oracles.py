@@ -461,6 +461,10 @@ FROM m""")
 oracle("collect_paths", MESSAGES, GOOD, FIELDS, "SELECT event_id, path FROM f")
 oracle("extract_fields", MESSAGES, GOOD, FIELDS, """
 SELECT event_id, path, kind AS value_type, kind = 'null' AS nullable, true AS present FROM f""")
+oracle("deep_fields", """
+SELECT event_id, event_id % 8 + 2 AS n, 'd' || repeat('.d', CAST(event_id % 8 AS INT)) AS deepest,
+  false AS whole_cut, least(event_id % 8 + 1, 5) + 1 AS n_at_five, event_id % 8 > 4 AS truncated
+FROM events""")
 oracle("top_level_keys", MESSAGES, """
 SELECT event_id, CASE WHEN malformed THEN NULL WHEN amount = 'absent'
   THEN 'event_id,props,tags,user' ELSE 'amount,event_id,props,tags,user' END AS keys FROM m""")
@@ -527,6 +531,14 @@ WHERE status = 'ACTIVE' AND contract_id IN (SELECT CAST(c_custkey AS VARCHAR) FR
 QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY created_at DESC, id) = 1""")
 oracle("list_active_versions", VERSIONS, """
 SELECT id, contract_id, version FROM versions WHERE status = 'ACTIVE'""")
+oracle("ranked_active_versions", VERSIONS, """
+SELECT id, contract_id,
+  row_number() OVER (PARTITION BY contract_id ORDER BY created_at DESC, id) AS place
+FROM versions WHERE status = 'ACTIVE'""")
+oracle("indexed_fields", """
+SELECT c_custkey, 'a' AS name, CASE WHEN c_nationkey < 12 THEN 'long' ELSE 'string' END AS type,
+  c_acctbal > 0 AS has_default FROM customer
+UNION ALL SELECT c_custkey, 'b', 'string', true FROM customer""")
 oracle("latest_version", VERSIONS, LATEST, "SELECT contract_id, id, version, status FROM latest")
 oracle("contract_by_name", """
 SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'orders.' || c_custkey AS topic,
@@ -748,6 +760,10 @@ oracle("scored_consumers", *IMPACT, """
 SELECT change_id, name, node_type, owner_team, impact,
   array_to_string(affected, ',') AS affected_fields, depth, depth = 1 AS is_direct
 FROM scored WHERE impact <> 'NONE'""")
+oracle("ranked_consumers", *IMPACT, """
+SELECT change_id, name, impact, row_number() OVER (PARTITION BY change_id ORDER BY
+  list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], impact), depth, name) AS place
+FROM scored WHERE impact <> 'NONE'""")
 oracle("approvals", *IMPACT, """
 SELECT DISTINCT change_id, owner_team FROM scored
 WHERE impact IN ('CRITICAL', 'HIGH') AND coalesce(owner_team, '') <> ''""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactline import types as t
@@ -216,6 +216,21 @@ def extract_fields(spark, sf):
     return _documents(spark, sf).select("event_id", F.inline(fields))
 
 
+@query
+def deep_fields(spark, sf):
+    """Bodies of two to nine levels: all fields, and what a limit of five leaves and reports."""
+    value = F.concat(F.lit('{"id":1,"d":'), F.expr("repeat('{\"d\":', cast(event_id % 8 as int))"),
+                     F.col("event_id").cast("string"), F.expr("repeat('}', cast(event_id % 8 as int))"),
+                     F.lit("}"))
+    bodies = d.table(spark, sf, "events").select("event_id", value.alias("value"))
+    whole = lineage.with_metadata(bodies).select(
+        "event_id", "value", F.size("fields").cast("bigint").alias("n"),
+        F.element_at("fields", -2)["path"].alias("deepest"), F.col("truncated").alias("whole_cut"))
+    return lineage.with_metadata(whole, max_segments=5).select(
+        "event_id", "n", "deepest", "whole_cut",
+        F.size("fields").cast("bigint").alias("n_at_five"), "truncated")
+
+
 @query
 def top_level_keys(spark, sf):
     keys = F.sort_array(documents.top_level_keys(F.col("payload")))
@@ -304,6 +319,20 @@ def list_active_versions(spark, sf):
         "id", "contract_id", "version")
 
 
+def _placed(df, key):
+    """The place of each row among those of its key, in the order in which the rows are."""
+    order = Window.partitionBy(key).orderBy("at")
+    return df.withColumn("at", F.monotonically_increasing_id()).withColumn(
+        "place", F.row_number().over(order).cast("bigint")).drop("at")
+
+
+@query
+def ranked_active_versions(spark, sf):
+    """The order of the list of active versions, by the place of each among those of its contract."""
+    listed = registry.list_active_versions(d.versions(spark, sf)).select("id", "contract_id")
+    return _placed(listed, "contract_id")
+
+
 @query
 def latest_version(spark, sf):
     return registry.latest_version(d.versions(spark, sf)).select(
@@ -440,6 +469,22 @@ def history_classes(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@query
+def indexed_fields(spark, sf):
+    """Fields by name where a schema holds one name twice: the last one counts."""
+    c = d.table(spark, sf, "customer")
+    again = F.when(F.col("c_nationkey") < 12, F.lit('"long"')).otherwise(F.lit('"string"'))
+    body = F.concat(
+        F.lit('{"type":"record","name":"R","fields":[{"name":"a","type":"int"},'
+              '{"name":"b","type":"string","default":""},{"name":"a","type":'), again,
+        F.when(F.col("c_acctbal") > 0, ',"default":null').otherwise(""), F.lit("}]}"))
+    listed = evolution.with_schema_fields(
+        c.select("c_custkey", body.alias("body"), F.lit(t.AVRO).alias("format")),
+        "body", "format", "fields")
+    return listed.select("c_custkey", F.inline("fields")).select(
+        "c_custkey", "name", F.regexp_replace("type", '"', "").alias("type"), "has_default")
+
+
 def _gate(spark, sf, strict=False):
     return change_gate.run_gate(
         d.proposals(spark, sf), d.contracts(spark, sf), d.versions(spark, sf),
@@ -639,6 +684,13 @@ def scored_consumers(spark, sf):
         F.col("depth").cast("bigint").alias("depth"), "is_direct")
 
 
+@query
+def ranked_consumers(spark, sf):
+    """The order of a report's consumers, by the place of each in its report."""
+    ordered = impact.sort_consumers(impact.affected(_scored(spark, sf)))
+    return _placed(ordered.select("change_id", "name", "impact"), "change_id")
+
+
 @query
 def blast_radius_report(spark, sf):
     r = blast.blast_radius(
