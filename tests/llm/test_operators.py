@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pactline.llm import (bpe, chat, components, encoding, exact_dedup, importance, near_dedup, packing,
                           repetition, sharding, substring_dedup, token_files)
+from pactline.llm.common import MULTIPLIER
 from pactline.session import scratch_path
 from tests.llm.conftest import rows
 
@@ -60,6 +62,14 @@ def test_shards_are_even_and_numbered(docs):
     assert set(slots) <= set(range(6))
 
 
+def test_shards_of_nothing_and_of_equal_rows(spark, empty):
+    assert sharding.kd_shards(empty, shards=6).count() == 0
+    equal = spark.createDataFrame([(i, "x" * 100, "en", "a", 100) for i in range(300)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    counts = Counter(r.shard for r in sharding.kd_shards(equal, shards=5).collect())
+    assert set(counts) == set(range(5)) and max(counts.values()) - min(counts.values()) <= 1
+
+
 def test_shards_of_even_rows_have_even_bytes(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "'one' AS source",
                                       "CAST(NULL AS STRING) AS lang")
@@ -427,6 +437,68 @@ def test_importance(spark, docs, empty):
     assert importance.importance_sample(empty, labels).count() == 0
 
 
+def buckets_of(text: str | None, number: int) -> list[int]:
+    """The buckets of words and word pairs, one by one in whole numbers."""
+    mask, factor = (1 << 64) - 1, int(MULTIPLIER)
+
+    def spread(x: int) -> int:
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & mask
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & mask
+        return x ^ x >> 33
+
+    words = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+             for w in (text or "").encode().lower().split()]
+    pairs = [(a * factor + b) & mask for a, b in zip(words, words[1:])]
+    return [spread(x) % number for x in words + pairs]
+
+
+def test_importance_equals_plain_counting(spark):
+    """Scores, keys and the cut, with nulls, several labels a document, repeated rows and a tie."""
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("good nice Plain bad worse odd".split()) for _ in range(draw.randint(0, 9)))
+             for _ in range(60)]
+    given = [*enumerate(texts), (100, None), (101, ""), (None, "good odd"), (7, texts[7]), (7, texts[7])]
+    votes = [(i, int("good" in x)) for i, x in enumerate(texts) if i % 2] + [
+        (1, 0), (1, 1), (3, None), (100, 1), (500, 1), (None, 1)]
+    rules = importance.ImportanceRules(features=1024, share=0.4)
+    got = importance.importance_sample(
+        spark.createDataFrame(given, "doc_id long, text string").repartition(3),
+        spark.createDataFrame(votes, "doc_id long, quality int"), rules).collect()
+
+    target = {d for d, quality in votes if d is not None and quality == 1}
+    raw, good = Counter(), Counter()
+    for d, text in given:
+        found = buckets_of(text, 1024)
+        raw.update(found)
+        good.update(found if d in target else [])
+    share = lambda counts, b: math.log((counts[b] + 1) / (sum(counts.values()) + 1024))
+    noise = {r.doc_id: r.u for r in spark.createDataFrame(given, "doc_id long, text string").selectExpr(
+        "doc_id", "(shiftrightunsigned(xxhash64(17, doc_id), 11) + 0.5) / pow(2, 53) as u").collect()}
+    expected = []
+    for d, text in given:
+        score = sum(share(good, b) - share(raw, b) for b in buckets_of(text, 1024))
+        expected.append((d, score, score - math.log(-math.log(noise[d]))))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got, expected = sorted(map(tuple, got), key=order), sorted(expected, key=order)
+    assert [r[0] for r in got] == [r[0] for r in expected]
+    for found, wanted in zip(got, expected):
+        assert found[1:3] == pytest.approx(wanted[1:], abs=1e-9)
+    line = sorted((r[2] for r in expected), reverse=True)[round(len(given) * 0.4) - 1]
+    assert [r[3] for r in got] == [r[2] >= line - 1e-6 for r in expected]
+    assert len({r[3] for r in got if r[0] == 7}) == 1
+
+
+def test_rows_with_equal_keys_are_kept_together(spark):
+    same = spark.createDataFrame([(4, "one text")] * 6 + [(5, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for share in (0.0, 0.3, 0.5, 1.0):
+        got = importance.importance_sample(same, labels, importance.ImportanceRules(share=share)).collect()
+        assert len({r.kept for r in got if r.doc_id == 4}) == 1
+        assert sum(r.kept for r in got) >= round(7 * share)
+
+
 # 8 --------------------------------------------------------------------------------------------
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+
 import __spark_entry__
 import corpus_pipeline
 from pactline.llm.common import stored
-from tests.llm.conftest import rows
+from tests.llm.conftest import SCHEMA, rows
 from tests.llm.test_operators import WORDS, components_of, ids_of, removed_by_brute_force, shingle_sets
 
 
@@ -36,7 +38,25 @@ def test_stages(spark, docs):
     assert lengths == {d: len(ids_of(WORDS, x)) + 1 for d, x in texts["substrings"].items()}
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_an_empty_table(spark, empty, name, stage):
+    left = stage(spark, empty, "")
+    assert left.count() == 0
+    if name != "packing":
+        assert left.columns == empty.columns
+
+
+def test_every_document_may_go(spark, tmp_path):
+    """Short, blank, null and looping texts only: nothing passes the first stage."""
+    short = [(1, "few words", "en", "a", 9), (2, None, None, None, None), (3, " ", "en", "a", 1),
+             (4, "loop it again and again " * 60, "en", "a", 1), (None, "", "en", "a", 0)]
+    spark.createDataFrame(short, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
