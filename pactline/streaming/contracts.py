@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from pactline.operators.partitions import spread
 from pactline.plans.contract_check import contract_outcomes
 from pactline.sources.sinks import write_outcomes
 
@@ -20,6 +19,7 @@ def contract_stream(
     checkpoint: str,
     *,
     extra: tuple[str, ...] = (),
+    partitions: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Validate, mask and split a stream of messages.
@@ -27,11 +27,15 @@ def contract_stream(
     Each micro-batch reads the contracts again, so a new version takes effect with the next batch,
     and writes all outcomes in one pass to its own folder. A batch repeated after a failure
     overwrites that folder: every message ends up in the output exactly once.
+
+    Messages are not moved unless ``partitions`` asks for it: give it when a batch has fewer splits
+    than the cluster has cores and the source cannot be told to split it further.
     """
     root = path.rstrip("/")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rows = contract_outcomes(spread(batch), load_enforcement(), load_keys(), *extra)
+        given = batch if partitions is None else batch.repartition(partitions)
+        rows = contract_outcomes(given, load_enforcement(), load_keys(), *extra)
         write_outcomes(rows, f"{root}/batch_id={batch_id}")
 
     return (

@@ -957,13 +957,33 @@ def stream_validate(spark, sf):
     stream = contract_stream(
         d.as_messages(_stream_of(spark, sf, "events")),
         lambda: d.event_enforcement(spark), lambda: d.event_keys(spark),
-        f"{out}/rows", f"{out}/checkpoint", extra=("event_id",))
+        f"{out}/rows", f"{out}/checkpoint", extra=("event_id",),
+        partitions=spark.sparkContext.defaultParallelism)
     stream.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(
         "event_id", "outcome", "error", "detail",
         joined(F.col("fields_transformed")).alias("transformed"))
 
 
+@query
+def stream_contract_change(spark, sf):
+    """Messages in six batches; after the third the contract of one topic is no longer active."""
+    out = scratch_path(spark, "contract-change")
+    events = d.table(spark, sf, "events")
+    contracts = d.event_enforcement(spark)
+    for half, active in enumerate((contracts, contracts.filter("topic <> 'events.signup'"))):
+        events.filter(F.col("event_id") % 2 == half).repartition(3, "event_id").write.mode(
+            "append").parquet(f"{out}/in")
+        stored = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        contract_stream(
+            d.as_messages(stored.parquet(f"{out}/in")), lambda: active,
+            lambda: d.event_keys(spark), f"{out}/rows", f"{out}/checkpoint", extra=("event_id",),
+        ).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(
+        "event_id", F.col("batch_id").cast("bigint").alias("batch_id"), "outcome", "error", "detail"
+    ).withColumn("half", F.floor(F.col("batch_id") / 3)).drop("batch_id")
+
+
 def _stream_with_repeats(spark, sf, name, again=1):
     """The table as six files in no order of time, one a batch; every tenth row comes again."""
     rows = d.table(spark, sf, name).withColumn("copy", F.lit(0))
