@@ -71,11 +71,13 @@ def test_paths_that_collide_are_one_lineage_entry(spark):
     assert set(facets["columnLineage"]["fields"]) == {"a", "a.b"}
 
 
-def test_five_segments_are_the_limit(spark):
+def test_five_segments_are_a_limit_when_asked_for(spark):
     body = '{"l1":{"l2":{"l3":{"l4":{"l5":{"l6":1}}}}}}'
-    row = lineage.with_metadata(consumed(spark, message(body))).first()
+    row = lineage.with_metadata(consumed(spark, message(body)), max_segments=5).first()
     assert [f.path for f in row.fields][-1] == "l1.l2.l3.l4.l5" and len(row.fields) == 5
-    assert row.top_level_keys == ["l1"]
+    assert row.top_level_keys == ["l1"] and row.truncated
+    whole = lineage.with_metadata(consumed(spark, message(body))).first()
+    assert len(whole.fields) == 6 and not whole.truncated
 
 
 def test_run_ids_repeat(spark):
