@@ -7,15 +7,18 @@ to the shared checkpoint folder and reads it back as the next one's input.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pactline.llm.common import stored
-from pactline.llm.exact_dedup import exact_filter
+from pactline.llm.exact_dedup import DigestIndex, exact_filter
 from pactline.llm.near_dedup import near_filter
 from pactline.llm.packing import pack_documents
 from pactline.llm.repetition import quality_filter
 from pactline.llm.substring_dedup import remove_substrings
+from pactline.session import scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of equal texts the one with the largest doc_id stays."""
-    return exact_filter(docs)
+    """Operator 5: of equal texts the one with the largest doc_id stays, by an index of digests."""
+    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", scratch_path(spark, "digest-index"))
+    kept = exact_filter(docs, index)
+    index.forget()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,13 +116,20 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None,
         F.lower(F.hex("digest")).alias("text_sha256"), "known")
 
 
-def exact_filter(docs: DataFrame) -> DataFrame:
+def exact_filter(docs: DataFrame, index: DigestIndex | None = None,
+                 batch: int | None = None) -> DataFrame:
     """The documents whose text no other has, and of equal texts the row with the largest doc_id,
     with all their columns. Of rows that repeat doc_id and text one stays. Null texts equal empty
-    ones, null doc_ids are smaller than all others, an empty table gives an empty one."""
+    ones, null doc_ids are smaller than all others, an empty table gives an empty one. With an
+    `index`, texts that another batch brought go too, and those that stay are appended to it."""
     own, doc, digest, keep, times = fresh_names(
         docs, "own_digest", "own_id", "group_digest", "group_keep", "group_rows")
-    kept = groups_of(stored(digests(docs), "digests")).select(
+    groups = groups_of(stored(digests(docs), "digests"))
+    if index is not None:
+        batch = index.next_batch() if batch is None else batch
+        groups = stored(index.fresh(groups, batch), "digest-fresh")
+        index.append(groups, batch)
+    kept = groups.select(
         F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("keep_rows").alias(times))
     hashed = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     marked = docs.withColumn(own, hashed).withColumn(doc, F.col("doc_id").cast("long"))

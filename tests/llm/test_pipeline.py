@@ -8,7 +8,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from pactline.llm import exact_dedup
 from pactline.llm.common import stored
+from pactline.session import scratch_path
 from tests.llm.conftest import SCHEMA, rows
 from tests.llm.test_operators import WORDS, components_of, ids_of, removed_by_brute_force, shingle_sets
 
@@ -46,6 +48,25 @@ def test_stages_of_an_empty_table(spark, empty, name, stage):
         assert left.columns == empty.columns
 
 
+def test_the_exact_stage_works_by_the_digest_index(spark, docs, monkeypatch):
+    appended, append = [], exact_dedup.DigestIndex.append
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", lambda index, fresh, batch: (
+        append(index, fresh, batch), appended.append((batch, index.read().count())))[0])
+    kept = corpus_pipeline.exact(spark, docs, "").count()
+    assert appended == [(0, kept)]
+
+
+def test_the_exact_filter_drops_texts_of_other_batches(spark):
+    frame = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, "test_filtered", scratch_path(spark, "test-index"), buckets=4)
+    ids = lambda df, batch: sorted(r.doc_id for r in exact_dedup.exact_filter(df, index, batch).collect())
+    assert ids(frame((1, "a"), (2, "a"), (3, None)), 1) == [2, 3]
+    assert ids(frame((4, "a"), (5, "c"), (6, "")), 2) == [5]
+    assert ids(frame((4, "a"), (5, "c"), (6, "")), 2) == [5]
+    assert index.read().count() == 3
+    index.forget()
+
+
 def test_every_document_may_go(spark, tmp_path):
     """Short, blank, null and looping texts only: nothing passes the first stage."""
     short = [(1, "few words", "en", "a", 9), (2, None, None, None, None), (3, " ", "en", "a", 1),
