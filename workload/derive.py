@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactline import types as t
 from pactline.functions.masks import token_keys
-from pactline.operators.partitions import spread
+from pactline.operators.partitions import cut, spread
 from pactline.operators.registry import enforcement_contracts
 from pactline.session import configure, scratch_path
 
@@ -150,9 +150,7 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        built = build()
-        parts = max(spark.sparkContext.defaultParallelism, built.rdd.getNumPartitions())
-        built.repartition(parts).write.parquet(path)
+        build().write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
@@ -342,12 +340,36 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "lineage_edges", sf_dir, lambda: _build_lineage_edges(spark, sf_dir))
 
 
+_KINDS = ["FLINK_JOB", "ICEBERG_TABLE", "KAFKA_CONSUMER"]  # in the order of their names
+
+
 def _build_lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = edge_observations(spark, sf_dir)
-    return seen.groupBy("source_topic", "consumer_name").agg(
-        F.min("consumer_type").alias("consumer_type"),
-        F.max("consumer_team").alias("consumer_team"),
-        F.max("seen_at").alias("last_seen_at"),
+    """The pairs of :func:`edge_observations`, from keys: a line moves as numbers of fixed width, which
+    aggregate by hashing, and texts come back to the pairs alone."""
+    suppliers = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_name", consumer_team(F.col("s_nationkey")).alias("team"))
+    names = cut(suppliers.select("s_name").distinct().withColumn(
+        "name_id", F.monotonically_increasing_id()), "supplier-names")
+    # One row for each team of the suppliers; a larger number is a greater name.
+    teams = cut(_ranked_values(suppliers, "team", "team_id"), "supplier-teams")
+    keyed = suppliers.join(names, suppliers["s_name"].eqNullSafe(names["s_name"])).join(
+        teams, "team", "left").select("s_suppkey", "name_id", "team_id")
+    lines = spread(table(spark, sf_dir, "lineitem"))
+    flag = F.col("l_returnflag")
+    kind = F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sighted = lines.join(keyed, lines["l_suppkey"] == keyed["s_suppkey"]).select(
+        "l_orderkey", "name_id", "team_id", kind.alias("kind"), "l_shipdate")
+    pairs = sighted.join(orders, sighted["l_orderkey"] == orders["o_orderkey"]).groupBy(
+        "o_custkey", "name_id").agg(
+        F.min("kind").alias("kind"), F.max("team_id").alias("team_id"),
+        F.max("l_shipdate").alias("seen"))
+    return pairs.join(names, "name_id").join(F.broadcast(teams), "team_id", "left").select(
+        F.concat(F.lit("orders."), F.col("o_custkey").cast("string")).alias("source_topic"),
+        F.col("s_name").alias("consumer_name"),
+        F.element_at(F.array(*[F.lit(k) for k in _KINDS]), F.col("kind") + 1).alias("consumer_type"),
+        F.col("team").alias("consumer_team"),
+        F.col("seen").cast("timestamp").alias("last_seen_at"),
     )
 
 
@@ -384,6 +406,28 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "edges", sf_dir, lambda: _build_edges(spark, sf_dir))
 
 
+def _ranked_values(values: DataFrame, column: str, rank: str) -> DataFrame:
+    """The few values of a column that are not null, numbered in their order."""
+    place = F.row_number().over(Window.orderBy(column))
+    return values.select(column).distinct().filter(F.col(column).isNotNull()).withColumn(rank, place)
+
+
+def _distinct_lines(lines: DataFrame) -> DataFrame:
+    """A row for each line key: the greatest status, and whether any of its rows was returned.
+
+    Grouped by numbers of fixed width, so by hashing. A key with a missing part is named by the other.
+    """
+    statuses = cut(_ranked_values(lines, "l_linestatus", "status"), "line-statuses")
+    order, number = F.col("l_orderkey"), F.col("l_linenumber").cast("long")
+    whole = order.isNotNull() & number.isNotNull()
+    keyed = lines.join(F.broadcast(statuses), "l_linestatus", "left").select(
+        F.coalesce(order, number).alias("l_orderkey"), F.when(whole, number).alias("l_linenumber"),
+        "status", F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("returned"))
+    return keyed.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("status").alias("status"), F.max("returned").alias("returned")).join(
+        F.broadcast(statuses), "status", "left")
+
+
 def _build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tab = lambda name: table(spark, sf_dir, name)
     none = F.array().cast("array<string>")
@@ -405,12 +449,9 @@ def _build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             *_node(t.DATASET, "order", F.col("o_orderkey"), F.col("o_orderpriority"),
                    F.when(F.col("o_orderstatus") == "F", _strings("totalprice", "status"))
                    .otherwise(_strings("status")))),
-        tab("lineitem").select(
+        _distinct_lines(spread(tab("lineitem"))).select(
             *_node(t.DATASET, "line", _line_key(), F.col("l_linestatus"),
-                   F.when(F.col("l_returnflag") == "R", _strings("quantity", "tax"))
-                   .otherwise(none))).groupBy("id").agg(
-                       *[F.max(c).alias(c)
-                         for c in ("node_type", "name", "namespace", "owner_team", "fields")]),
+                   F.when(F.col("returned"), _strings("quantity", "tax")).otherwise(none))),
     ]
     result = parts[0]
     for part in parts[1:]:
@@ -425,6 +466,7 @@ def _build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = tab("region").select("r_regionkey", "r_name")
     nations = tab("nation")
     line = ref("dataset", "line", _line_key())
+    lines = spread(tab("lineitem"))
     nation = ref("job", "nation", F.col("n_name"))
     customers, suppliers = tab("customer"), tab("supplier")
     parts = [
@@ -437,9 +479,9 @@ def _build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         tab("orders").select(
             ref("job", "customer", F.col("o_custkey")).alias("src"),
             ref("dataset", "order", F.col("o_orderkey")).alias("dst")),
-        tab("lineitem").select(
+        lines.select(
             ref("dataset", "order", F.col("l_orderkey")).alias("src"), line.alias("dst")),
-        tab("lineitem").select(
+        lines.select(
             ref("job", "supplier", F.col("l_suppkey")).alias("src"), line.alias("dst")),
     ]
     result = parts[0]
