@@ -318,3 +318,16 @@ def test_an_empty_graph_is_told_per_request(spark, graph):
     for change in ("3", "4"):
         assert rows[change].summary.startswith("No lineage found for topic")
         assert rows[change].error is None and rows[change].total_consumers_affected == 0
+
+
+@pytest.mark.parametrize("rows", [0, 2_000_000])
+def test_only_nodes_with_edges_are_followed(spark, monkeypatch, rows):
+    """Ends of the graph go into no hop and no sort; levels lie in buckets, so no hop moves them."""
+    monkeypatch.setattr(impact, "BROADCAST_ROWS", rows)
+    pairs = [("a", "b"), *(("a", f"end{i}") for i in range(50)), ("b", "c"), ("c", "last")]
+    df = spark.createDataFrame(pairs, t.EDGES)
+    walked = impact.walk(df, sources(spark, "a"), 5, paths=True)
+    assert [{r.node for r in front.collect()} for front in walked.fronts[1:]] == [{"b"}, {"c"}, set()]
+    assert reached(walked.paths())["a"] == walk(pairs, "a", 5)
+    assert all("bucketed: true" in level.groupBy("source", "node").count()._jdf.queryExecution().toString().lower()
+               for level in walked.levels[1:])
