@@ -9,16 +9,23 @@ from pyspark.sql import DataFrame
 from pactline.session import scratch_path
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """Use all cores for per-row work on an input with few splits.
 
     A large input has many more splits than cores and is returned as it is, so nothing shuffles at
-    scale; a few small files are redistributed once, before the expensive expressions.
+    scale; a few small files are redistributed once, before the expensive expressions. For very
+    expensive ones, ``task_bytes`` is what a task gets of an input with few splits for each core: the
+    larger the input, the more tasks, none of them longer.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted, enough = cores, cores
+    if task_bytes is not None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        wanted = max(cores, -(-size // task_bytes))
+        enough = min(wanted, 4 * cores)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < enough else df
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

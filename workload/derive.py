@@ -17,6 +17,7 @@ from pactline.operators.partitions import cut, spread
 from pactline.operators.registry import enforcement_contracts
 from pactline.session import configure, scratch_path
 
+TASK_BYTES = 256 << 10  # of events, whose messages are parsed and turned into other texts
 SECRET = "workload-demo-key"
 NAMESPACE = "tpch"
 AUDIT_TOPIC = "governance.audit"
@@ -71,7 +72,7 @@ def as_messages(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_messages(spread(table(spark, sf_dir, "events")))
+    return as_messages(spread(table(spark, sf_dir, "events"), TASK_BYTES))
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +202,7 @@ def as_consumed(events: DataFrame) -> DataFrame:
 
 
 def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_consumed(spread(table(spark, sf_dir, "events")))
+    return as_consumed(spread(table(spark, sf_dir, "events"), TASK_BYTES))
 
 
 # ---------------------------------------------------------------------------------------------
