@@ -972,9 +972,10 @@ def stream_contract_change(spark, sf):
     events = d.table(spark, sf, "events")
     contracts = d.event_enforcement(spark)
     for half, active in enumerate((contracts, contracts.filter("topic <> 'events.signup'"))):
-        events.filter(F.col("event_id") % 2 == half).repartition(3, "event_id").write.mode(
-            "append").parquet(f"{out}/in")
-        stored = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        rows = events.filter(F.col("event_id") % 2 == half)
+        each = _files_of_a_batch(rows, 3)
+        rows.repartition(3 * each, "event_id").write.mode("append").parquet(f"{out}/in")
+        stored = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", each)
         contract_stream(
             d.as_messages(stored.parquet(f"{out}/in")), lambda: active,
             lambda: d.event_keys(spark), f"{out}/rows", f"{out}/checkpoint", extra=("event_id",),
@@ -984,16 +985,25 @@ def stream_contract_change(spark, sf):
     ).withColumn("half", F.floor(F.col("batch_id") / 3)).drop("batch_id")
 
 
+def _files_of_a_batch(rows, batches, at_least=5_000):
+    """So many files that each has some thousand rows and a batch keeps all cores busy: a batch of one
+    file would be one task, whatever the input."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(4 * cores, rows.count() // (batches * at_least)))
+
+
 def _stream_with_repeats(spark, sf, name, again=1):
-    """The table as six files in no order of time, one a batch; every tenth row comes again."""
+    """The table as six batches of files in no order of time; every tenth row comes again."""
     rows = d.table(spark, sf, name).withColumn("copy", F.lit(0))
     tenth = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
     repeats = tenth.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(again)))) if again else (
         tenth.limit(0))
     path = scratch_path(spark, "repeated-files")
-    rows.unionByName(repeats).repartition(6, "event_id", "copy").drop("copy").write.parquet(path)
+    both = rows.unionByName(repeats)
+    each = _files_of_a_batch(both, 6)
+    both.repartition(6 * each, "event_id", "copy").drop("copy").write.parquet(path)
     schema = d.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query
