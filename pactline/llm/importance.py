@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.common import (Batches, WordHashes, batch, mapped, rolling, slices, stored,
+from pactline.llm.common import (WORD_HASHES, Batches, batch, mapped, rolling, slices, stored,
                                  text_bytes)
 
-_WORDS = WordHashes()
 _PART = 1024
 
 
@@ -33,7 +32,7 @@ class ImportanceRules:
 
 def _features(data: bytes | None, number: int) -> np.ndarray:
     """The buckets of a text's words and word pairs; A-Z count as a-z."""
-    values = _WORDS.of((data or b"").lower().split())
+    values = WORD_HASHES.of((data or b"").lower().split())
     # Scrambled once more, so single words and pairs fall into all buckets.
     return np.concatenate([rolling(values, 1), rolling(values, 2)]) % np.uint64(number)
 

@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pactline.llm.common import (Batches, WordHashes, batch, fresh_names, mapped, partitions, rolling,
+from pactline.llm.common import (WORD_HASHES, Batches, batch, fresh_names, mapped, partitions, rolling,
                                  slices, stored, text_bytes, text_rows)
 from pactline.llm.components import connected_components
 
-_WORDS = WordHashes()
 
 
 @dataclass(frozen=True)
@@ -40,7 +39,7 @@ def shingles(data: bytes | None, length: int) -> np.ndarray:
     words = (data or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    values = _WORDS.of(words)
+    values = WORD_HASHES.of(words)
     if len(words) < length:
         whole = hashlib.blake2b(b" ".join(words), digest_size=8, key=b"short").digest()
         return np.frombuffer(whole, "<u8").astype(np.uint64)

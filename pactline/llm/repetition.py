@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pactline.llm.common import Batches, WordHashes, batch, mapped, mixed, slices, text_bytes, text_rows
+from pactline.llm.common import WORD_HASHES, Batches, batch, mapped, mixed, slices, text_bytes, text_rows
 
 # The separators and symbols of the rules.
 _BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
-_WORDS = WordHashes()
 _BATCH_WORDS = 300_000
 
 
@@ -114,7 +113,7 @@ class _Measures:
         flat = [x for w in words for x in w]
         text = np.repeat(np.arange(len(words)), counts)
         stops = np.cumsum(counts)
-        keys = mixed(_WORDS.of(flat) + mixed(text.astype(np.uint64) + np.uint64(1)))
+        keys = mixed(WORD_HASHES.of(flat) + mixed(text.astype(np.uint64) + np.uint64(1)))
         longest = longest_repeats(keys, stops[text])
         starts = np.flatnonzero(longest >= self.rules.window)
         if len(starts):

@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.common import (Batches, WordHashes, batch, fresh_names, mapped, mixed, partitions,
+from pactline.llm.common import (WORD_HASHES, Batches, batch, fresh_names, mapped, mixed, partitions,
                                  rolling, slices, stored, text_bytes, text_rows)
 
-_WORDS = WordHashes()
 _CHUNK_WINDOWS = 1_500_000
 _HELD_FLAGS = 1_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -123,7 +122,7 @@ def _entry_task(length: int, buckets: int):
                 if len(split) < length:
                     continue
                 docs.append(doc)
-                words.append(_WORDS.of(split))
+                words.append(WORD_HASHES.of(split))
                 held += len(split)
                 if held >= _CHUNK_WINDOWS:
                     yield from flush()

@@ -8,8 +8,8 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from pactline.llm import exact_dedup
-from pactline.llm.common import stored
+from pactline.llm import exact_dedup, importance, near_dedup, repetition, substring_dedup
+from pactline.llm.common import WORD_HASHES, WordHashes, stored
 from pactline.session import scratch_path
 from tests.llm.conftest import SCHEMA, rows
 from tests.llm.test_operators import WORDS, components_of, ids_of, removed_by_brute_force, shingle_sets
@@ -81,3 +81,9 @@ def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
+
+
+def test_stages_remember_words_once():
+    operators = importance, near_dedup, repetition, substring_dedup
+    memories = {id(x) for m in operators for x in vars(m).values() if isinstance(x, WordHashes)}
+    assert memories == {id(WORD_HASHES)}
