@@ -45,7 +45,7 @@ class RankEncoder(PieceEncoder):
         self.pattern = regex.compile(pattern)
         self.tokens = {i: token for token, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.words = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.words_filled = [0] * ((max(ranks.values()) >> 8) + 1)
         self.known: dict[str, bytes] = {}  # pre-tokens of texts that are not cut into pieces
         self.pairs = PairRanks(ranks, self.tokens)
 
@@ -63,9 +63,9 @@ class RankEncoder(PieceEncoder):
         return b"".join([known[p] if p in known else self._piece(p)
                          for p in self.pattern.findall(text)])
 
-    def word(self, word: str, space: str) -> bytes:
-        ids = self.merge((space + word).encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def words(self, words: list[str], space: str) -> list[bytes]:
+        merged = [self.merge((space + word).encode()) for word in words]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in merged]
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token, with a constant number of queue entries for each byte.
@@ -79,7 +79,7 @@ class RankEncoder(PieceEncoder):
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        single, rank_of, words = self.single, self.pairs.__getitem__, self.words
+        single, rank_of, words = self.single, self.pairs.__getitem__, self.words_filled
         ids: list[int | None] = [single[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))

@@ -5,15 +5,19 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOADED: dict[tuple, TextEncoder] = {}
+# What a worker remembers; less for word tokenizers, which share their workers with other stages.
+_MEMO_PIECES, _MEMO_FOLDED = 500_000, 200_000
 _WHITE = re.compile(r"\s\s")
 _BLANKS = " \t\n\r"
+_MARK = "."  # ends words of letters where many are encoded at once
 _SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
 # Byte-level tokenizers show a byte as the character of that number if it is printable, and the
 # others, in order, as the characters from 256 on.
@@ -35,26 +39,17 @@ _WORD_PRETOKENIZERS = [
     {**_BYTE_LEVEL, "use_regex": False}]
 
 
-class _Memo(dict):
-    """Ids of pieces; remembers which pieces were asked for in vain."""
-
-    def __init__(self):
-        super().__init__()
-        self.missing: set[str] = set()
-
-    def __missing__(self, piece: str) -> None:
-        self.missing.add(piece)
-
-
 class PieceEncoder:
     """Ids of whole texts, put together from those of pieces between spaces.
 
     A text is cut in front of spaces and line ends where byte-level tokenizers end a pre-token as
     well: at white space between two characters that are none. So the ids of a text are those of
     its pieces, one after the other. A piece is named by what follows the space, or by its line end
-    and what follows. The ids of pieces are remembered; when there are `limit` of them, a new
+    and what follows. Arrow splits the texts of a call, numbers their distinct pieces and puts the ids
+    together, so Python handles each distinct piece once. The ids of pieces are remembered; when there
+    are `limit` of them, a new
     memory is begun and what is still used moves over from the old one. Latin letters are one
-    pre-token, punctuation after them another, so `word` alone encodes most pieces; `together`
+    pre-token, punctuation after them another, so `words` alone encodes most pieces; `together`
     encodes the others, and `whole` texts with white space beside white space. The same goes for all
     texts of a tokenizer that is not known to end pre-tokens there (`pieced` is false).
 
@@ -65,16 +60,18 @@ class PieceEncoder:
     pieced = True
     held_bytes = 32 << 20
 
-    def __init__(self, limit: int = 500_000):
-        self.memo, self.old, self.limit, self.held = _Memo(), {}, limit, 0
+    def __init__(self, limit: int = _MEMO_PIECES):
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit, self.held = limit, 0
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """The ids of any text."""
         raise NotImplementedError
 
-    def word(self, word: str, space: str) -> bytes:
-        """The ids of a word of Latin letters with a space (or nothing) in front."""
+    def words(self, words: list[str], space: str) -> list[bytes]:
+        """The ids of each word of Latin letters with a space (or nothing) in front."""
         raise NotImplementedError
 
     def together(self, pieces: list[str]) -> list[bytes]:
@@ -96,8 +93,9 @@ class PieceEncoder:
                 self.marks[mark] = ids
         return ids
 
-    def _learn(self, pieces: set[str]) -> None:
-        memo, old, others = self.memo, self.old, []
+    def _learn(self, pieces: list[str]) -> None:
+        memo, old, others, marked = self.memo, self.old, [], []
+        fresh: dict[str, dict[str, None]] = {"": {}, "\n": {}}  # words after a space, after a line end
         self.held += 2 * sum(map(len, pieces))  # ids take about as much as their piece
         for piece in pieces:
             ids = old.get(piece)
@@ -109,14 +107,44 @@ class PieceEncoder:
                 others.append(piece)
                 continue
             first, word, marks = found.groups()
-            ids = (memo.get(first + word) or old.get(first + word)) if marks else None
-            if ids is None:
-                ids = self.mark(first) + self.word(word, "") if first else self.word(word, " ")
-                memo[first + word] = ids
+            name = first + word
             if marks:
-                memo[piece] = ids + self.mark(marks)
+                marked.append((piece, name, marks))
+                if name in memo:
+                    continue
+                ids = old.get(name)
+                if ids is not None:
+                    memo[name] = ids
+                    continue
+            fresh[first][word] = None
+        for first, words in fresh.items():
+            lead = self.mark(first) if first and words else b""
+            for word, ids in zip(words, self.words(list(words), "" if first else " ")):
+                memo[first + word] = lead + ids
+        for piece, name, marks in marked:
+            memo[piece] = memo[name] + self.mark(marks)
         memo.update(zip(others, self.together(others)))
-        memo.missing = set()
+
+    def _joined(self, bodies: list[str]) -> Iterator[bytes | memoryview]:
+        """The ids of each text, which is cut at its spaces (an empty one has none)."""
+        if not bodies:
+            return iter(())
+        cut = pc.split_pattern(pa.array(bodies, pa.large_string()), " ")
+        numbered = cut.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        memo = self.memo
+        found = [b"" if piece == "" else memo.get(piece) for piece in pieces]
+        new = [piece for piece, ids in zip(pieces, found) if ids is None]
+        if new:
+            self._learn(new)
+            found = [memo[piece] if ids is None else ids for piece, ids in zip(pieces, found)]
+        ids = pa.array(found, pa.large_binary()).take(numbered.indices)
+        _, ends, data = ids.buffers()
+        if data is None:
+            return iter([b""] * len(bodies))
+        places = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(data)
+        return (data[a:b] for a, b in zip(places, places[1:]))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; of null: none."""
@@ -124,37 +152,29 @@ class PieceEncoder:
             return [self.whole(text) if text else b"" for text in texts]
         if len(self.memo) > self.limit or self.held > self.held_bytes:
             # A generation that one set of very long pieces has filled is not worth keeping.
-            old = self.memo if self.held <= 2 * self.held_bytes else {}
-            self.old, self.memo, self.held = dict(old), _Memo(), 0
+            self.old = self.memo if self.held <= 2 * self.held_bytes else {}
+            self.memo, self.held = {}, 0
             self.marks.clear()
         texts = [self.folded(text) if text else text for text in texts]
-        memo, found = self.memo, []
+        cuts, bodies = [], []
         for text in texts:
             body = text.strip(_BLANKS) if text else ""
             if not body or self.odd(body):
-                found.append(None)
+                cuts.append(None)
                 continue
             # White space in front may belong to the first word, so both are encoded together.
-            first, *pieces = body.replace("\n", self.line).split(" ")
-            head, tail = text[:text.index(body[0])], text[len(text.rstrip(_BLANKS)):]
-            found.append((head + first, pieces, list(map(memo.__getitem__, pieces)), tail))
-        if memo.missing:
-            self._learn(memo.missing)
-        out = []
-        for text, cut in zip(texts, found):
+            first, _, rest = body.replace("\n", self.line).partition(" ")
+            cuts.append((text[:text.index(body[0])] + first, text[len(text.rstrip(_BLANKS)):]))
+            bodies.append(rest)
+        joined, out = self._joined(bodies), []
+        for text, cut in zip(texts, cuts):
             if not text:
                 out.append(b"")
             elif cut is None:
                 out.append(self.whole(text))
             else:
-                at, (first, pieces, ids, tail) = 0, cut
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at)
-                    ids[at] = memo[pieces[at]]
-                ids.insert(0, self.mark(first))
-                if tail:
-                    ids.append(self.mark(tail))
-                out.append(b"".join(ids))
+                first, tail = cut
+                out.append(b"".join((self.mark(first), next(joined), self.mark(tail) if tail else b"")))
         return out
 
 
@@ -162,15 +182,15 @@ class TextEncoder(PieceEncoder):
     """Ids equal to `Tokenizer.encode(text, add_special_tokens=False).ids` of the tokenizers library.
 
     Texts are cut only if the file's settings are the known ones (see above). Words of Latin letters
-    are encoded by the tokenizer's model. Other new pieces are encoded in one
+    are encoded by the tokenizer's model, many in one call. Other new pieces are encoded in one
     text and told apart by `separator`, or, without one, by the space that begins a piece's first
     token. A separator is for tokenizers that ignore case and white space.
     """
 
     def __init__(self, path: str, separator: str | None):
-        super().__init__()
+        super().__init__(_MEMO_PIECES if separator is None else _MEMO_FOLDED)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = separator
@@ -179,6 +199,9 @@ class TextEncoder(PieceEncoder):
         self.pieced = cuts == ((None, _BYTE_LEVEL) if separator is None else (
             {"type": "Sequence", "normalizers": _WORD_NORMALIZERS},
             {"type": "Sequence", "pretokenizers": _WORD_PRETOKENIZERS}))
+        self.cutter = Tokenizer(self.tokenizer.model)  # the same model for words between marks
+        self.cutter.pre_tokenizer = pre_tokenizers.Split(_MARK, "isolated")
+        (self.mark_id,) = self.cutter.encode(_MARK).ids if self.pieced else (None,)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lead = "Ġ" if separator is None else ""
         self.line = super().line if separator is None else " "
@@ -211,13 +234,18 @@ class TextEncoder(PieceEncoder):
     def odd(self, text: str) -> bool:
         return super().odd(text) or any(s in text for s in self.special)
 
-    def word(self, word: str, space: str) -> bytes:
-        if self.separator is not None:
-            word = word.lower()
-        if not word.isascii():
-            word = word.translate(_VISIBLE)
-        tokens = self.tokenizer.model.tokenize((self.lead if space else "") + word)
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+    def words(self, words: list[str], space: str) -> list[bytes]:
+        shown = [word if word.isascii() else word.translate(_VISIBLE)
+                 for word in (words if self.separator is None else map(str.lower, words))]
+        lead, out = self.lead if space else "", []
+        for start in range(0, len(shown), 2000):
+            part = shown[start:start + 2000]
+            joined = lead + f"{_MARK}{lead}".join(part) + _MARK
+            (found,) = self.cutter.encode_batch_fast([joined], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+        return out
 
     def together(self, pieces: list[str]) -> list[bytes]:
         lines = [p for p in pieces if p[0] == "\n"]

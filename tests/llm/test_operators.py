@@ -93,6 +93,18 @@ def test_encoder_equals_the_library(path, separator):
         tool.limit = 10  # the second time the memory moves over
 
 
+@pytest.mark.parametrize("path, separator", [(BYTES, None), (WORDS, "~")])
+def test_new_words_are_encoded_together(path, separator, monkeypatch):
+    tool, calls, words = encoding.TextEncoder(path, separator), [], encoding.TextEncoder.words
+    monkeypatch.setattr(encoding.TextEncoder, "words", lambda self, some, space: (
+        calls.append(len(some)), words(self, some, space))[1])
+    letters = random.Random(3)
+    texts = [" ".join("".join(letters.choices("aeinrstéßÑ", k=7)) + "," * (i % 2) for i in range(500))
+             + "\nNext" for _ in range(10)]
+    assert tool.encode(texts) == [np.array(ids_of(path, x), "<u4").tobytes() for x in texts]
+    assert len(calls) <= 2 and sum(calls) > 4000
+
+
 def test_rank_encoder_equals_tiktoken():
     import tiktoken
 
