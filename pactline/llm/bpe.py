@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import struct
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -16,7 +17,10 @@ _LOADED: dict[tuple, RankEncoder] = {}
 _TOKENS: dict[str, list[bytes | None]] = {}
 _MEMO_PIECES, _KNOWN_PIECES, _PAIRS = 300_000, 30_000, 300_000  # what a worker remembers
 _SLICE = 2 << 20  # bytes of text whose pieces a worker holds at once
+_QUEUE_BYTES = 1 << 18  # about how many bytes of pre-tokens share a queue
 _BITS = [1 << i for i in range(256)]
+_END = b"\xff"  # in no UTF-8 text
+_ID = struct.Struct("<I").pack
 
 
 class PairRanks(dict):
@@ -29,7 +33,9 @@ class PairRanks(dict):
     def __missing__(self, pair: tuple[int, int]) -> int | None:
         if len(self) > _PAIRS:
             self.clear()
-        rank = self[pair] = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]])
+        first, second = pair
+        ended = first < 0 or second < 0
+        rank = self[pair] = None if ended else self.ranks.get(self.tokens[first] + self.tokens[second])
         return rank
 
 
@@ -44,14 +50,13 @@ class RankEncoder(PieceEncoder):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.tokens = {i: token for token, i in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = [ranks[bytes([b])] for b in range(255)] + [-1]
         self.words_filled = [0] * ((max(ranks.values()) >> 8) + 1)
         self.known: dict[str, bytes] = {}  # pre-tokens of texts that are not cut into pieces
         self.pairs = PairRanks(ranks, self.tokens)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.merge(piece.encode())
-        found = struct.pack(f"<{len(ids)}I", *ids)
+        (found,) = self.merged([piece.encode()])
         if len(piece) <= 40:
             if len(self.known) > _KNOWN_PIECES:
                 self.known.clear()
@@ -64,28 +69,47 @@ class RankEncoder(PieceEncoder):
                          for p in self.pattern.findall(text)])
 
     def words(self, words: list[str], space: str) -> list[bytes]:
-        merged = [self.merge((space + word).encode()) for word in words]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in merged]
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token, with a constant number of queue entries for each byte.
+        return self.merged([(space + word).encode() for word in words])
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, some together, so that they share one queue."""
+        whole = self.ranks.get
+        found = [whole(piece) for piece in pieces]
+        out = [b"" if rank is None else _ID(rank) for rank in found]
+        some, held = [], 0
+        for at, rank in enumerate(found):
+            if rank is None:
+                some.append(at)
+                held += len(pieces[at])
+                if held > _QUEUE_BYTES:
+                    self._merge(pieces, some, out)
+                    some, held = [], 0
+        if some:
+            self._merge(pieces, some, out)
+        return out
+
+    def _merge(self, pieces: list[bytes], places: list[int], out: list[bytes]) -> None:
+        """Sets `out` at the places to the ids of the pieces there, with a constant number of queue
+        entries for each byte.
 
         The queue has a bucket of positions for each merge rank. A bitmap in words of 256 ranks
         tells which buckets are filled, a second one which of those words are not zero; the lowest
         set bit of both gives the next rank. A position whose pair has changed meanwhile is not
         searched for in its bucket: it is skipped when its turn comes. The tokens are a doubly
-        linked list over the positions.
+        linked list over the positions. All pieces stand in one list, each with an end mark behind
+        it, which no pair with a rank holds; pieces do not change one another, so the lowest rank of
+        all is the lowest of its piece.
         """
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        single, rank_of, words = self.single, self.pairs.__getitem__, self.words_filled
-        ids: list[int | None] = [single[b] for b in piece]
+        rank_of, words = self.pairs.__getitem__, self.words_filled
+        data = _END.join([pieces[at] for at in places]) + _END
+        ids: list[int | None] = list(map(self.single.__getitem__, data))
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        held = list(map(rank_of, zip(ids, ids[1:])))  # the rank of the pair that begins here
+        held.append(None)
         buckets: dict[int, list[int]] = {}
         filled = 0
-        for i, rank in enumerate(map(rank_of, zip(ids, ids[1:]))):
+        for i, rank in enumerate(held):
             if rank is not None:
                 if rank in buckets:
                     buckets[rank].append(i)
@@ -104,24 +128,23 @@ class RankEncoder(PieceEncoder):
             if len(positions) > 1:
                 positions.sort()
             for i in positions:
-                j = after[i]
-                if j >= n or ids[i] is None or rank_of((ids[i], ids[j])) != rank:
+                if held[i] != rank:
                     continue
-                ids[i], ids[j] = rank, None
+                j = after[i]
+                ids[i], ids[j], held[j] = rank, None, None
                 k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                    made = rank_of((rank, ids[k]))
-                    if made is not None:
-                        if made in buckets:
-                            buckets[made].append(i)
-                        else:
-                            buckets[made] = [i]
-                            words[made >> 8] |= _BITS[made & 255]
-                            filled |= 1 << (made >> 8)
+                before[k] = i
+                made = held[i] = rank_of((rank, ids[k]))
+                if made is not None:
+                    if made in buckets:
+                        buckets[made].append(i)
+                    else:
+                        buckets[made] = [i]
+                        words[made >> 8] |= _BITS[made & 255]
+                        filled |= 1 << (made >> 8)
                 h = before[i]
                 if h >= 0:
-                    made = rank_of((ids[h], rank))
+                    made = held[h] = rank_of((ids[h], rank))
                     if made is not None:
                         if made in buckets:
                             buckets[made].append(h)
@@ -129,7 +152,11 @@ class RankEncoder(PieceEncoder):
                             buckets[made] = [h]
                             words[made >> 8] |= _BITS[made & 255]
                             filled |= 1 << (made >> 8)
-        return [i for i in ids if i is not None]
+        left = np.array([i for i in ids if i is not None], "<i4")
+        ends = np.flatnonzero(left == -1) * 4
+        raw = left.tobytes()
+        for at, a, b in zip(places, [0, *(ends[:-1] + 4).tolist()], ends.tolist()):
+            out[at] = raw[a:b]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))

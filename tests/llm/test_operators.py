@@ -118,6 +118,19 @@ def test_rank_encoder_equals_tiktoken():
         assert tool.decode(ids) == text.encode()
 
 
+def test_pieces_share_a_queue(monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "_QUEUE_BYTES", 500)
+    ranks = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    letters = random.Random(4)
+    pieces = ["".join(letters.choices(" aabeinrst\u00e9\u6f22'", k=letters.randint(1, 30))) for _ in range(400)]
+    pieces += ["a" * 999, "the", " "]
+    found = bpe.RankEncoder(ranks, public_tokenizers.PATTERN).merged([p.encode() for p in pieces])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode_ordinary(p) for p in pieces]
+
+
 @pytest.mark.parametrize("pattern", [r"\S+|\s+", r" ?\w+|[^\w\s]+|\s+", r"\p{L}{1,3}|\P{L}"])
 def test_other_patterns_equal_tiktoken(pattern):
     import tiktoken
