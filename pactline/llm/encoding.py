@@ -12,7 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pactline.llm.common import MEMORIES
+
 _LOADED: dict[tuple, TextEncoder] = {}
+MEMORIES["tokens"] = _LOADED.clear
 # What a worker remembers; less for word tokenizers, which share their workers with other stages.
 _MEMO_PIECES, _MEMO_FOLDED = 500_000, 200_000
 _WHITE = re.compile(r"\s\s")

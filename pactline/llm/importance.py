@@ -127,7 +127,8 @@ def importance_sample(docs: DataFrame, labels: DataFrame, rules: ImportanceRules
     # Merged at every size: the labels grow with the corpus.
     marked = texts.join(target.hint("merge"), "doc_id", "left").select(
         "doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    parts = mapped(marked.select("text", "good"), _count_task(rules), "model int, part int, counts binary")
+    parts = mapped(marked.select("text", "good"), _count_task(rules), "model int, part int, counts binary",
+                   "words")
     summed = mapped(parts.repartition("model", "part"), _add_task, "model int, part int, counts binary")
     counts = np.zeros((2, rules.features), np.int64)
     for row in summed.collect():  # 2 x features numbers
@@ -138,7 +139,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, rules: ImportanceRules
         raw, good = np.log(counts + rules.prior) - np.log(
             (counts + rules.prior).sum(axis=1, keepdims=True))
         ratios = good - raw
-    scored = mapped(texts, _score_task(rules, ratios), "doc_id long, score double, key double")
+    scored = mapped(texts, _score_task(rules, ratios), "doc_id long, score double, key double", "words")
     # A uniform number from 53 bits of a hash, never 0 or 1.
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(rules.seed), "doc_id"), 11) + 0.5) / float(1 << 53)
     noisy = F.col("score") - rules.noise * F.ln(-F.ln(uniform))

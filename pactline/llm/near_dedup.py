@@ -61,7 +61,7 @@ def sketches(docs: DataFrame, rules: NearRules) -> DataFrame:
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                         [s[:rules.sketch].astype("<u8").tobytes() for s in sets])
 
-    return mapped(text_rows(docs), task, _SKETCHES)
+    return mapped(text_rows(docs), task, _SKETCHES, "words")
 
 
 def _value_task(batches: Batches) -> Batches:
@@ -230,7 +230,7 @@ def _compared(rows: DataFrame, key: str, near) -> DataFrame:
                                                if c not in (key, "left", "right", "mine"))]
     dealt = (rows.select(columns).repartition(number, key, "left", "right")
              .sortWithinPartitions(key, "left", "right"))
-    return mapped(dealt, _pair_task(near), "a long, b long")
+    return mapped(dealt, _pair_task(near), "a long, b long", "words")
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:

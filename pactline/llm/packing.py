@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, separator: str, end_id: int, capacit
                                 part if with_ids else None))
             yield batch(schema, *(list(c) for c in zip(*out)))
 
-    return mapped(text_rows(docs), task, _PIECES)
+    return mapped(text_rows(docs), task, _PIECES, "tokens")
 
 
 GAP, PIECE, PLACED = 0, 1, 2

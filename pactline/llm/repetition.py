@@ -171,7 +171,7 @@ def quality_measures(docs: DataFrame, rules: RepetitionRules | None = None) -> D
             yield batch(schema, some.column(0), *_Measures(rules).of(text_bytes(some.column(1))))
 
     columns = ", ".join(["doc_id long", *(f"{n} long" for n in names), *(f"{n} boolean" for n in flags)])
-    return mapped(text_rows(docs), task, columns)
+    return mapped(text_rows(docs), task, columns, "words")
 
 
 def quality_filter(docs: DataFrame, rules: RepetitionRules | None = None) -> DataFrame:
@@ -183,4 +183,4 @@ def quality_filter(docs: DataFrame, rules: RepetitionRules | None = None) -> Dat
         for some in slices(batches):
             yield some.filter(pa.array(_Measures(rules).of(text_bytes(some.column(at)))[-1]))
 
-    return mapped(docs, task, docs.schema)
+    return mapped(docs, task, docs.schema, "words")

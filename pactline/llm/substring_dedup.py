@@ -55,6 +55,11 @@ def _split_by(keys: np.ndarray, number: int):
         start = stops[key]
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """By the worker's one memory of words; a task that named it itself would be sent with a copy."""
+    return WORD_HASHES.of(words)
+
+
 def _windows(docs: list[int], words: list[np.ndarray], length: int):
     """Two hashes, document and start of every window, in the order of the documents given; the
     words of a document come as hashes."""
@@ -94,6 +99,8 @@ def _entry_task(length: int, buckets: int):
         def flush():
             order = sorted(range(len(docs)), key=docs.__getitem__)
             found = _windows([docs[i] for i in order], [words[i] for i in order], length)
+            docs.clear()
+            words.clear()
             if found is None:
                 return
             first, second, doc, at = found
@@ -122,11 +129,11 @@ def _entry_task(length: int, buckets: int):
                 if len(split) < length:
                     continue
                 docs.append(doc)
-                words.append(WORD_HASHES.of(split))
+                words.append(_hashes(split))
                 held += len(split)
                 if held >= _CHUNK_WINDOWS:
                     yield from flush()
-                    docs, words, held = [], [], 0
+                    held = 0
         yield from flush()
 
     return task
@@ -244,7 +251,7 @@ def removal_intervals(docs: DataFrame, length: int = 20) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     number = max(partitions(spark), size // _TASK_BYTES)
     # Several buckets for each partition even out what the partitions get; a task holds one at a time.
-    entries = mapped(rows, _entry_task(length, 4 * number), _ENTRIES)
+    entries = mapped(rows, _entry_task(length, 4 * number), _ENTRIES, "words")
     # What a task has found by itself goes to any partition.
     place = F.when(F.col("bucket") == -1, F.xxhash64("doc", "at")).otherwise(F.col("bucket"))
     dealt = entries.repartition(number, place).sortWithinPartitions("bucket")

@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     bits = max(1, (vocabulary - 1).bit_length())
     ordered = (text_rows(docs).repartitionByRange(partitions(spark), "doc_id")
                .sortWithinPartitions("doc_id", "text"))
-    blocks = mapped(ordered, _block_writer(tokenizer, end_id, bits, block_ids), _BLOCKS)
+    blocks = mapped(ordered, _block_writer(tokenizer, end_id, bits, block_ids), _BLOCKS, "tokens")
     blocks.write.option("compression", "zstd").parquet(path)
 
 
@@ -121,7 +121,7 @@ def read_token_digests(spark, path: str) -> DataFrame:
     rows = (blocks.join(F.broadcast(bases), "part")
             .select("bits", "n_ids", "doc_ids", "no_id", "ends", "packed",
                     (F.col("base") + F.col("first_id")).alias("start")))
-    return mapped(rows, _block_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(rows, _block_reader, "doc_id long, start long, n_tokens long, ids_crc32 long", "tokens")
 
 
 def ids_between(spark, path: str, part: int, block: int, start: int, stop: int) -> np.ndarray:

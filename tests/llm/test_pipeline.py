@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 import __spark_entry__
 import corpus_pipeline
-from pactline.llm import exact_dedup, importance, near_dedup, repetition, substring_dedup
+from pactline.llm import common, exact_dedup, importance, near_dedup, repetition, substring_dedup
 from pactline.llm.common import WORD_HASHES, WordHashes, stored
 from pactline.session import scratch_path
 from tests.llm.conftest import SCHEMA, rows
@@ -87,3 +90,34 @@ def test_stages_remember_words_once():
     operators = importance, near_dedup, repetition, substring_dedup
     memories = {id(x) for m in operators for x in vars(m).values() if isinstance(x, WordHashes)}
     assert memories == {id(WORD_HASHES)}
+
+
+def test_a_sent_task_uses_the_memory_of_its_worker():
+    task = pickle.loads(cloudpickle.dumps(substring_dedup._entry_task(3, 4)))
+    WORD_HASHES.clear()
+    words = [f"word{i}" for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words)])], ["doc_id", "text"])
+    assert sum(b.num_rows for b in task(iter([batch]))) > 0
+    assert set(WORD_HASHES) == {w.encode() for w in words}
+    WORD_HASHES.clear()
+
+
+def test_workers_get_small_batches_and_forget_other_operators(spark, monkeypatch):
+    """A task's input comes in parts, whatever the setting's default; one that remembers nothing clears
+    the words and tokens of earlier ones."""
+    def sizes(batches):
+        from pactline.llm import encoding
+        from pactline.llm.common import WORD_HASHES
+        held = len(WORD_HASHES) + len(encoding._LOADED)
+        WORD_HASHES.of([b"some", b"words"])
+        encoding._LOADED["some"] = None
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([held])], ["bytes", "held"])
+
+    texts = spark.range(0, 6000, 1, 1).selectExpr("repeat('0123456789', 500) as text")  # 30 MB in one task
+    found = common.mapped(texts, sizes, "bytes long, held long").collect()
+    assert len(found) >= 4 and max(r.bytes for r in found) <= 8 << 20
+    assert max(r.held for r in common.mapped(texts, sizes, "bytes long, held long").collect()) == 0
+    monkeypatch.setattr(common, "MEMORIES", {"a": (kept := {1: 2}).clear, "b": (gone := {1: 2}).clear})
+    common.forget_others("a")
+    assert kept and not gone
