@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pactline.llm import (bpe, chat, components, encoding, exact_dedup, importance, near_dedup, packing,
                           repetition, sharding, substring_dedup, token_files)
-from pactline.llm.common import MULTIPLIER
+from pactline.llm.common import MULTIPLIER, stored
 from pactline.session import scratch_path
 from tests.llm.conftest import rows
 
@@ -364,6 +364,30 @@ def test_components_against_union_find(spark):
     assert got == {n: find(n) for n in parent if n not in alone}
 
 
+def test_components_need_few_rounds_and_small_plans(spark, monkeypatch):
+    """Stars are one round, and no query joins more than one round, however long a chain is."""
+    names, joins = [], []
+
+    def joins_of(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    def kept(df, name):
+        names.append(name)
+        joins.append(joins_of(df))
+        return stored(df, name)
+
+    monkeypatch.setattr(components, "stored", kept)
+    star = [(1, i) for i in range(2, 300)] + [(1000, i) for i in range(1001, 1200)]
+    found = components.connected_components(spark.createDataFrame(star, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in found} == {(n, a) for a, b in star for n in (a, b)}
+    assert names.count("component-heads") == 1
+    chain = spark.range(400).selectExpr("id as a", "id + 1 as b")
+    found = components.connected_components(chain)
+    joins.append(joins_of(found))
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(401)}
+    assert names.count("component-heads") > 4 and max(joins) == 2
+
+
 # 6 --------------------------------------------------------------------------------------------
 
 
