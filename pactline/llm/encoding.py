@@ -18,16 +18,22 @@ _LOADED: dict[tuple, TextEncoder] = {}
 MEMORIES["tokens"] = _LOADED.clear
 # What a worker remembers; less for word tokenizers, which share their workers with other stages.
 _MEMO_PIECES, _MEMO_FOLDED = 500_000, 200_000
-_WHITE = re.compile(r"\s\s")
+# White space beside white space: what `\s` means in Python, written out for Arrow.
+_WHITE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
 _BLANKS = " \t\n\r"
-_MARK = "."  # ends words of letters where many are encoded at once
-_SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
+_BETWEEN = "."  # stands between words of letters where many are encoded at once
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
+# By byte: marks that are cut off the end of a piece, and the letters and digits that may precede one.
+_MARKS, _ALPHANUMERIC = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[list(b".,;:!?)'\"")] = True
+_ALPHANUMERIC[[b for b in range(128) if chr(b).isalnum()]] = True
 # Byte-level tokenizers show a byte as the character of that number if it is printable, and the
 # others, in order, as the characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-_VISIBLE = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
+# The letters of _LETTERS, and Ⱥ and Ⱦ in lower case.
+_VISIBLE = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in [*range(0xC0, 0x250), 0x2C65, 0x2C66]}
 
 
 # How a tokenizer must cut a text into pre-tokens so that cuts at white space are safe.
@@ -42,19 +48,38 @@ _WORD_PRETOKENIZERS = [
     {**_BYTE_LEVEL, "use_regex": False}]
 
 
+def _stems(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces without a mark that ends them, and its byte: 0 where there is none after a letter or digit."""
+    _, ends, data = pieces.buffers()
+    if data is None or not data.size:
+        return pieces, np.zeros(len(pieces), np.uint8)
+    raw, ends = np.frombuffer(data, np.uint8), np.frombuffer(ends, np.int64)[:len(pieces) + 1]
+    sizes, stops = np.diff(ends), ends[1:]
+    last, second, third = (raw[np.maximum(stops - back, 0)] for back in (1, 2, 3))
+    # U+00C0 to U+023F are two bytes each, and letters but for the signs of times and division. İ is
+    # left out: in lower case it ends with a combining dot, which goes with the mark.
+    latin = (sizes > 2) & (third >= 0xC3) & (third <= 0xC8) & (second >> 6 == 2)
+    latin &= (third != 0xC3) | (second != 0x97) & (second != 0xB7)
+    latin &= (third != 0xC4) | (second != 0xB0)
+    marked = (sizes > 1) & _MARKS[last] & (_ALPHANUMERIC[second] | latin)
+    stems = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+    return stems, np.where(marked, last, 0).astype(np.uint8)
+
+
 class PieceEncoder:
     """Ids of whole texts, put together from those of pieces between spaces.
 
     A text is cut in front of spaces and line ends where byte-level tokenizers end a pre-token as
     well: at white space between two characters that are none. So the ids of a text are those of
     its pieces, one after the other. A piece is named by what follows the space, or by its line end
-    and what follows. Arrow splits the texts of a call, numbers their distinct pieces and puts the ids
-    together, so Python handles each distinct piece once. The ids of pieces are remembered; when there
-    are `limit` of them, a new
-    memory is begun and what is still used moves over from the old one. Latin letters are one
-    pre-token, punctuation after them another, so `words` alone encodes most pieces; `together`
-    encodes the others, and `whole` texts with white space beside white space. The same goes for all
-    texts of a tokenizer that is not known to end pre-tokens there (`pieced` is false).
+    and what follows; a mark at its end, after a letter or digit, is a pre-token of its own and goes
+    by itself. Arrow splits the texts of a call, numbers their distinct pieces, cuts the marks off,
+    numbers what is left and puts the ids together, so Python handles each distinct piece once. The
+    ids of pieces are remembered; when there are `limit` of them, a new memory is begun and what is
+    still used moves over from the old one. Latin letters are one pre-token, so `words` alone encodes
+    most pieces; `together` encodes the others, and `whole` texts with white space beside white space.
+    The same goes for all texts of a tokenizer that is not known to end pre-tokens there (`pieced` is
+    false).
 
     Memory: at most `limit` pieces a generation, and pieces and ids of about `held_bytes`.
     """
@@ -81,8 +106,9 @@ class PieceEncoder:
         """The ids of each piece."""
         return [self.whole(piece if piece[0] == "\n" else " " + piece) for piece in pieces]
 
-    def odd(self, text: str) -> bool:
-        return _WHITE.search(text) is not None
+    def odd(self, texts: list[str]) -> list[bool]:
+        """Which texts may not be cut."""
+        return pc.match_substring_regex(pa.array(texts, pa.large_string()), _WHITE).to_pylist()
 
     def folded(self, text: str) -> str:
         return text
@@ -97,35 +123,25 @@ class PieceEncoder:
         return ids
 
     def _learn(self, pieces: list[str]) -> None:
-        memo, old, others, marked = self.memo, self.old, [], []
-        fresh: dict[str, dict[str, None]] = {"": {}, "\n": {}}  # words after a space, after a line end
+        memo, old, others = self.memo, self.old, []
+        fresh: dict[str, list[str]] = {"": [], "\n": []}  # words after a space, after a line end
         self.held += 2 * sum(map(len, pieces))  # ids take about as much as their piece
         for piece in pieces:
             ids = old.get(piece)
             if ids is not None:
                 memo[piece] = ids
-                continue
-            found = _SIMPLE(piece)
-            if found is None or "İ" in piece:
+            elif piece.isascii() and piece.isalpha():
+                fresh[""].append(piece)
+            elif _LETTERS(piece):
+                fresh[""].append(piece)
+            elif piece[0] == "\n" and _LETTERS(piece, 1):
+                fresh["\n"].append(piece[1:])
+            else:
                 others.append(piece)
-                continue
-            first, word, marks = found.groups()
-            name = first + word
-            if marks:
-                marked.append((piece, name, marks))
-                if name in memo:
-                    continue
-                ids = old.get(name)
-                if ids is not None:
-                    memo[name] = ids
-                    continue
-            fresh[first][word] = None
         for first, words in fresh.items():
             lead = self.mark(first) if first and words else b""
-            for word, ids in zip(words, self.words(list(words), "" if first else " ")):
+            for word, ids in zip(words, self.words(words, "" if first else " ")):
                 memo[first + word] = lead + ids
-        for piece, name, marks in marked:
-            memo[piece] = memo[name] + self.mark(marks)
         memo.update(zip(others, self.together(others)))
 
     def _joined(self, bodies: list[str]) -> Iterator[bytes | memoryview]:
@@ -134,14 +150,21 @@ class PieceEncoder:
             return iter(())
         cut = pc.split_pattern(pa.array(bodies, pa.large_string()), " ")
         numbered = cut.flatten().dictionary_encode()
-        pieces = numbered.dictionary.to_pylist()
+        stems, marks = _stems(numbered.dictionary)
+        names = stems.dictionary_encode()
+        pieces = names.dictionary.to_numpy(zero_copy_only=False).tolist()
         memo = self.memo
         found = [b"" if piece == "" else memo.get(piece) for piece in pieces]
         new = [piece for piece, ids in zip(pieces, found) if ids is None]
         if new:
             self._learn(new)
             found = [memo[piece] if ids is None else ids for piece, ids in zip(pieces, found)]
-        ids = pa.array(found, pa.large_binary()).take(numbered.indices)
+        ids = pa.array(found, pa.large_binary()).take(names.indices)
+        if marks.any():
+            used = set(np.unique(marks).tolist()) - {0}
+            endings = pa.array([self.mark(chr(b)) if b in used else b"" for b in range(128)], pa.large_binary())
+            ids = pc.binary_join_element_wise(ids, endings.take(pa.array(marks)), pa.scalar(b"", pa.large_binary()))
+        ids = ids.take(numbered.indices)
         _, ends, data = ids.buffers()
         if data is None:
             return iter([b""] * len(bodies))
@@ -159,16 +182,24 @@ class PieceEncoder:
             self.memo, self.held = {}, 0
             self.marks.clear()
         texts = [self.folded(text) if text else text for text in texts]
+        stripped = [text.strip(_BLANKS) if text else "" for text in texts]
+        # A text begins like a line, whose line end is left out again. White space in front may belong
+        # to the first word, so both are encoded together, unless line ends have no ids at all.
+        begin = self.line.strip(" ")
+        skipped = len(self.mark(begin)) if begin else 0
         cuts, bodies = [], []
-        for text in texts:
-            body = text.strip(_BLANKS) if text else ""
-            if not body or self.odd(body):
+        for text, body, odd in zip(texts, stripped, self.odd(stripped)):
+            tail = text[len(text.rstrip(_BLANKS)):] if body else ""
+            if not body or odd or tail and body[-1].isspace():
                 cuts.append(None)
                 continue
-            # White space in front may belong to the first word, so both are encoded together.
-            first, _, rest = body.replace("\n", self.line).partition(" ")
-            cuts.append((text[:text.index(body[0])] + first, text[len(text.rstrip(_BLANKS)):]))
-            bodies.append(rest)
+            if not begin or text[0] == body[0] and not body[0].isspace():
+                cuts.append((b"", skipped, tail))
+                bodies.append(begin + body.replace("\n", self.line))
+            else:
+                first, _, rest = body.replace("\n", self.line).partition(" ")
+                cuts.append((self.mark(text[:text.index(body[0])] + first), 0, tail))
+                bodies.append(rest)
         joined, out = self._joined(bodies), []
         for text, cut in zip(texts, cuts):
             if not text:
@@ -176,8 +207,8 @@ class PieceEncoder:
             elif cut is None:
                 out.append(self.whole(text))
             else:
-                first, tail = cut
-                out.append(b"".join((self.mark(first), next(joined), self.mark(tail) if tail else b"")))
+                first, start, tail = cut
+                out.append(b"".join((first, next(joined)[start:], self.mark(tail) if tail else b"")))
         return out
 
 
@@ -185,9 +216,10 @@ class TextEncoder(PieceEncoder):
     """Ids equal to `Tokenizer.encode(text, add_special_tokens=False).ids` of the tokenizers library.
 
     Texts are cut only if the file's settings are the known ones (see above). Words of Latin letters
-    are encoded by the tokenizer's model, many in one call. Other new pieces are encoded in one
-    text and told apart by `separator`, or, without one, by the space that begins a piece's first
-    token. A separator is for tokenizers that ignore case and white space.
+    are encoded by the tokenizer's model, many in one call, and told apart by the lengths of their
+    tokens. Other new pieces are encoded in one text and told apart by `separator`, or, without one,
+    by the space that begins a piece's first token. A separator is for tokenizers that ignore case
+    and white space.
     """
 
     def __init__(self, path: str, separator: str | None):
@@ -203,8 +235,12 @@ class TextEncoder(PieceEncoder):
             {"type": "Sequence", "normalizers": _WORD_NORMALIZERS},
             {"type": "Sequence", "pretokenizers": _WORD_PRETOKENIZERS}))
         self.cutter = Tokenizer(self.tokenizer.model)  # the same model for words between marks
-        self.cutter.pre_tokenizer = pre_tokenizers.Split(_MARK, "isolated")
-        (self.mark_id,) = self.cutter.encode(_MARK).ids if self.pieced else (None,)
+        self.cutter.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_BETWEEN)
+        suffix = settings["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)  # characters of each token
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token.removesuffix(suffix))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lead = "Ġ" if separator is None else ""
         self.line = super().line if separator is None else " "
@@ -234,20 +270,24 @@ class TextEncoder(PieceEncoder):
         same = "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", lower)
         return lower if same else text
 
-    def odd(self, text: str) -> bool:
-        return super().odd(text) or any(s in text for s in self.special)
+    def odd(self, texts: list[str]) -> list[bool]:
+        return [odd or any(s in text for s in self.special) for text, odd in zip(texts, super().odd(texts))]
 
     def words(self, words: list[str], space: str) -> list[bytes]:
-        shown = [word if word.isascii() else word.translate(_VISIBLE)
-                 for word in (words if self.separator is None else map(str.lower, words))]
         lead, out = self.lead if space else "", []
-        for start in range(0, len(shown), 2000):
-            part = shown[start:start + 2000]
-            joined = lead + f"{_MARK}{lead}".join(part) + _MARK
-            (found,) = self.cutter.encode_batch_fast([joined], add_special_tokens=False)
+        for start in range(0, len(words), 2000):
+            part = words[start:start + 2000]
+            shown = [lead + (word if word.isascii() else word.translate(_VISIBLE))
+                     for word in (part if self.separator is None else map(str.lower, part))]
+            (found,) = self.cutter.encode_batch_fast([_BETWEEN.join(shown)], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
-            ends, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+            stops, wanted = np.cumsum(self.sizes[ids]), np.cumsum(list(map(len, shown)))
+            ends = np.searchsorted(stops, wanted)
+            if not len(ids) or stops[-1] != wanted[-1] or (stops[ends] != wanted).any():
+                out += [self.whole(space + word) for word in part]  # a token of other characters
+                continue
+            ends, raw = ((ends + 1) * 4).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
     def together(self, pieces: list[str]) -> list[bytes]:

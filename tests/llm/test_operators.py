@@ -105,6 +105,38 @@ def test_new_words_are_encoded_together(path, separator, monkeypatch):
     assert len(calls) <= 2 and sum(calls) > 4000
 
 
+@pytest.mark.parametrize("path, separator", [(BYTES, None), (WORDS, "~")])
+def test_marks_and_first_words_are_not_learnt_again(path, separator, monkeypatch):
+    """A word is encoded once, whatever mark ends it and wherever it stands in a line."""
+    learn, asked, alone = encoding.TextEncoder._learn, [], []
+    monkeypatch.setattr(encoding.TextEncoder, "_learn", lambda self, new: (asked.extend(new), learn(self, new))[1])
+    tool = encoding.TextEncoder(path, separator)
+    whole = tool.whole
+    monkeypatch.setattr(tool, "whole", lambda text: (alone.append(text), whole(text))[1])
+    letters = random.Random(6)
+    words = ["".join(letters.choices("aeinrstéß", k=7)) for _ in range(300)]
+    texts = [f"{w} " + " ".join(w + m for m in ("", ",", ")", "'", '"', "?")) + f"\n{w}; {w}" for w in words]
+    assert tool.encode(texts) == [np.array(ids_of(path, x), "<u4").tobytes() for x in texts]
+    assert len(asked) <= 2 * len(set(words)) and len(alone) <= 20
+
+
+@pytest.mark.parametrize("path, separator", [(BYTES, None), (WORDS, "~")])
+def test_marks_are_cut_off_only_after_letters_and_digits(path, separator):
+    tool, marks = encoding.TextEncoder(path, separator), ".,;:!?)'\"(~-"
+    ends = ["a", "7", "é", "ÿ", "Ā", "ȿ", "ɏ", "×", "÷", "İ", "Ⱥ", "½", "漢", "Σ", "́", "\t", "\xa0", "s'", "'ll", ""]
+    words = [lead + end + mark for lead in ("", "x", "É", "\n") for end in ends for mark in [*marks, ".,", "'s", ""]]
+    texts = [f"{before}{w}{after}" for w in words for before, after in (("", ""), ("Σ ", " b"), ("\tone ", "\n"))]
+    for text, ids in zip(texts, tool.encode(texts)):
+        assert ids == np.array(ids_of(path, text), "<u4").tobytes(), repr(text)
+
+
+def test_white_space_is_what_python_takes_for_it():
+    white = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.isspace()]
+    found = encoding.pc.match_substring_regex(encoding.pa.array([c + " " for c in white] + ["a b", "\u200b a"]),
+                                              encoding._WHITE).to_pylist()
+    assert found == [True] * len(white) + [False, False] and len(white) == 29
+
+
 def test_rank_encoder_equals_tiktoken():
     import tiktoken
 
