@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
 
@@ -23,10 +24,7 @@ _WHITE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _BLANKS = " \t\n\r"
 _BETWEEN = "."  # stands between words of letters where many are encoded at once
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
-# By byte: marks that are cut off the end of a piece, and the letters and digits that may precede one.
-_MARKS, _ALPHANUMERIC = np.zeros(256, bool), np.zeros(256, bool)
-_MARKS[list(b".,;:!?)'\"")] = True
-_ALPHANUMERIC[[b for b in range(128) if chr(b).isalnum()]] = True
+_ALPHANUMERIC = np.array([b < 128 and chr(b).isalnum() for b in range(256)])  # by byte
 # Byte-level tokenizers show a byte as the character of that number if it is printable, and the
 # others, in order, as the characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,22 +46,30 @@ _WORD_PRETOKENIZERS = [
     {**_BYTE_LEVEL, "use_regex": False}]
 
 
-def _stems(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Pieces without a mark that ends them, and its byte: 0 where there is none after a letter or digit."""
-    _, ends, data = pieces.buffers()
-    if data is None or not data.size:
-        return pieces, np.zeros(len(pieces), np.uint8)
-    raw, ends = np.frombuffer(data, np.uint8), np.frombuffer(ends, np.int64)[:len(pieces) + 1]
-    sizes, stops = np.diff(ends), ends[1:]
-    last, second, third = (raw[np.maximum(stops - back, 0)] for back in (1, 2, 3))
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, at least one, and where each text begins and the last one ends."""
+    _, ends, data = texts.buffers()
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    return raw, np.frombuffer(ends, np.int64)[:len(texts) + 1]
+
+
+def _parted(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Pieces without the ASCII marks that end them, if these follow a letter or digit, and the marks."""
+    stems = pc.utf8_rtrim(pieces, string.punctuation)
+    (raw, ends), (held, stops) = _bytes(pieces), _bytes(stems)
+    sizes, stops = np.diff(stops), stops[1:]
+    last, second = (held[np.maximum(stops - back, 0)] for back in (1, 2))
     # U+00C0 to U+023F are two bytes each, and letters but for the signs of times and division. İ is
-    # left out: in lower case it ends with a combining dot, which goes with the mark.
-    latin = (sizes > 2) & (third >= 0xC3) & (third <= 0xC8) & (second >> 6 == 2)
-    latin &= (third != 0xC3) | (second != 0x97) & (second != 0xB7)
-    latin &= (third != 0xC4) | (second != 0xB0)
-    marked = (sizes > 1) & _MARKS[last] & (_ALPHANUMERIC[second] | latin)
-    stems = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
-    return stems, np.where(marked, last, 0).astype(np.uint8)
+    # left out: in lower case it ends with a combining dot, which goes with the marks.
+    latin = (sizes > 1) & (second >= 0xC3) & (second <= 0xC8) & (last >> 6 == 2)
+    latin &= (second != 0xC3) | (last != 0x97) & (last != 0xB7)
+    latin &= (second != 0xC4) | (last != 0xB0)
+    cut = (sizes > 0) & (_ALPHANUMERIC[last] | latin)
+    lengths = np.where(cut, np.diff(ends) - sizes, 0)
+    starts = np.append(0, np.cumsum(lengths))
+    marks = raw[np.repeat(ends[1:] - starts[1:], lengths) + np.arange(starts[-1])]
+    return (pc.if_else(pa.array(cut), stems, pieces),
+            pa.LargeStringArray.from_buffers(len(pieces), pa.py_buffer(starts), pa.py_buffer(marks)))
 
 
 class PieceEncoder:
@@ -72,8 +78,8 @@ class PieceEncoder:
     A text is cut in front of spaces and line ends where byte-level tokenizers end a pre-token as
     well: at white space between two characters that are none. So the ids of a text are those of
     its pieces, one after the other. A piece is named by what follows the space, or by its line end
-    and what follows; a mark at its end, after a letter or digit, is a pre-token of its own and goes
-    by itself. Arrow splits the texts of a call, numbers their distinct pieces, cuts the marks off,
+    and what follows; ASCII marks at its end, after a letter or digit, are a pre-token of their own and
+    go by themselves. Arrow splits the texts of a call, numbers their distinct pieces, cuts the marks off,
     numbers what is left and puts the ids together, so Python handles each distinct piece once. The
     ids of pieces are remembered; when there are `limit` of them, a new memory is begun and what is
     still used moves over from the old one. Latin letters are one pre-token, so `words` alone encodes
@@ -150,8 +156,8 @@ class PieceEncoder:
             return iter(())
         cut = pc.split_pattern(pa.array(bodies, pa.large_string()), " ")
         numbered = cut.flatten().dictionary_encode()
-        stems, marks = _stems(numbered.dictionary)
-        names = stems.dictionary_encode()
+        stems, marks = _parted(numbered.dictionary)
+        names, marks = stems.dictionary_encode(), marks.dictionary_encode()
         pieces = names.dictionary.to_numpy(zero_copy_only=False).tolist()
         memo = self.memo
         found = [b"" if piece == "" else memo.get(piece) for piece in pieces]
@@ -160,10 +166,10 @@ class PieceEncoder:
             self._learn(new)
             found = [memo[piece] if ids is None else ids for piece, ids in zip(pieces, found)]
         ids = pa.array(found, pa.large_binary()).take(names.indices)
-        if marks.any():
-            used = set(np.unique(marks).tolist()) - {0}
-            endings = pa.array([self.mark(chr(b)) if b in used else b"" for b in range(128)], pa.large_binary())
-            ids = pc.binary_join_element_wise(ids, endings.take(pa.array(marks)), pa.scalar(b"", pa.large_binary()))
+        endings = [self.mark(mark) if mark else b"" for mark in marks.dictionary.to_pylist()]
+        if any(endings):
+            endings = pa.array(endings, pa.large_binary()).take(marks.indices)
+            ids = pc.binary_join_element_wise(ids, endings, pa.scalar(b"", pa.large_binary()))
         ids = ids.take(numbered.indices)
         _, ends, data = ids.buffers()
         if data is None:

@@ -115,7 +115,7 @@ def test_marks_and_first_words_are_not_learnt_again(path, separator, monkeypatch
     monkeypatch.setattr(tool, "whole", lambda text: (alone.append(text), whole(text))[1])
     letters = random.Random(6)
     words = ["".join(letters.choices("aeinrstéß", k=7)) for _ in range(300)]
-    texts = [f"{w} " + " ".join(w + m for m in ("", ",", ")", "'", '"', "?")) + f"\n{w}; {w}" for w in words]
+    texts = [f"{w} " + " ".join(w + m for m in ("", ",", ")", "'", '".', "...", "$$$")) + f"\n{w}; {w}" for w in words]
     assert tool.encode(texts) == [np.array(ids_of(path, x), "<u4").tobytes() for x in texts]
     assert len(asked) <= 2 * len(set(words)) and len(alone) <= 20
 
@@ -124,7 +124,7 @@ def test_marks_and_first_words_are_not_learnt_again(path, separator, monkeypatch
 def test_marks_are_cut_off_only_after_letters_and_digits(path, separator):
     tool, marks = encoding.TextEncoder(path, separator), ".,;:!?)'\"(~-"
     ends = ["a", "7", "é", "ÿ", "Ā", "ȿ", "ɏ", "×", "÷", "İ", "Ⱥ", "½", "漢", "Σ", "́", "\t", "\xa0", "s'", "'ll", ""]
-    words = [lead + end + mark for lead in ("", "x", "É", "\n") for end in ends for mark in [*marks, ".,", "'s", ""]]
+    words = [lead + end + mark for lead in ("", "x", "É", "\n") for end in ends for mark in [*marks, ".,", "'s", "$$$", "...'", "|>", ""]]
     texts = [f"{before}{w}{after}" for w in words for before, after in (("", ""), ("Σ ", " b"), ("\tone ", "\n"))]
     for text, ids in zip(texts, tool.encode(texts)):
         assert ids == np.array(ids_of(path, text), "<u4").tobytes(), repr(text)
