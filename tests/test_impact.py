@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import deque
 
 import pytest
@@ -331,3 +332,43 @@ def test_only_nodes_with_edges_are_followed(spark, monkeypatch, rows):
     assert reached(walked.paths())["a"] == walk(pairs, "a", 5)
     assert all("bucketed: true" in level.groupBy("source", "node").count()._jdf.queryExecution().toString().lower()
                for level in walked.levels[1:])
+
+
+def random_graph(spark, n=400):
+    """Layers of nodes with edges onward, back and to ends; some ends are near and far at once."""
+    rng = random.Random(5)
+    pairs = [(f"n{i}", f"n{rng.randrange(n)}") for i in range(n) for _ in range(2)]
+    pairs += [(f"n{rng.randrange(n)}", f"end{rng.randrange(3 * n)}") for _ in range(6 * n)]
+    return pairs, spark.createDataFrame(pairs, t.EDGES)
+
+
+@pytest.mark.parametrize("rows", [0, 2_000_000])
+def test_ends_go_into_no_hop(spark, monkeypatch, rows):
+    """Hops hold nodes with edges alone (or nearly so, by bits); ends are reached in one step from all
+    levels, with the smallest path of the smallest depth."""
+    monkeypatch.setattr(impact, "BROADCAST_ROWS", rows)
+    pairs, df = random_graph(spark)
+    walked = impact.walk(df, sources(spark, "n1", "n2", "n3"), 4, paths=True)
+    got = reached(walked.paths())
+    plain = impact.walk(df, sources(spark, "n1", "n2", "n3"), 4)
+    depths = {(r.source, r.node): r.depth for r in plain.nodes().collect()}
+    for start in ("n1", "n2", "n3"):
+        assert got[start] == walk(pairs, start, 4)
+        assert {n: depths[start, n] for n in got[start]} == {n: len(p) - 1 for n, p in got[start].items()}
+    assert len(depths) == sum(map(len, got.values()))
+    for w in (walked, plain):
+        held = [r.node for level in w.levels for r in level.collect()]
+        ends = [n for n in held if n.startswith("end")]
+        assert held and len(ends) <= len(held) * (0 if rows else 0.1)
+    assert walked.inner.count() + walked.outer.count() == len(pairs)
+    cut_walks = impact.walk(df, sources(spark, "n1", "n2", "n3"), 2).truncated().collect()
+    assert {r.source: r.truncated for r in cut_walks} == {
+        s: len(walk(pairs, s, 3)) > len(walk(pairs, s, 2)) for s in ("n1", "n2", "n3")}
+
+
+def test_only_impacted_consumers_are_stored(spark, graph, monkeypatch):
+    """Consumers without impact are not written for the report, and a change takes no shuffle by source."""
+    result = blast_radius(requests(spark, ("1", "sensor.readings", ["sensor"])), *graph, "demo")
+    plan = result.consumers._jdf.queryExecution().toString()
+    assert "Filter" not in plan.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert {r.impact for r in result.consumers.collect()} <= {t.CRITICAL, t.HIGH, t.MEDIUM}
