@@ -56,10 +56,10 @@ def blast_radius(
     Requests may have a ``namespace``: those of a namespace without nodes get the report of an empty
     graph. Without that column it is the whole graph that may be empty.
     """
-    located = with_graph_state(find_source_node(nodes, requests, namespace), nodes)
+    located = cut(with_graph_state(find_source_node(nodes, requests, namespace), nodes), "located")
     walked = walk(edges, located, max_depth)
-    # Written once: the report reads a few of its columns three times.
-    scored = cut(_scored(walked, located, nodes), "scored")
+    # Written once: the report reads a few of its columns three times, and only of impacted rows.
+    scored = cut(affected(_scored(walked, located, nodes)), "scored")
     reports = report(located, scored).join(
         located.select("change_id", "source").join(walked.truncated(), "source").select(
             "change_id", "truncated"
@@ -67,5 +67,5 @@ def blast_radius(
         "change_id", "left",
     )
     return BlastRadius(
-        reports.withColumn("truncated", F.coalesce("truncated", F.lit(False))), affected(scored)
+        reports.withColumn("truncated", F.coalesce("truncated", F.lit(False))), scored
     )
