@@ -17,6 +17,7 @@ from pactline.operators.impact import (
     with_graph_state,
     with_node_attributes,
 )
+from pactline.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, hashed, measure
 from pactline.operators.partitions import cut
 
 
@@ -33,12 +34,17 @@ def scored_consumers(
 
     Changes of the same topic share one walk through the graph.
     """
-    return _scored(walk(edges, requests, max_depth), requests, nodes)
+    asked = cut(requests.select("change_id", "source", "changed_fields"), "requests")
+    return _scored(walk(edges, asked, max_depth), asked, nodes)
 
 
 def _scored(walked: Walk, requests: DataFrame, nodes: DataFrame) -> DataFrame:
     reached = with_node_attributes(walked.nodes(), nodes)
     asked = requests.select("change_id", "source", "changed_fields")
+    # Few requests go to the rows, which are many and would meet at a few sources.
+    rows, size = measure(asked)
+    few = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    asked = F.broadcast(asked) if few else hashed(asked, size)
     return score(reached.join(asked, "source")).drop("changed_fields")
 
 

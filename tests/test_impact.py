@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pactline import types as t
 from pactline.functions.text import classify_dataset
 from pactline.operators import impact, joins, quality
-from pactline.plans.blast_radius import blast_radius
+from pactline.plans.blast_radius import blast_radius, scored_consumers
 from pactline.sources.graph import lineage_graph_from_json, malformed_documents
 
 READINGS, MEANS = "dataset:demo:sensor.readings", "dataset:demo:iceberg.daily_means"
@@ -372,3 +372,12 @@ def test_only_impacted_consumers_are_stored(spark, graph, monkeypatch):
     plan = result.consumers._jdf.queryExecution().toString()
     assert "Filter" not in plan.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
     assert {r.impact for r in result.consumers.collect()} <= {t.CRITICAL, t.HIGH, t.MEDIUM}
+
+
+def test_sources_are_looked_up_once(spark, graph):
+    """Scoring reads the stored requests, not the lookup of their sources a second time."""
+    asked = impact.find_source_node(
+        graph[0], requests(spark, ("1", "sensor.readings", ["sensor"])), "demo")
+    scored = scored_consumers(asked, *graph)
+    assert "struct(o" not in scored._jdf.queryExecution().toString()
+    assert {r.name for r in impact.affected(scored).collect()} == {"cleaner", "alerts", "iceberg.daily_means"}
