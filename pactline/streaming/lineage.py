@@ -59,15 +59,19 @@ def not_written(batch: DataFrame, own: DataFrame, maps: DataFrame) -> DataFrame:
     return joined.filter(F.col("bits").isNull() | ~written).select(*batch.columns)
 
 
-def _once(events: DataFrame) -> DataFrame:
-    """Stored events, each offset once; only those whose offset comes again are moved."""
+def _once(batch: DataFrame, events_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The run events of a batch, each offset once; only those whose offset comes again are moved.
+
+    Such offsets are found among the messages, which are small, so that no event is stored for it.
+    """
     again = cut(
-        events.groupBy(*OFFSET_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+        batch.groupBy(*OFFSET_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
         "repeated-offsets",
     )
     side = F.broadcast(again) if fits_broadcast(again) else again
-    repeated = events.join(side, OFFSET_KEY, "left_semi").dropDuplicates(OFFSET_KEY)
-    return events.join(side, OFFSET_KEY, "left_anti").unionByName(repeated.select(*events.columns))
+    repeated = events_of(batch.join(side, OFFSET_KEY, "left_semi").select(*batch.columns))
+    single = events_of(batch.join(side, OFFSET_KEY, "left_anti").select(*batch.columns))
+    return single.unionByName(repeated.dropDuplicates(OFFSET_KEY))
 
 
 def _new_events(
@@ -89,9 +93,9 @@ def _new_events(
     if done and blocks:
         maps = spark.read.parquet(*(f"{root}/_written/batch_id={n}" for n in done))
         fresh = not_written(batch, own, maps)
-    events = lineage_events(fresh, violation_topic, namespace, dataset)
+    events_of = lambda rows: lineage_events(rows, violation_topic, namespace, dataset)
     # Within the batch; otherwise nothing is shuffled.
-    return _once(cut(events, "events")) if repeated else events
+    return _once(fresh, events_of) if repeated else events_of(fresh)
 
 
 def lineage_stream(
@@ -201,7 +205,7 @@ def lineage_delivery_stream(
         stored, waiting = f"{root}/batch_id={batch_id}", f"{root}/pending/batch_id={batch_id}"
         if not folders.finished(spark, stored):
             events = _new_events(batch, batch_id, root, violation_topic, namespace, dataset)
-            events.select("value").write.mode("overwrite").parquet(waiting)
+            events.select("value").write.mode("overwrite").option("compression", "zstd").parquet(waiting)
             folders.mark(spark, waiting)
             folders.mark(spark, stored)
         deliver_pending(spark, root, path, send, log)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -385,3 +386,21 @@ def test_registry_reader(spark, tmp_path):
     tables = read_registry(spark, str(tmp_path))
     assert set(tables) == set(t.REGISTRY)
     assert tables["contract_versions"].schema["registry_id"].dataType.typeName() == "integer"
+
+
+def test_events_of_repeated_offsets_are_stored_once(spark, tmp_path):
+    """The outbox is the only place where a batch's events are written before they are sent."""
+    from pactline.session import scratch_path
+
+    source, out, box, state = (str(tmp_path / n) for n in ("in", "out", "box", "state"))
+    scratch = Path(scratch_path(spark, "x")).parent
+    stored = lambda: {p.name for p in scratch.glob("events-*")}
+    before = stored()
+    put(spark, [message('{"a":1}', offset=1), message('{"a":1}', offset=1), message("{}", BAD, 2),
+                message("{}", offset=3), message(None, "audit", 4), message("{}", "audit", 4)], source)
+    lineage_delivery_stream(
+        read_message_stream(spark, ["audit", BAD], path=source), BAD, out, box, state, namespace="ns"
+    ).awaitTermination()
+    assert stored() == before
+    runs = [r[0] for r in spark.read.text(out).select(F.get_json_object("value", "$.run.runId")).collect()]
+    assert len(runs) == len(set(runs)) == 4
