@@ -141,8 +141,8 @@ def read_lineage_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lines(events: DataFrame, path: str) -> None:
-    """The usual delivery: one JSON text a line, a folder a batch, written anew when tried again."""
-    events.select("value").write.mode("overwrite").text(path)
+    """The usual delivery: one JSON text a line, gzipped, a folder a batch, written anew when tried again."""
+    events.select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def deliver_pending(

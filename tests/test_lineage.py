@@ -404,3 +404,13 @@ def test_events_of_repeated_offsets_are_stored_once(spark, tmp_path):
     assert stored() == before
     runs = [r[0] for r in spark.read.text(out).select(F.get_json_object("value", "$.run.runId")).collect()]
     assert len(runs) == len(set(runs)) == 4
+
+
+def test_delivered_lines_take_less_room_than_their_text(spark, tmp_path):
+    rows = consumed(spark, *[message('{"a":{"b":1,"c":[1]}}', offset=i) for i in range(300)])
+    events = lineage.lineage_events(rows.coalesce(1), BAD, "ns")
+    write_lines(events, str(tmp_path / "out"))
+    text = [r.value for r in events.collect()]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(text)
+    stored = sum(p.stat().st_size for p in (tmp_path / "out").glob("part-*"))
+    assert 0 < 4 * stored < sum(map(len, text))
