@@ -11,6 +11,7 @@ from pactline.operators.impact import (
     Walk,
     affected,
     find_source_node,
+    may_be_impacted,
     report,
     score,
     walk,
@@ -38,14 +39,21 @@ def scored_consumers(
     return _scored(walk(edges, asked, max_depth), asked, nodes)
 
 
-def _scored(walked: Walk, requests: DataFrame, nodes: DataFrame) -> DataFrame:
-    reached = with_node_attributes(walked.nodes(), nodes)
-    asked = requests.select("change_id", "source", "changed_fields")
-    # Few requests go to the rows, which are many and would meet at a few sources.
-    rows, size = measure(asked)
+def _scored(
+    walked: Walk, requests: DataFrame, nodes: DataFrame, impacted_only: bool = False
+) -> DataFrame:
+    """Scored nodes per change; on request without those that no change has an impact on."""
+    reached = with_node_attributes(walked.numbered_nodes(), nodes).withColumnRenamed("source", "__walk")
+    if impacted_only:
+        reached = reached.filter(may_be_impacted(F.col("fields"), F.col("depth")))
+    # The changes take the number of their source, so rows meet them by number and move once at most;
+    # few changes go to the rows, which are many and would meet at a few sources.
+    numbers = walked.names.select(F.col("source").alias("__walk"), F.col("name").alias("source"))
+    asked = requests.select("change_id", "source", "changed_fields").join(numbers, "source")
+    rows, size = measure(requests.select("change_id", "source", "changed_fields"))
     few = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     asked = F.broadcast(asked) if few else hashed(asked, size)
-    return score(reached.join(asked, "source")).drop("changed_fields")
+    return score(reached.join(asked, "__walk")).drop("changed_fields", "__walk")
 
 
 def blast_radius(
@@ -65,7 +73,7 @@ def blast_radius(
     located = cut(with_graph_state(find_source_node(nodes, requests, namespace), nodes), "located")
     walked = walk(edges, located, max_depth)
     # Written once: the report reads a few of its columns three times, and only of impacted rows.
-    scored = cut(affected(_scored(walked, located, nodes)), "scored")
+    scored = cut(affected(_scored(walked, located, nodes, impacted_only=True)), "scored")
     reports = report(located, scored).join(
         located.select("change_id", "source").join(walked.truncated(), "source").select(
             "change_id", "truncated"

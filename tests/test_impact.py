@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pactline import types as t
 from pactline.functions.text import classify_dataset
 from pactline.operators import impact, joins, quality
+from pactline.plans import blast_radius as plan_module
 from pactline.plans.blast_radius import blast_radius, scored_consumers
 from pactline.sources.graph import lineage_graph_from_json, malformed_documents
 
@@ -374,6 +375,31 @@ def test_only_impacted_consumers_are_stored(spark, graph, monkeypatch):
     assert {r.impact for r in result.consumers.collect()} <= {t.CRITICAL, t.HIGH, t.MEDIUM}
 
 
+def test_what_no_change_touches_is_left_before_it_meets_the_changes(spark):
+    df = spark.createDataFrame(
+        [(f, d, c) for f in (None, [], ["a"], ["a", "b"]) for d in (1, 2, 5) for c in ([], ["a"], ["x"])],
+        "fields array<string>, depth int, changed_fields array<string>")
+    kept = impact.may_be_impacted(F.col("fields"), F.col("depth"))
+    rows = impact.score(df).select("impact", kept.alias("kept")).collect()
+    assert all(r.kept for r in rows if r.impact != t.NONE) and not all(r.kept for r in rows)
+
+
+@pytest.mark.parametrize("few", [0, 2_000_000])
+def test_changes_meet_rows_by_number(spark, graph, monkeypatch, few):
+    """Reached rows lie by node when they get their attributes and move once at most after that."""
+    monkeypatch.setattr(impact, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(plan_module, "BROADCAST_ROWS", few)
+    asked = impact.find_source_node(graph[0], requests(
+        spark, ("1", "sensor.readings", ["sensor"]), ("2", "cleaner", ["colour"])), "demo")
+    scored = scored_consumers(asked, *graph)
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    assert any("Join" in x and "__walk" in x for x in plan.splitlines())
+    assert {(r.change_id, r.name, r.impact, r.source) for r in impact.affected(scored).collect()} == {
+        ("1", "cleaner", t.CRITICAL, READINGS), ("1", "alerts", t.HIGH, READINGS),
+        ("1", "iceberg.daily_means", t.CRITICAL, READINGS), ("2", "iceberg.daily_means", t.HIGH, CLEANER),
+        ("2", "map", t.CRITICAL, CLEANER), ("2", GHOST, t.MEDIUM, CLEANER)}
+
+
 def test_sources_are_looked_up_once(spark, graph):
     """Scoring reads the stored requests, not the lookup of their sources a second time."""
     asked = impact.find_source_node(
@@ -381,3 +407,25 @@ def test_sources_are_looked_up_once(spark, graph):
     scored = scored_consumers(asked, *graph)
     assert "struct(o" not in scored._jdf.queryExecution().toString()
     assert {r.name for r in impact.affected(scored).collect()} == {"cleaner", "alerts", "iceberg.daily_means"}
+
+
+def test_a_merged_graph_is_computed_once(spark, graph):
+    """Nodes and edges of both sides meet in one join each, and what reads them reads files."""
+    nodes, edges = graph
+    declared = spark.createDataFrame(
+        [("sensor.readings", [("alerts", "ops", "FLINK_JOB", ["taken_at"]), (None, "x", "FLINK_JOB", ["y"])]),
+         ("sensor.readings", [("cleaner", None, "FLINK_JOB", None)])],
+        "topic string, consumers array<struct<name:string,team:string,type:string,"
+        "fields_used:array<string>>>")
+    again = edges.unionByName(edges.filter((F.col("src") == READINGS) & (F.col("dst") == CLEANER)))
+    all_nodes, all_edges = impact.merged_graph(
+        nodes, again, *quality.declared_consumers(declared, "demo"))
+    for merged in (all_nodes, all_edges):
+        assert "Join" not in merged._jdf.queryExecution().toString()
+    found = {r.id: (r.owner_team, r.fields, r.provenance) for r in all_nodes.collect()}
+    assert found[ALERTS] == ("safety", ["celsius", "taken_at"], "both")
+    assert found[CLEANER] == ("weather", ["celsius", "sensor"], "both")
+    assert found[MEANS] == ("climate", ["sensor"], "observed")
+    assert found[None] == ("x", ["y"], "declared") and len(found) == 7
+    kinds = sorted(r.provenance for r in all_edges.collect())  # a repeated edge stays as it is
+    assert kinds == ["both"] * 3 + ["declared"] + ["observed"] * 6
